@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from streamcheck.llm.bpe import encode_decode
+from streamcheck.llm.exact import exact_dedup
 from streamcheck.llm.pack import pack
-from streamcheck.llm.shared import table
+from streamcheck.llm.shared import Scratch, table
+from streamcheck.llm.warc import page_records, read_warc, write_warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -18,13 +20,36 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+FROM (
+  SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
+         max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+         count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size
+  FROM documents)
+"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Scratch(spark, "warc").path("archives")
+    write_warc(table(spark, sf_dir, "pages"), archives)
+    return page_records(read_warc(spark, archives))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+QUERIES = (op2_bpe, op5_exact_dedup, op7_warc, op9_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op9_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL}

@@ -128,6 +128,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Damaged("header line without colon")
         name = name.strip().lower()
+        if name in fields and name in ("warc-type", "warc-record-id", "content-length"):
+            raise Damaged("header runs into another")
         fields[name] = value.strip()
     length = fields.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length) or "warc-type" not in fields or "warc-record-id" not in fields:
@@ -161,9 +163,7 @@ def inflate(raw: bytes, at: int) -> tuple[bytes, int]:
 
 def next_start(raw: bytes, at: int) -> int:
     """The next place from ``at`` on where a member or a version line may start."""
-    gz, line = raw.find(GZIP, at), raw.find(b"\n" + VERSION, max(0, at - 1))
-    found = [x for x in (gz, line + 1 if line >= 0 else -1) if x >= at]
-    return min(found, default=len(raw))
+    return min((x for x in (raw.find(GZIP, at), raw.find(VERSION, at)) if x >= 0), default=len(raw))
 
 
 def salvage(raw: bytes) -> Iterator[Record | tuple[int, int, str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from streamcheck.llm.bpe import encode_decode
 from streamcheck.llm.exact import exact_dedup
+from streamcheck.llm.minhash import near_dedup
 from streamcheck.llm.pack import pack
 from streamcheck.llm.shared import Scratch, table
 from streamcheck.llm.warc import page_records, read_warc, write_warc
@@ -44,7 +45,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = (op2_bpe, op5_exact_dedup, op7_warc, op9_packing)
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=4)
+
+
+QUERIES = (op2_bpe, op5_exact_dedup, op7_warc, op9_packing, op10_minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,6 +12,7 @@ from streamcheck.llm.exact import exact_dedup
 from streamcheck.llm.minhash import near_dedup
 from streamcheck.llm.pack import pack
 from streamcheck.llm.shared import Scratch, table
+from streamcheck.llm.substring import remove_repeats
 from streamcheck.llm.warc import page_records, read_warc, write_warc
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = (op2_bpe, op5_exact_dedup, op7_warc, op9_packing, op10_minhash)
+QUERIES = (op2_bpe, op4_substring, op5_exact_dedup, op7_warc, op9_packing, op10_minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from streamcheck.llm.bpe import encode_decode
 from streamcheck.llm.exact import exact_dedup
+from streamcheck.llm.lm import score_documents
 from streamcheck.llm.minhash import near_dedup
 from streamcheck.llm.pack import pack
+from streamcheck.llm.quality import classify
 from streamcheck.llm.shared import Scratch, table
 from streamcheck.llm.substring import remove_repeats
 from streamcheck.llm.warc import page_records, read_warc, write_warc
@@ -18,6 +20,10 @@ from streamcheck.llm.warc import page_records, read_warc, write_warc
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -40,6 +46,10 @@ FROM (
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = Scratch(spark, "warc").path("archives")
     write_warc(table(spark, sf_dir, "pages"), archives)
@@ -54,7 +64,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = (op2_bpe, op4_substring, op5_exact_dedup, op7_warc, op9_packing, op10_minhash)
+QUERIES = (op1_hmm, op2_bpe, op4_substring, op5_exact_dedup, op6_quality, op7_warc, op9_packing, op10_minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -167,8 +167,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on the input.  Returns one
     row per input row: ``id_col`` (an integer), ``n_words``, ``n_removed``, ``kept_sha256`` of the
-    kept words joined by one space; with ``keep_text`` all input columns are there, with
-    ``text_col`` being those words where any were removed and the input's text elsewhere.
+    kept words joined by one space.  With ``keep_text`` it returns the input's columns instead,
+    ``text_col`` being the kept words where any were removed and the input's text elsewhere.
     Null text has no words.  Rows of equal id do not count as smaller than each other; a row
     without an id is left whole and removes nothing elsewhere.
     """
@@ -177,9 +177,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = scratch.write(repeated_spans(taken, scratch, window, seed), "spans")
     scratch.drop("repeated", "paths", "forked", "edges")
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_text else []
-    rows = docs.select(F.col(id_col), F.col(text_col), *extra).withColumns({"_id": F.col(id_col).cast("bigint"), "_fp": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    spans = spans.select(F.col("id").alias("_id"), F.col("fp").alias("_fp"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, ["_id", "_fp"], "left").select(id_col, text_col, F.transform("_spans", lambda s: s["lo"]).alias("_lo"), F.transform("_spans", lambda s: s["hi"]).alias("_hi"), *extra)
+    key, print_, lo, hi = "__id", "__fingerprint", "__lo", "__hi"
+    rows = docs.select(id_col, text_col, *extra).withColumns({key: F.col(id_col).cast("bigint"), print_: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    spans = spans.select(F.col("id").alias(key), F.col("fp").alias(print_), F.col("spans.lo").alias(lo), F.col("spans.hi").alias(hi))
+    joined = rows.join(spans, [key, print_], "left").select(id_col, text_col, lo, hi, *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,10 +195,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sha.append(hashlib.sha256(plain).hexdigest())
                 if keep_text:
                     texts.append(text if len(kept) == len(words) else plain.decode("utf-8"))
-            columns = {id_col: batch.column(0)} | ({text_col: pa.array(texts, pa.string())} | {c: batch.column(4 + k) for k, c in enumerate(extra)} if keep_text else {})
-            yield pa.RecordBatch.from_pydict(columns | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    names = [id_col, *([text_col, *extra] if keep_text else [])]
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n_words bigint, n_removed bigint, kept_sha256 string"])
+            if keep_text:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names=[id_col, text_col, *extra])
+            else:
+                yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+
+    if keep_text:
+        return joined.mapInArrow(run, docs.select(id_col, text_col, *extra).schema).select(*docs.columns)
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string"
     return joined.mapInArrow(run, schema)

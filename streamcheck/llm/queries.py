@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from streamcheck.llm.bpe import encode_decode
 from streamcheck.llm.exact import exact_dedup
+from streamcheck.llm.hnsw import embedding_dedup
+from streamcheck.llm.lines import remove_lines
 from streamcheck.llm.lm import score_documents
 from streamcheck.llm.minhash import near_dedup
 from streamcheck.llm.pack import pack
@@ -28,6 +30,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,27 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(spark, archives))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_lines(table(spark, sf_dir, "documents")).drop("recurring_lines")
+
+
+OP8_SQL = """
+WITH lines AS (
+  SELECT doc_id, p - 1 AS pos, l[p] AS line
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+), windows AS (
+  SELECT doc_id, pos, min((doc_id, pos)) OVER (PARTITION BY line, next) AS first
+  FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM lines) WHERE next IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, pos + d AS pos FROM windows, (VALUES (0), (1)) AS t(d) WHERE first <> (doc_id, pos)
+)
+SELECT d.doc_id, count(l.pos) AS n_lines, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '')) AS kept_sha256
+FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
+GROUP BY d.doc_id
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -64,7 +91,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = (op1_hmm, op2_bpe, op4_substring, op5_exact_dedup, op6_quality, op7_warc, op9_packing, op10_minhash)
+QUERIES = (op1_hmm, op2_bpe, op3_embeddings, op4_substring, op5_exact_dedup, op6_quality, op7_warc, op8_lines, op9_packing, op10_minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_lines": OP8_SQL}

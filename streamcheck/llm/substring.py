@@ -129,8 +129,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int, seed: int) ->
     """
     found = scratch.write(segment_table(docs, window, seed), "segments")
     both = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    both = scratch.write(both, "anchors")  # a table of its own: the join's hot anchors can be split
     repeated = scratch.write(found.join(both, "anchor"), "repeated")
-    scratch.drop("segments")
+    scratch.drop("segments", "anchors")
 
     paths = repeated.groupBy("anchor", "v1", "v2").agg(F.min(F.struct("id", "start", "fp")).alias("source"), F.max("id").alias("last"), F.first("n").alias("n"))
     paths = scratch.write(paths, "paths")
@@ -142,7 +143,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int, seed: int) ->
     todo = forked.groupBy(F.col("source.id").alias("id"), F.col("source.fp").alias("fp")).agg(F.collect_list(one).alias("todo"))
     edges = scratch.write(opened(docs.join(todo, ["id", "fp"]), window, seed), "edges")
     least = edges.groupBy("w1", "w2").agg(F.min("low").alias("least"))
-    lows = edges.join(least, ["w1", "w2"]).groupBy("v1", "v2").agg(F.sort_array(F.collect_set(F.struct("i", "least"))).alias("lows"))
+    least = scratch.write(least, "least")
+    lows = scratch.write(edges.join(least, ["w1", "w2"]).groupBy("v1", "v2").agg(F.sort_array(F.collect_set(F.struct("i", "least"))).alias("lows")), "lows")
 
     whole = repeated.join(straight.select("v1", "v2", F.col("source.id").alias("low")), ["v1", "v2"]).where("id > low")
     whole = whole.select("id", "fp", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + (window - 1)).alias("hi"))).alias("spans"))
@@ -175,7 +177,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "substring")
     taken = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
     spans = scratch.write(repeated_spans(taken, scratch, window, seed), "spans")
-    scratch.drop("repeated", "paths", "forked", "edges")
+    scratch.drop("repeated", "paths", "forked", "edges", "least", "lows")
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_text else []
     key, print_, lo, hi = "__id", "__fingerprint", "__lo", "__hi"
     rows = docs.select(id_col, text_col, *extra).withColumns({key: F.col(id_col).cast("bigint"), print_: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})

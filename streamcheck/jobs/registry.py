@@ -1,15 +1,346 @@
-"""Registered queries of the stream operators."""
+"""Registered queries of the stream operators over the test tables, with SQL that states the same results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from streamcheck.config import ValidatorConfig
+from streamcheck.functions import parsing, rules
+from streamcheck.jobs import sql
+from streamcheck.jobs.datasets import (
+    LINEITEM_RULES,
+    KINDS,
+    bench_readings,
+    bench_sessions,
+    event_config,
+    event_readings,
+    lineitem_readings,
+    table,
+)
+from streamcheck.operators import asof, gauges, health, quarantine, report, serving, tier1
+from streamcheck.operators.anchor import prior_anchors
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTERED: dict[str, tuple[Query, str]] = {}
+
+
+def query(text: str) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        REGISTERED[f.__name__] = (f, text)
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def busy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier1.with_rules(event_readings(spark, sf_dir, busy=True), event_config())
+
+
+def verdicts(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    return tier1.validate_readings(event_readings(spark, sf_dir, busy), event_config())
+
+
+def scores(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    return health.score_at_last(verdicts(spark, sf_dir, busy), event_config())
+
+
+# ---- tier 1
+
+
+@query(sql.verdicts(True) + "SELECT seq, value_range FROM marked")
+def tier1_value_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return busy_rules(spark, sf_dir).select("seq", "value_range")
+
+
+@query(sql.verdicts(True) + "SELECT seq, raw_range FROM marked")
+def tier1_raw_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return busy_rules(spark, sf_dir).select("seq", "raw_range")
+
+
+@query(sql.verdicts(True) + "SELECT seq, stuck_reading FROM marked WHERE metric <> 'view'")
+def tier1_stuck_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return busy_rules(spark, sf_dir).where("metric <> 'view'").select("seq", "stuck_reading")
+
+
+@query(sql.verdicts(True) + "SELECT seq, stuck_reading FROM marked WHERE metric = 'view'")
+def tier1_stuck_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return busy_rules(spark, sf_dir).where("metric = 'view'").select("seq", "stuck_reading")
+
+
+@query(sql.verdicts(True) + "SELECT seq, rate_of_change FROM marked")
+def tier1_rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return busy_rules(spark, sf_dir).select("seq", "rate_of_change")
+
+
+@query(sql.anchors("120.0") + "SELECT n.seq, p.av AS prior_anchor_value, p.at_us AS prior_anchor_us FROM numbered n LEFT JOIN anchors p ON p.source = n.source AND p.metric = n.metric AND p.rn = n.rn - 1")
+def tier1_run_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings = event_readings(spark, sf_dir, busy=True).withColumn("tol", F.lit(120.0))
+    return prior_anchors(readings).select("seq", "prior_anchor_value", "prior_anchor_us")
+
+
+@query(sql.verdicts(True) + "SELECT seq, source, metric, value, raw_value, ts_us, quality, rule FROM v")
+def tier1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(spark, sf_dir, busy=True).select("seq", "source", "metric", "value", "raw_value", "ts_us", "quality", "rule")
+
+
+@query(sql.LINEITEM + "SELECT source, ts_us, seq, value, rule, quality FROM v")
+def tier1_verdict_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = tier1.validate_readings(lineitem_readings(spark, sf_dir), ValidatorConfig(metrics={"quantity": LINEITEM_RULES}))
+    return judged.select("source", "ts_us", "seq", "value", "rule", "quality")
+
+
+@query(sql.verdicts(False) + "SELECT source, metric, policy, lo AS low, hi AS high, stuck_n AS stuck_count, count(*) AS n FROM marked GROUP BY ALL")
+def config_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = tier1.resolve_config(event_readings(spark, sf_dir), event_config())
+    return known.groupBy("source", "metric", "policy", F.col("cfg.low").alias("low"), F.col("cfg.high").alias("high"), F.col("cfg.stuck_count").alias("stuck_count")).agg(F.count("*").alias("n"))
+
+
+# ---- reports
+
+
+@query(sql.verdicts(False) + sql.QUALITY_COUNTS.format(keys="metric"))
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(report.quality_counts(verdicts(spark, sf_dir), "metric"), "good_pct", "suspect_pct", "invalid_pct")
+
+
+@query(sql.verdicts(False) + sql.QUALITY_COUNTS.format(keys="source, metric"))
+def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(report.quality_counts(verdicts(spark, sf_dir), "source", "metric"), "good_pct", "suspect_pct", "invalid_pct")
+
+
+@query(sql.verdicts(False) + "SELECT metric, rule, count(*) AS n FROM v WHERE quality <> 'good' GROUP BY ALL")
+def flagged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.flagged_rules(verdicts(spark, sf_dir), "metric")
+
+
+@query(sql.verdicts(False) + "SELECT ts_us, source, metric, value, quality, rule FROM v WHERE quality <> 'good'")
+def flagged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.flagged_readings(verdicts(spark, sf_dir)).drop("reason")
+
+
+@query(sql.verdicts(False) + sql.HEALTH_LAST + sql.METRIC_REPORT)
+def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, config = verdicts(spark, sf_dir), event_config()
+    scored = health.score_at_last(judged, config)
+    out = report.metric_report(judged, scored, quarantine.quarantine_history(scored, config, "computed_us"))
+    text = F.array_join(F.transform(F.map_entries("flagged_rules"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("metric", "total", "good", "suspect", "invalid", "first_us", "last_us", "duration_s", F.array_join("sources", ",").alias("sources"), text.alias("flagged"), F.col("health.source").alias("worst_source"), F.round("health.overall", 6).alias("worst_score"), "quarantined", "quarantine_events")
+
+
+# ---- tier 2
+
+
+SIGNALS = ["overall", "quality_rate", "reporting_cadence", "drift", "variance_ratio", "recency"]
+
+
+@query(sql.verdicts(False) + sql.HEALTH_LAST + "SELECT source, metric, round(overall, 6) AS overall, round(quality_rate, 6) AS quality_rate, round(reporting_cadence, 6) AS reporting_cadence, round(drift, 6) AS drift, round(variance_ratio, 6) AS variance_ratio, round(recency, 6) AS recency, recent AS readings_in_window, last_good_us FROM health")
+def health_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scores(spark, sf_dir), *SIGNALS).drop("computed_us")
+
+
+@query(sql.verdicts(False) + sql.health("SELECT metric, 1705500000000000 AS now FROM v GROUP BY metric") + "SELECT source, metric, round(overall, 6) AS overall, recent AS readings_in_window FROM health")
+def health_score_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = 1_705_500_000_000_000
+    judged = verdicts(spark, sf_dir)
+    return rounded(health.score_health(judged, event_config(), F.lit(now)), "overall").select("source", "metric", "overall", "readings_in_window")
+
+
+@query(sql.verdicts(False) + sql.HEALTH_LAST + "SELECT source, metric, round(overall, 6) AS overall, CASE WHEN overall >= 90 THEN 'healthy' WHEN overall >= 70 THEN 'degraded' WHEN overall >= 40 THEN 'suspect' ELSE 'bad' END AS status FROM health")
+def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(health.health_listing(scores(spark, sf_dir)), "overall").select("source", "metric", "overall", "status")
+
+
+@query(sql.verdicts(False) + sql.HEALTH_LAST + "SELECT metric, arg_min(source, (overall, source)) AS source, round(min(overall), 6) AS overall, count(*) AS streams FROM health GROUP BY metric")
+def worst_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(health.worst_source(scores(spark, sf_dir)), "overall")
+
+
+@query(sql.verdicts(False) + sql.HEALTH_LAST + "SELECT metric, round(avg(overall), 6) AS overall, count(*) AS streams FROM health GROUP BY metric")
+def health_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(health.average_by_metric(scores(spark, sf_dir)), "overall")
+
+
+@query(sql.verdicts(False) + sql.HEALTH_LAST + "SELECT DISTINCT source, metric FROM health")
+def scored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.scored_streams(scores(spark, sf_dir))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.health_history(verdicts(spark, sf_dir), event_config(), sql.GRID_START, sql.GRID_END, sql.GRID_STEP)
+
+
+@query(sql.verdicts(False) + sql.HEALTH_TICKS + "SELECT source, metric, tick_us, round(overall, 5) AS overall, round(drift, 5) AS drift, round(variance_ratio, 5) AS variance_ratio, recent AS readings_in_window, last_good_us FROM health")
+def health_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = history(spark, sf_dir).withColumns({c: F.round(c, 5) for c in ("overall", "drift", "variance_ratio")})
+    return out.select("source", "metric", "tick_us", "overall", "drift", "variance_ratio", "readings_in_window", "last_good_us")
+
+
+# ---- tier 3
+
+
+def quarantine_config() -> ValidatorConfig:
+    base = event_config()
+    return ValidatorConfig(base.metrics, base.groups, recent_window=base.recent_window, bad_threshold=sql.BAD, recovery_threshold=sql.RECOVERY, consecutive=2)
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine.quarantine_history(history(spark, sf_dir).select("source", "metric", "tick_us", "overall"), quarantine_config())
+
+
+@query(sql.verdicts(False) + sql.HEALTH_TICKS + sql.QUARANTINE + "SELECT source, metric, tick_us, q AS is_quarantined, q_us AS quarantined_us, bad AS consecutive_bad, rec AS consecutive_recovery, transition FROM machine")
+def quarantine_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantined(spark, sf_dir).select("source", "metric", "tick_us", "is_quarantined", "quarantined_us", F.col("consecutive_bad").cast("int").alias("consecutive_bad"), F.col("consecutive_recovery").cast("int").alias("consecutive_recovery"), "transition")
+
+
+@query(sql.verdicts(False) + sql.HEALTH_TICKS + sql.QUARANTINE + "SELECT source, metric, count(*) FILTER (WHERE transition = 'entered') AS entered, count(*) FILTER (WHERE transition = 'recovered') AS recovered, count(*) FILTER (WHERE q) AS ticks_quarantined, count(*) AS ticks FROM machine GROUP BY ALL")
+def quarantine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine.quarantine_events(quarantined(spark, sf_dir))
+
+
+@query(sql.verdicts(False) + sql.HEALTH_TICKS + sql.QUARANTINE + "SELECT source, metric, arg_max(q_us, tick_us) AS quarantined_us, round(arg_max(overall, tick_us), 5) AS score FROM machine GROUP BY ALL HAVING arg_max(q, tick_us)")
+def quarantine_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = quarantined(spark, sf_dir)
+    latest = told.groupBy("source", "metric").agg(F.max_by("overall", "tick_us").alias("overall"))
+    return quarantine.quarantine_current(told, latest).withColumn("score", F.round("score", 5))
+
+
+@query(sql.verdicts(False) + sql.HEALTH_TICKS + sql.QUARANTINE + "SELECT count(*) AS total_active, count(*) FILTER (WHERE q) AS total_quarantined FROM (SELECT arg_max(q, tick_us) AS q FROM machine GROUP BY source, metric)")
+def quarantine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine.quarantine_totals(quarantined(spark, sf_dir))
+
+
+# ---- joins in time
+
+
+@query(sql.readings(False) + sql.RAW_PAIRING)
+def raw_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = asof.raw_pairing(event_readings(spark, sf_dir), "click", "view", 3_600_000_000)
+    return out.select("seq", "source", "value", "raw_value")
+
+
+@query(sql.SESSIONS + "SELECT r.seq, r.unit, r.ts_us, s.id AS session_id, s.batch_label FROM bench r LEFT JOIN LATERAL (SELECT id, batch_label FROM log WHERE log.unit = r.unit AND started_us <= r.ts_us ORDER BY started_us DESC, id DESC LIMIT 1) s ON true")
+def session_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = asof.session_asof(bench_readings(spark, sf_dir), bench_sessions(spark, sf_dir))
+    return out.select("seq", "unit", "ts_us", F.col("session.id").alias("session_id"), F.col("session.batch_label").alias("batch_label"))
+
+
+@query(sql.SESSIONS + sql.IN_SESSION + "SELECT unit, batch_label, started_us, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM joined WHERE quality <> 'invalid' GROUP BY ALL")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(report.batch_summary(asof.in_session(bench_readings(spark, sf_dir), bench_sessions(spark, sf_dir))), "mean")
+
+
+@query(sql.SESSIONS + sql.IN_SESSION + "SELECT unit, batch_label, started_us, count(*) AS n, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS peak_to_peak, count(*) FILTER (WHERE quality = 'suspect') AS suspect_rows FROM joined WHERE quality <> 'invalid' GROUP BY ALL")
+def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(report.noise_floor(asof.in_session(bench_readings(spark, sf_dir), bench_sessions(spark, sf_dir))), "mean", "peak_to_peak")
+
+
+# ---- serving and monitoring
+
+
+@query(sql.verdicts(False) + "SELECT split_part(source, '/', 1) AS zone, split_part(source, '/', 2) AS zone_id, metric, max(seq) AS seq, arg_max(value, seq) AS value, arg_max(ts_us, seq) AS ts_us, arg_max(quality, seq) AS quality FROM v GROUP BY source, metric")
+def sensors_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.sensors_latest(verdicts(spark, sf_dir))
+
+
+@query(sql.readings(False) + "SELECT seq, ts_us, value FROM readings WHERE source = 'site/1' AND metric = 'view' ORDER BY seq DESC LIMIT 1")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.stream_latest(event_readings(spark, sf_dir), "site/1", "view").select("seq", "ts_us", "value")
+
+
+@query(sql.readings(False) + f"SELECT seq, ts_us, value FROM readings WHERE source = 'site/1' AND metric = 'view' AND ts_us >= {sql.NOW} - 86400000000 * 5")
+def reading_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.reading_history(event_readings(spark, sf_dir), "site/1", "view", sql.NOW, hours=120).select("seq", "ts_us", "value")
+
+
+@query(sql.verdicts(False) + "SELECT split_part(source, '/', 1) AS zone, split_part(source, '/', 2) AS zone_id, metric, quality, count(*) AS n FROM v GROUP BY ALL")
+def readings_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.readings_total(verdicts(spark, sf_dir))
+
+
+@query(sql.verdicts(False) + f"SELECT quality, count(*) AS n FROM v WHERE ts_us > {sql.NOW} - 86400000000 AND ts_us <= {sql.NOW} GROUP BY ALL")
+def quality_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.quality_window(verdicts(spark, sf_dir), sql.NOW)
+
+
+@query(sql.verdicts(False) + "SELECT source, metric, quality, (ts_us // 30000000 + 1 + d) * 30000000 - CASE WHEN ts_us % 30000000 = 0 THEN 30000000 ELSE 0 END AS tick_us, count(*) / 300.0 AS per_second FROM v, range(0, 10) AS t(d) GROUP BY ALL")
+def rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.reading_rate(verdicts(spark, sf_dir))
+
+
+@query(sql.readings(False) + f"SELECT source, metric, floor(({sql.NOW} - max(ts_us)) / 1000) / 1000.0 AS age_s FROM readings GROUP BY ALL")
+def last_reading_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.last_reading_age(event_readings(spark, sf_dir), sql.NOW)
+
+
+@query(sql.readings(False) + f"SELECT * FROM (SELECT source, metric, floor(({sql.NOW} - max(ts_us)) / 1000) / 1000.0 AS age_s FROM readings GROUP BY ALL) WHERE age_s > 3600")
+def outage_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.outages(event_readings(spark, sf_dir), sql.NOW, 3600.0)
+
+
+def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gauges.stale_gauge(verdicts(spark, sf_dir), sql.GRID_START, sql.GRID_END, 3_600_000_000, 4 * 3_600_000_000)
+
+
+@query(sql.verdicts(False) + sql.STALE_GAUGE + "SELECT source, metric, tick_us, value, raw_value, round(age_s, 6) AS age_s FROM gauge")
+def stale_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stale(spark, sf_dir), "age_s")
+
+
+@query(sql.verdicts(False) + sql.STALE_GAUGE + "SELECT tick_us, split_part(source, '/', 1) AS zone, split_part(source, '/', 2) AS zone_id, " + ", ".join(f"max(value) FILTER (WHERE metric = '{m}') AS \"{m}\"" for m in KINDS) + " FROM gauge GROUP BY ALL")
+def gauge_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gauges.gauge_pivot(stale(spark, sf_dir), list(KINDS))
+
+
+# ---- parsing
+
+
+@query(sql.TOPICS)
+def topic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    topic = F.when(F.col("event_type") == "view", F.concat(F.lit("groundtruth/bed/"), k, F.lit("/moisture"))).when(F.col("event_type") == "click", F.concat(F.lit("charstation/"), k, F.lit("/raw_adc"))).when(F.col("event_type") == "error", F.concat(F.lit("groundtruth/greenhouse/"), F.when(F.col("user_id") % 2 == 0, "humidity").otherwise("pressure"))).when(F.col("event_type") == "signup", F.lit("charstation/session")).otherwise(F.concat(F.lit("groundtruth/bed/"), k, F.lit("/moisture_raw")))
+    p = parsing.parse_topic(F.col("topic"))
+    return e.select("event_id", topic.alias("topic")).select("event_id", parsing.route(F.col("topic")).alias("route"), p["zone"].alias("zone"), p["zone_id"].alias("zone_id"), p["metric"].alias("metric"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 1 THEN epoch_us(ts) // 1000000 * 1000000 WHEN event_id % 5 = 2 THEN epoch_us(ts) // 1000 * 1000 WHEN event_id % 5 = 3 THEN epoch_us(date_trunc('day', ts)) WHEN event_id % 5 = 4 THEN epoch_us(ts) // 1000000 * 1000000 ELSE epoch_us(ts) END AS ts_us FROM events")
+def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    ntz, us = F.col("ts").cast("timestamp_ntz"), parsing.micros(e.schema, "ts")
+    k = F.col("event_id") % 5
+    text = F.when(k == 1, F.floor(us / 1_000_000).cast("string")).when(k == 2, F.floor(us / 1000).cast("string")).when(k == 3, F.date_format(ntz, "yyyy-MM-dd")).when(k == 4, F.date_format(ntz, "yyyy/MM/dd HH:mm:ss")).otherwise(F.concat(F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    return e.select("event_id", parsing.timestamp_micros(text).alias("ts_us"))
+
+
+@query("SELECT event_type, count(*) AS cells, count(*) FILTER (WHERE user_id % 3 <> 0) AS numbers, count(*) FILTER (WHERE user_id % 3 = 0) AS skipped, round(sum(CASE WHEN user_id % 3 <> 0 THEN value END), 4) AS total FROM events GROUP BY ALL")
+def numeric_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("user_id") % 3 == 0, F.concat(F.col("value").cast("string"), F.lit("d"))).otherwise(F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")))
+    n = parsing.number(text)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("cells"), F.count_if(n.isNotNull()).alias("numbers"), F.count_if(n.isNull()).alias("skipped"), F.round(F.sum(n), 4).alias("total"))
+
+
+@query("SELECT event_id, round(least(greatest((2800 - value * 10) * 100.0 / (2800 - (1200 + user_id % 4)), 0.0), 100.0), 6) AS moisture FROM events")
+def calibrate_moisture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wet = F.lit(1200) + F.col("user_id") % 4
+    return table(spark, sf_dir, "events").select("event_id", F.round(rules.calibrate_moisture(F.col("value") * 10, F.lit(2800), wet), 6).alias("moisture"))
+
+
+@query("SELECT event_type, event_id // 16 AS reading, count(*) AS samples, (sum(k) + count(*) // 2) // count(*) AS mean FROM (SELECT event_type, event_id, TRY_CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events) GROUP BY ALL")
+def oversample_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    return report.oversample_mean(e, [F.col("event_type"), F.floor(F.col("event_id") / 16).alias("reading")], "k", half_up=True)
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, (_, text) in REGISTERED.items()}

@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from streamcheck.llm.shared import Scratch
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    least = scratch.write(least, name)
     return both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Edges are (a, b) with b < a."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+    least = scratch.write(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"), name)
     moved = edges.join(least, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -41,6 +42,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: s
         if not sums.n or (sums.n, sums.h) == mark:
             break
         mark, rounds = (sums.n, sums.h), rounds + 1
-        now = scratch.write(small_star(large_star(now)), f"{name}-{rounds}")
+        half = scratch.write(large_star(now, scratch, f"{name}-large"), f"{name}-half")
+        now = scratch.write(small_star(half, scratch, f"{name}-small"), f"{name}-{rounds}")
         scratch.drop(f"{name}-{rounds - 1}")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))

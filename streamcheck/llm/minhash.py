@@ -8,9 +8,11 @@ Documents with equal shingle sets are one class, so copies cost one row each.  C
 are never expanded into all pairs of a bucket.  First, every member of a bucket is checked
 against two hubs of it; the links that hold give components.  Then only buckets in which
 more than one component is left go on: their members are dealt into cells of bounded size so
-that every two of different components meet in a cell, and there each pair whose signatures
-allow it is checked on its full sets, skipping pairs that links have joined meanwhile.  So
-every colliding pair is either checked or already in one component.
+that every two of different components meet in a cell, and there signatures tell which may
+still be similar.  Components that may touch form clusters, and the documents concerned meet
+once more, by cluster and with their full sets, in cells of bounded size; pairs that links
+have joined meanwhile are skipped.  So every colliding pair whose signatures allow it is
+either checked or already in one component.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from streamcheck.llm import textkit
 from streamcheck.llm.components import components
 from streamcheck.llm.shared import Scratch
 
-BANDS, ROWS, CELL = 25, 4, 384
+BANDS, ROWS, CELL = 25, 4, 1000
 _CHUNK = 1 << 17
 
 
@@ -126,9 +127,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def least_agreement(size: int, percent: int) -> int:
-    """Signatures of a pair that reaches ``percent`` agree in fewer places with a chance under 1e-8."""
+    """Signatures of a pair that reaches ``percent`` agree in fewer places with a chance under 1e-5."""
     p = percent / 100
-    return int(np.floor(size * p - 5.7 * np.sqrt(size * p * (1 - p))))
+    return int(np.floor(size * p - 4.4 * np.sqrt(size * p * (1 - p))))
 
 
 def may_match(pairs: DataFrame, least: int) -> DataFrame:
@@ -187,40 +188,82 @@ def cells(members: DataFrame, cell: int) -> DataFrame:
     return placed.withColumn("cell", F.explode(dealt)).select("bucket", "cell", "id", "comp", *extra)
 
 
-def in_cells(dealt: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return dealt.groupBy("bucket", "cell").applyInPandas(work, schema)
+def in_cells(dealt: DataFrame, work: Callable[[pa.Table], tuple[list, list, list]], columns: list[str]) -> DataFrame:
+    """(kind, x, y) rows that ``work`` makes of each cell; a cell is a run of sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in [*batches_of(batches), None]:
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            key = np.column_stack([table[c].to_numpy() for c in ("bucket", "kind", "i", "j")])
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            bounds = [0, *cuts.tolist()] + ([table.num_rows] if batch is None else [])
+            held = table.slice(bounds[-1]) if batch is not None else None
+            kinds, xs, ys = [], [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo > 1:
+                    k, x, y = work(table.slice(lo, hi - lo))
+                    kinds += k
+                    xs += x
+                    ys += y
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+    keys = ["bucket", "kind", "i", "j"]
+    flat = dealt.select("bucket", "cell.kind", "cell.i", "cell.j", *columns).repartition(*keys).sortWithinPartitions(*keys)
+    return flat.mapInArrow(run, "kind int, x bigint, y bigint")
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def signature_rows(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
 def suspects(dealt: DataFrame, least: int) -> DataFrame:
-    """(bucket, id): members whose signature may match one of another component in their cell."""
+    """Of each cell: kind 1, (component, component) that may touch, a forest of them; kind 0, (id, component) of members concerned."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        signature = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-        comp, hit = pdf["comp"].to_numpy(), np.zeros(len(pdf), dtype=bool)
-        for lo in range(0, len(pdf), 32):
+    def work(table: pa.Table) -> tuple[list, list, list]:
+        signature, ids, comp = signature_rows(table), table["id"].to_numpy(), table["comp"].to_numpy()
+        label, hit, found = comp.copy(), np.zeros(len(ids), dtype=bool), []
+        for lo in range(0, len(ids), 32):
             near = ((signature[lo : lo + 32, None] == signature[None]).sum(axis=2) >= least) & (comp[lo : lo + 32, None] != comp[None])
             hit |= near.any(axis=0)
-        return pdf.loc[hit, ["bucket", "id"]]
+            for r in np.flatnonzero(near.any(axis=1)).tolist():
+                i = lo + r
+                for other in np.unique(comp[near[r]]).tolist():
+                    a, b = label[i], label[comp == other][0]
+                    if a != b:
+                        found.append((int(comp[i]), other))
+                        label[label == b] = a
+        at = np.flatnonzero(hit)
+        return [0] * len(at) + [1] * len(found), ids[at].tolist() + [a for a, _ in found], comp[at].tolist() + [b for _, b in found]
 
-    return in_cells(dealt, work, "bucket bigint, id bigint").distinct()
+    return in_cells(dealt, work, ["id", "comp", "signature"]).distinct()
 
 
 def cell_links(dealt: DataFrame, least: int, percent: int) -> DataFrame:
     """(a, b): links between components that meet in a cell; pairs that earlier links of the cell join are skipped."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        signature = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        ids, comp, found = pdf["id"].tolist(), pdf["comp"].to_numpy().copy(), []
-        for i in range(len(pdf)):
-            agree = (signature[i] == signature[i + 1 :]).sum(axis=1)
-            for j in (np.argsort(-agree, kind="stable")[: int((agree >= least).sum())] + i + 1).tolist():
-                if comp[i] != comp[j] and similar(sets[i], sets[j], percent):
-                    found.append((ids[i], ids[j]))
-                    comp[comp == comp[j]] = comp[i]
-        return pd.DataFrame(found, columns=["a", "b"])
+    def work(table: pa.Table) -> tuple[list, list, list]:
+        signature, ids, label = signature_rows(table), table["id"].to_pylist(), table["comp"].to_numpy().copy()
+        sets, xs, ys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]], [], []
+        for i in range(len(ids) - 1):
+            others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            agree = (signature[i] == signature[others]).sum(axis=1)
+            for j in others[np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]].tolist():
+                if label[i] != label[j] and similar(sets[i], sets[j], percent):
+                    xs.append(ids[i])
+                    ys.append(ids[j])
+                    label[label == label[j]] = label[i]
+        return [0] * len(xs), xs, ys
 
-    return in_cells(dealt, work, "a bigint, b bigint")
+    return in_cells(dealt, work, ["id", "comp", "signature", "shingles"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, lower: bool = True) -> DataFrame:
@@ -240,20 +283,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = classes.where("id is not null")
     members = scratch.write(known.select(F.explode("keys").alias("bucket"), "id"), "members")
     hubs = members.groupBy("bucket").agg(F.min("id").alias("h1"), F.min_by("id", F.xxhash64("id", F.lit(17))).alias("h2"), F.max("id").alias("top")).where("h1 <> top").select("bucket", "h1", "h2")
+    hubs = scratch.write(hubs, "hubs")
     shared = scratch.write(members.join(hubs, "bucket"), "shared")  # members of buckets that hold more than one class
     star = shared.select(F.col("id").alias("a"), F.explode(F.array("h1", "h2")).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     signature = known.select("id", "signature")
     pairs = star.join(signature.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(signature.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
     pairs = scratch.write(may_match(pairs, least), "pairs")
+    # One shuffle of texts serves both checks; an id that repeats has one set, that of its class.
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-
-    def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        wanted = texts.join(ids.distinct(), "id", "left_semi")
-        made = shingle_table(wanted, "id", "text", words, lower)
-        # an id that repeats has one set here, that of its class
-        return scratch.write(made.groupBy("id").agg(F.max("shingles").alias("shingles")), name)
-
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), "sets")
+    made = shingle_table(texts.join(shared.select("id").distinct(), "id", "left_semi"), "id", "text", words, lower)
+    sets = scratch.write(made.groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
     links = scratch.write(verified(pairs, sets, percent), "links")
     comp = components(links, scratch, "stars")
 
@@ -261,13 +300,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_buckets = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     rest = rest.join(open_buckets, "bucket", "left_semi").join(signature, "id")
     found = scratch.write(suspects(cells(rest, cell), least), "suspects")
-    if not found.isEmpty():
-        again = found.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")).join(signature, "id")
-        more = sets_of(found.select("id"), "more-sets")
-        links = scratch.write(links.union(cell_links(cells(again.join(more, "id"), cell), least, percent)).distinct(), "all-links")
+    touching = found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if not touching.isEmpty():
+        cluster = components(touching, scratch, "clusters").select(F.col("id").alias("comp"), F.col("component").alias("cluster"))
+        again = found.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("comp")).join(cluster, "comp", "left")
+        again = again.select(F.coalesce("cluster", "comp").alias("bucket"), "id", "comp").join(signature, "id")
+        links = scratch.write(links.union(cell_links(cells(again.join(sets, "id"), cell), least, percent)).distinct(), "all-links")
         comp = components(links, scratch, "all")
     label = classes.select("digest", F.col("id").alias("class_id")).join(comp, F.col("class_id") == F.col("id"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
-    scratch.drop("members", "pairs", "sets", "more-sets")
+    scratch.drop("members", "hubs", "pairs", "sets")
     return sketches.join(label, "digest", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",

@@ -67,7 +67,7 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,k,cell", [(1, 4, 384), (2, 5, 384), (3, 5, 4)])
+@pytest.mark.parametrize("seed,k,cell", [(1, 4, 1000), (2, 5, 1000), (3, 5, 4)])
 def test_equals_all_pairs(spark, seed, k, cell):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, keys string, id int").repartition(6)
@@ -81,7 +81,7 @@ def test_links_that_hubs_miss(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     keep, minhash.may_match = minhash.may_match, lambda pairs, least: pairs.select("a", "b").where("a < b and b < 0")
     try:
-        for cell in (384, 5):
+        for cell in (1000, 5):
             got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(df, words=4, cell=cell).collect()}
             assert got == brute(rows, 4, 80)
     finally:

@@ -81,7 +81,7 @@ METRIC_FIELDS = "low double, high double, raw_low bigint, raw_high bigint, max_r
 
 
 def _fields(m: MetricConfig) -> tuple:
-    return (m.low, m.high, m.raw_low, m.raw_high, m.max_rate, m.rate_window, m.stuck_mode, float(m.stuck_tolerance), m.stuck_count, m.stuck_window, m.cadence)
+    return (float(m.low), float(m.high), m.raw_low, m.raw_high, float(m.max_rate), m.rate_window, m.stuck_mode, float(m.stuck_tolerance), m.stuck_count, m.stuck_window, m.cadence)
 
 
 def metric_table(spark: SparkSession, config: ValidatorConfig) -> DataFrame:

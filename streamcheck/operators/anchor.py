@@ -60,7 +60,7 @@ def run_anchors(df: DataFrame, tol: str = "tol") -> DataFrame:
             last, held, held_us = ids[-1], now, int(us[-1])
             yield pa.RecordBatch.from_arrays([*(cols[n] for n in names), pa.array(value), pa.array(us)], names=[*names, "anchor_value", "anchor_us"])
 
-    walked = rest.mapInArrow(run, StructType(df.schema.fields).add("anchor_value", DoubleType()).add("anchor_us", LongType()))
+    walked = rest.mapInArrow(run, StructType([*df.schema.fields]).add("anchor_value", DoubleType()).add("anchor_us", LongType()))
     return flat.select(*names, "anchor_value", "anchor_us").unionByName(walked)
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from streamcheck.config import SECOND, ValidatorConfig, csv_run_config
 from streamcheck.functions import parsing
@@ -82,7 +83,7 @@ def choose_metrics(roles: Roles, metric: str | None) -> dict[str, str]:
 
 def with_row_index(df: DataFrame) -> DataFrame:
     """``seq``, the dense place of each row in the file (a count and a map, no single-task window)."""
-    schema = df.schema.add("seq", "long", False)
+    schema = StructType([*df.schema.fields]).add("seq", "long", False)
     return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
 
 

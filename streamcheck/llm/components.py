@@ -2,8 +2,8 @@
 
 Every round hangs each vertex's neighbours on the smallest of them; edges turn into stars
 around the smallest id of their component in about log n rounds.  Minima are combined before
-the shuffle, and the joins back are plain equi-joins whose hot keys (the centre of a large
-star) adaptive execution splits.  Each round's edges are a table in the shared folder.
+the shuffle and written as tables of their own, so that the joins back are plain equi-joins
+whose hot keys (the centre of a large star) adaptive execution splits.  Each round's edges are a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,6 +28,13 @@ def small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return moved.union(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Every vertex hangs on one centre, and no centre hangs on another."""
+    if not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("b").alias("k")).distinct(), F.col("a") == F.col("k"), "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable, for every vertex that is not itself the smallest.
 
@@ -36,12 +43,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: s
     """
     a, b = F.col(a).cast("bigint"), F.col(b).cast("bigint")
     now = scratch.write(edges.where((a != b) & a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), f"{name}-0")
-    mark, rounds = None, 0
-    while True:
-        sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if not sums.n or (sums.n, sums.h) == mark:
-            break
-        mark, rounds = (sums.n, sums.h), rounds + 1
+    rounds = 0
+    while not are_stars(now):
+        rounds += 1
         half = scratch.write(large_star(now, scratch, f"{name}-large"), f"{name}-half")
         now = scratch.write(small_star(half, scratch, f"{name}-small"), f"{name}-{rounds}")
         scratch.drop(f"{name}-{rounds - 1}")

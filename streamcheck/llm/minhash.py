@@ -157,21 +157,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
-def cells(members: DataFrame, cell: int) -> DataFrame:
-    """Deal the members (bucket, id, comp, ...) of buckets with more than one component into cells.
+def cells(members: DataFrame, cell: int, scratch: Scratch, name: str) -> DataFrame:
+    """Deal the members (bucket, id, comp; a written table) of buckets with more than one component into cells.
 
     The bucket's first component is dealt into blocks and so are all others; each block meets
     each block of the others in a cell of at most about two blocks.  A bucket of one block
     gives each member one row.
     """
-    info = members.groupBy("bucket").agg(F.min("comp").alias("base"), F.max("comp").alias("top"), F.count("*").alias("n"))
-    sizes = members.join(info.where("base <> top"), "bucket")
-    own = (F.col("comp") == F.col("base")).alias("own")
-    counts = sizes.groupBy("bucket").agg(F.count_if(F.col("comp") == F.col("base")).alias("n_own"))
-    blocks = info.where("base <> top").join(counts, "bucket").select(
-        "bucket", "base", "n", F.ceil(F.col("n_own") / cell).alias("p"), F.ceil((F.col("n") - F.col("n_own")) / cell).alias("q")
-    )
-    placed = members.join(blocks, "bucket").withColumn("own", own).withColumn("h", F.abs(F.xxhash64("id")))
+    by_comp = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    info = by_comp.groupBy("bucket").agg(F.min("comp").alias("base"), F.max("comp").alias("top"), F.min_by("n", "comp").alias("n_own"), F.sum("n").alias("n")).where("base <> top")
+    blocks = scratch.write(info.select("bucket", "base", "n", F.ceil(F.col("n_own") / cell).alias("p"), F.ceil((F.col("n") - F.col("n_own")) / cell).alias("q")), name)
+    placed = members.join(blocks, "bucket").withColumns({"own": F.col("comp") == F.col("base"), "h": F.xxhash64("id")})
 
     def cell_of(kind: int, i: Column, j: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -184,8 +180,7 @@ def cells(members: DataFrame, cell: int) -> DataFrame:
     )
     whole = F.array(cell_of(2, F.lit(0), F.lit(0)))
     dealt = F.when(F.col("n") <= cell, whole).when(F.col("own"), as_own).otherwise(as_other)
-    extra = [c for c in members.columns if c not in ("bucket", "id", "comp")]
-    return placed.withColumn("cell", F.explode(dealt)).select("bucket", "cell", "id", "comp", *extra)
+    return placed.select("bucket", F.explode(dealt).alias("cell"), "id", "comp")
 
 
 def in_cells(dealt: DataFrame, work: Callable[[pa.Table], tuple[list, list, list]], columns: list[str]) -> DataFrame:
@@ -296,16 +291,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = scratch.write(verified(pairs, sets, percent), "links")
     comp = components(links, scratch, "stars")
 
-    rest = shared.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    open_buckets = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rest = rest.join(open_buckets, "bucket", "left_semi").join(signature, "id")
-    found = scratch.write(suspects(cells(rest, cell), least), "suspects")
+    rest = scratch.write(shared.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "rest")
+    found = scratch.write(suspects(cells(rest, cell, scratch, "rest-blocks").join(signature, "id"), least), "suspects")
     touching = found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
     if not touching.isEmpty():
         cluster = components(touching, scratch, "clusters").select(F.col("id").alias("comp"), F.col("component").alias("cluster"))
         again = found.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("comp")).join(cluster, "comp", "left")
-        again = again.select(F.coalesce("cluster", "comp").alias("bucket"), "id", "comp").join(signature, "id")
-        links = scratch.write(links.union(cell_links(cells(again.join(sets, "id"), cell), least, percent)).distinct(), "all-links")
+        again = scratch.write(again.select(F.coalesce("cluster", "comp").alias("bucket"), "id", "comp"), "again")
+        dealt = cells(again, cell, scratch, "again-blocks").join(signature, "id").join(sets, "id")
+        links = scratch.write(links.union(cell_links(dealt, least, percent)).distinct(), "all-links")
         comp = components(links, scratch, "all")
     label = classes.select("digest", F.col("id").alias("class_id")).join(comp, F.col("class_id") == F.col("id"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
     scratch.drop("members", "hubs", "pairs", "sets")

@@ -63,7 +63,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_lines(table(spark, sf_dir, "documents")).drop("recurring_lines")
+    return remove_lines(table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = """

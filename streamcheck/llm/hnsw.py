@@ -25,7 +25,7 @@ from streamcheck.llm.components import components
 from streamcheck.llm.shared import Scratch
 
 COSINE = 0.95
-LEAST_SHARDS, SHARD_ROWS, GROUP_ROWS = 8, 16384, 16384
+LEAST_SHARDS, SHARD_ROWS, GROUP_ROWS = 8, 16384, 8192
 LINKS, BUILD_BEAM, BEAM = 16, 48, 24
 AUDIT, RECALL = 48, 0.995
 _TILE = 256
@@ -253,7 +253,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         blob = pickle.dumps((Graph(x), x, table["rep"].to_numpy(), table["size"].to_numpy()), protocol=5)
         return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "graph": pa.array([blob], pa.binary())}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
 
-    graphs = scratch.write(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
+    # Partition numbers are given: a (shard, group) is heavy work on few bytes, which must not be coalesced.
+    graphs = scratch.write(dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
     queries = dealt.select("dim", "part", "rep", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     graphs_each = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
@@ -274,6 +275,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         })
 
     keys = ["dim", "shard", "part"]
+    cells = 2 * shards * groups
+    queries, graphs_each = queries.repartition(cells, *keys), graphs_each.repartition(cells, *keys)
     found = queries.groupBy(*keys).cogroup(graphs_each.groupBy(*keys)).applyInArrow(lambda a, b: query(a, b), "kind int, x bigint, y bigint")
     found = scratch.write(found, "found")
     comp = components(found.where("kind = 1"), scratch, "links", "x", "y")

@@ -10,7 +10,7 @@
    unseen in training are one more.  The number of classes is fixed.
 4. *Baum-Welch.*  Every pass maps the coded documents to expected counts of states, transitions
    and (state, class) emissions, which Spark sums over all partitions; the sums, of fixed
-   size, make the next parameters.
+   size, make the next parameters.  Passes go on until the likelihood stops improving.
 5. *Scores.*  The scaled forward recursion gives each document's exact likelihood.
 
 P(word | state) = P(class | state) * q(word) / q(class), with q the smoothed unigram model, so
@@ -33,7 +33,7 @@ from streamcheck.llm import textkit
 from streamcheck.llm.bpe import ragged
 from streamcheck.llm.shared import Scratch
 
-STATES, PASSES, START_ROWS, START_ROUNDS = 6, 3, 1500, 20
+STATES, GAIN = 6, 1e-3  # GAIN: the least log10 likelihood per training token that a pass must add
 FREQUENT, ENDINGS = 28672, 4095
 UNSEEN = FREQUENT + ENDINGS
 CLASSES = UNSEEN + 1
@@ -231,15 +231,10 @@ def maximise(found: Expected, corpus: Corpus) -> Model:
     return Model((found.start + 0.1) / (found.start + 0.1).sum(), move / move.sum(axis=1, keepdims=True), emit)
 
 
-def first_model(rows: list[bytes], corpus: Corpus, states: int, rounds: int) -> Model:
-    """Start values: some rounds over a bounded sample, from slightly different emissions and lasting states."""
+def first_model(corpus: Corpus, states: int) -> Model:
+    """Start values: slightly different emissions and lasting states."""
     noise = np.random.Generator(np.random.PCG64(7)).gamma(2.0, 0.5, (CLASSES, states))
-    model = maximise(Expected(np.ones(states), 50 * np.eye(states) + 1, corpus.class_mass[:, None] * noise * corpus.tokens), corpus)
-    for _ in range(rounds if rows else 0):
-        found = Expected.zero(states)
-        expect(model, rows, found)
-        model = maximise(found, corpus)
-    return model
+    return maximise(Expected(np.ones(states), 50 * np.eye(states) + 1, corpus.class_mass[:, None] * noise * corpus.tokens), corpus)
 
 
 def baum_welch_pass(coded: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, float]:
@@ -271,6 +266,17 @@ def baum_welch_pass(coded: DataFrame, model: Model, corpus: Corpus) -> tuple[Mod
     return maximise(found, corpus), found.log / np.log(10)
 
 
+def train(coded: DataFrame, corpus: Corpus, states: int, gain: float) -> Model:
+    """Passes over all training documents until one adds less than ``gain`` per token to the log10 likelihood."""
+    model, last = first_model(corpus, states), -np.inf
+    while corpus.tokens:
+        following, log = baum_welch_pass(coded, model, corpus)
+        if log - last < gain * corpus.tokens:
+            break
+        model, last = following, log
+    return model
+
+
 def log_likelihood(model: Model, columns: list[bytes]) -> np.ndarray:
     """log10 likelihood of each whole sequence, by the scaled forward recursion."""
     n = np.array([len(c) // 2 for c in columns], dtype=np.int64)
@@ -290,7 +296,7 @@ def log_likelihood(model: Model, columns: list[bytes]) -> np.ndarray:
     return result
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, states: int = STATES, passes: int = PASSES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, states: int = STATES, gain: float = GAIN) -> DataFrame:
     """Train on the documents that ``held`` (by default a tenth, by id) leaves, and score all.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end, which counts as a
@@ -319,12 +325,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coded = scratch.write(code_documents(blocks, words.withColumn("kind", kind), corpus), "coded", compression="zstd")
     scratch.drop("blocks", "words")
 
-    trained = coded.where("not held_out")
-    total = trained.count()
-    sample = trained.where(F.abs(F.xxhash64("doc_id", F.lit(3))) % 1_000_000 < int(1_000_000 * min(1.0, START_ROWS / max(total, 1)))).select("classes")
-    model = first_model(sample.toArrow()["classes"].to_pylist() if total else [], corpus, states, START_ROUNDS)
-    for _ in range(passes if total else 0):
-        model, _ = baum_welch_pass(coded, model, corpus)
+    model = train(coded, corpus, states, gain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

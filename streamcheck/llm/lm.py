@@ -33,7 +33,7 @@ from streamcheck.llm import textkit
 from streamcheck.llm.bpe import ragged
 from streamcheck.llm.shared import Scratch
 
-STATES, GAIN = 6, 1e-3  # GAIN: the least log10 likelihood per training token that a pass must add
+STATES, GAIN = 6, 1e-4  # GAIN: the least log10 likelihood per training token that a pass must add
 FREQUENT, ENDINGS = 28672, 4095
 UNSEEN = FREQUENT + ENDINGS
 CLASSES = UNSEEN + 1

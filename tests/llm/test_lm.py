@@ -89,6 +89,27 @@ def test_training_raises_likelihood(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 5 * len(held)
 
 
+def test_training_goes_on_until_likelihood_stops_improving(spark, monkeypatch):
+    """Every round is a pass over all training documents, however many there are."""
+    rng = np.random.default_rng(3)
+    words = [[f"{x}{i}" for i in range(8)] for x in "abc"]
+    rows = [(i, " ".join(words[(i + k // 4) % 3][rng.integers(8)] for k in range(12))) for i in range(4000)]
+    passes, one = [], lm.baum_welch_pass
+
+    def logged(coded, model, corpus):
+        following, log = one(coded, model, corpus)
+        passes.append((coded.where("not held_out").count(), log / corpus.tokens))
+        return following, log
+
+    monkeypatch.setattr(lm, "baum_welch_pass", logged)
+    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gains = np.diff([log for _, log in passes])
+    assert {n for n, _ in passes} == {sum(not r.held_out for r in got)}
+    assert len(gains) > 3 and (gains[:-1] >= lm.GAIN).all() and gains[-1] < lm.GAIN
+    trained = [r for r in got if not r.held_out]
+    assert sum(r.score for r in trained) > 0.9 * sum(r.base_score for r in trained)
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all words and the unseen event, whatever came before."""
     rows = [(i, f"w{i % 7} w{i % 3} rare{i}") for i in range(60)]

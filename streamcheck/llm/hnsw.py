@@ -4,8 +4,9 @@ Equal vectors are one class.  Classes are dealt into shards by hash; a task buil
 graph.  Every class then queries every shard: classes are dealt into query groups, and the
 task of a (shard, group) holds one graph and one group, both of bounded size.  Searches run
 for many queries at a time in numpy.  A beam whose worst hit is still a link is widened until
-it is not; and each task audits its recall on some queries against all vectors of its shard
-and widens every beam until the audit passes (in the limit the beam holds the shard).  Links are
+it is not; and each task audits its recall on planted links, which every shard has however sparse
+its own are, and on the links of some queries with others, and widens every beam until both audits
+pass (in the limit all pairs are compared).  Audited recalls are kept with the links.  Links are
 checked by their cosine in double precision, counted where they are found, and sent on as a
 forest per task, so that a group of m near copies costs about m rows, not all its pairs.
 """
@@ -27,7 +28,8 @@ from streamcheck.llm.shared import Scratch
 COSINE = 0.95
 LEAST_SHARDS, SHARD_ROWS, GROUP_ROWS = 8, 16384, 8192
 LINKS, BUILD_BEAM, BEAM = 16, 48, 24
-AUDIT, RECALL = 48, 0.995
+AUDIT, PLANTED, RECALL = 48, 200, 0.995
+SELF = 1 - 1e-12  # a cosine from here on is a vector's match with itself
 _TILE = 256
 
 
@@ -175,20 +177,33 @@ def exact_links(q: np.ndarray, x: np.ndarray, cosine: float) -> list[np.ndarray]
     return [np.flatnonzero(row >= cosine) for lo in range(0, len(q), 64) for row in q[lo : lo + 64] @ x.T]
 
 
+def planted(x: np.ndarray, n: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(origins, vectors): ``n`` seeded perturbations of vectors spread over ``x``, just over ``cosine`` from their origins."""
+    origin = np.linspace(0, len(x) - 1, n).astype(np.int64)
+    v, noise = x[origin], np.random.Generator(np.random.PCG64(len(x))).normal(size=(n, x.shape[1]))
+    noise -= (noise * v).sum(axis=1, keepdims=True) * v
+    c = cosine + 0.02 * (1 - cosine)
+    return origin, unit(c * v + np.sqrt(1 - c * c) * noise / np.maximum(np.sqrt((noise * noise).sum(axis=1, keepdims=True)), 1e-300))
+
+
 def shard_links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> tuple[list[np.ndarray], float, int]:
-    """(linked ids by query, audited recall, beam): beams double until the audit passes."""
-    few = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64)) if len(q) else np.zeros(0, np.int64)
-    truth = exact_links(q[few], x, cosine)
+    """(linked ids by query, audited recall, beam): beams double until the audit passes; if none does, all pairs are compared."""
+    if not len(q):
+        return [], 1.0, beam
+    few = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
+    truth = [t[x[t] @ v < SELF] for t, v in zip(exact_links(q[few], x, cosine), q[few], strict=True)]
+    origin, probes = planted(x, PLANTED, cosine)
     total, slack = sum(map(len, truth)), cosine - 1e-4
-    while True:
+    while PLANTED < len(x) > beam:  # all pairs of a smaller shard are less work than its audit
         found = graph.within(q[few].astype(np.float32), slack, beam)
         hit = sum(np.isin(t, f).sum() for t, f in zip(truth, found, strict=True))
-        if hit >= recall * total or beam >= len(x):
-            break
+        met = sum(o in f for o, f in zip(origin, graph.within(probes.astype(np.float32), slack, beam), strict=True))
+        audited = min(met / len(origin), hit / total if total else 1.0)
+        if audited >= recall:
+            near = graph.within(q.astype(np.float32), slack, beam)
+            return [i[(x[i] @ v) >= cosine] for i, v in zip(near, q, strict=True)], float(audited), beam
         beam *= 2
-    near = graph.within(q.astype(np.float32), slack, beam)
-    sure = [i[(x[i] @ v) >= cosine] for i, v in zip(near, q, strict=True)]
-    return sure, hit / total if total else 1.0, beam
+    return exact_links(q, x, cosine), 1.0, len(x)
 
 
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -264,14 +279,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             return none
         graph, x, reps, sizes = pickle.loads(right["graph"][0].as_py())
         q, own = matrix(left["vector"]), left["rep"].to_numpy()
-        found, _, _ = shard_links(graph, x, q, cosine)
+        found, recall, beam = shard_links(graph, x, q, cosine)
         counts = [int(sizes[i[reps[i] != r]].sum()) for i, r in zip(found, own.tolist(), strict=True)]
         edges = forest([(r, int(o)) for i, r in zip(found, own.tolist(), strict=True) for o in reps[i].tolist() if o != r])
         at = [k for k, c in enumerate(counts) if c]
         return pa.table({
-            "kind": pa.array([0] * len(at) + [1] * len(edges), pa.int32()),
-            "x": pa.array([int(own[k]) for k in at] + [a for a, _ in edges], pa.int64()),
-            "y": pa.array([counts[k] for k in at] + [b for _, b in edges], pa.int64()),
+            "kind": pa.array([0] * len(at) + [1] * len(edges) + [2], pa.int32()),  # 2: beam and audited recall in millionths
+            "x": pa.array([int(own[k]) for k in at] + [a for a, _ in edges] + [beam], pa.int64()),
+            "y": pa.array([counts[k] for k in at] + [b for _, b in edges] + [int(recall * 1e6)], pa.int64()),
         })
 
     keys = ["dim", "shard", "part"]

@@ -52,6 +52,20 @@ def test_graph_finds_neighbours(seed):
     assert all(np.isin(f, t).all() for t, f in zip(truth, found, strict=True))
 
 
+def test_audit_has_evidence_where_links_are_sparse():
+    """No audited query has a link, and the graph is too thin for the first beam."""
+    rng = np.random.default_rng(5)
+    x = unit(rng.normal(size=(2000, 32)))
+    q = rng.normal(size=(470, 32))
+    for k in set(range(len(q))) - set(np.linspace(0, len(q) - 1, 48).astype(int).tolist()):
+        q[k] = x[k + 500] + 0.05 * rng.normal(size=32)
+    q = unit(q)
+    found, recall, _ = shard_links(Graph(x, links=2, beam=2), x, q, 0.95)
+    truth = exact_links(q, x, 0.95)
+    assert recall >= 0.995
+    assert sum(np.isin(t, f).sum() for t, f in zip(truth, found, strict=True)) >= 0.98 * sum(map(len, truth))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 40])
 def test_small_graphs(n):
     x = unit(np.random.default_rng(n).normal(size=(n, 4)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SECOND, MINUTE, DAY = 1_000_000, 60_000_000, 86_400_000_000
@@ -77,29 +78,58 @@ class ValidatorConfig:
         return [*self.metrics.values(), *(m for g in self.groups.values() for m in g.metrics.values())]
 
 
-METRIC_FIELDS = "low double, high double, raw_low bigint, raw_high bigint, max_rate double, rate_window bigint, stuck_mode string, stuck_tolerance double, stuck_count int, stuck_window bigint, cadence bigint"
+FIELDS = {"low": pa.float64(), "high": pa.float64(), "raw_low": pa.int64(), "raw_high": pa.int64(), "max_rate": pa.float64(), "rate_window": pa.int64(), "stuck_mode": pa.string(), "stuck_tolerance": pa.float64(), "stuck_count": pa.int32(), "stuck_window": pa.int64(), "cadence": pa.int64()}
+CFG = pa.struct(list(FIELDS.items()))
 
 
-def _fields(m: MetricConfig) -> tuple:
-    return (float(m.low), float(m.high), m.raw_low, m.raw_high, float(m.max_rate), m.rate_window, m.stuck_mode, float(m.stuck_tolerance), m.stuck_count, m.stuck_window, m.cadence)
+def _fields(m: MetricConfig) -> dict:
+    return {k: float(getattr(m, k)) if kind == pa.float64() else getattr(m, k) for k, kind in FIELDS.items()}
+
+
+def _local(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A local relation: no job runs to make or broadcast it."""
+    return spark.createDataFrame(pa.table({k: pa.array(v, CFG if k == "cfg" else pa.string()) for k, v in columns.items()}))
 
 
 def metric_table(spark: SparkSession, config: ValidatorConfig) -> DataFrame:
     """(metric, cfg): settings for any group."""
-    return spark.createDataFrame([(k, _fields(m)) for k, m in config.metrics.items()], f"metric string, cfg struct<{METRIC_FIELDS.replace(' ', ':').replace(',:', ',')}>")
+    return _local(spark, {"metric": list(config.metrics), "cfg": [_fields(m) for m in config.metrics.values()]})
 
 
 def override_table(spark: SparkSession, config: ValidatorConfig) -> DataFrame:
     """(grp, metric, cfg): settings that replace a metric's whole configuration for one group."""
-    rows = [(g, k, _fields(m)) for g, c in config.groups.items() for k, m in c.metrics.items()]
-    return spark.createDataFrame(rows, f"grp string, metric string, cfg struct<{METRIC_FIELDS.replace(' ', ':').replace(',:', ',')}>")
+    own = [(g, k, _fields(m)) for g, c in config.groups.items() for k, m in c.metrics.items()]
+    return _local(spark, {"grp": [x[0] for x in own], "metric": [x[1] for x in own], "cfg": [x[2] for x in own]})
 
 
 def policy_table(spark: SparkSession, config: ValidatorConfig) -> DataFrame:
-    return spark.createDataFrame([(g, c.policy) for g, c in config.groups.items()], "grp string, policy string")
+    return _local(spark, {"grp": list(config.groups), "policy": [c.policy for c in config.groups.values()]})
 
 
 def csv_run_config(metric: str, cadence: int = 60 * SECOND, low: float = -math.inf, high: float = math.inf, max_rate: float = 10.0, consecutive: int = 3) -> ValidatorConfig:
     """Settings of an offline run over one file."""
     rules = MetricConfig(low=low, high=high, max_rate=max_rate, rate_window=10 * cadence, cadence=cadence).with_stuck_defaults_for(metric)
     return ValidatorConfig(metrics={metric: rules}, consecutive=consecutive)
+
+
+BENCH_ZONE = "charstation"
+
+
+def deployed_config() -> ValidatorConfig:
+    """Settings of the deployed mix of probes (C7): garden metrics, and a bench group that is judged by tier 1 alone.
+
+    Values are fixed.  The bench reads raw counts every two seconds, and steps between its readings are
+    what is studied, so its own settings have no rate rule.
+    """
+    def rules(metric: str, **own: float) -> MetricConfig:
+        return MetricConfig(**own).with_stuck_defaults_for(metric)
+
+    counts = rules("raw_adc", low=0.0, high=4095.0, raw_low=100, raw_high=3995, max_rate=480.0)
+    metrics = {
+        "moisture": rules("moisture", low=0.0, high=100.0, raw_low=100, raw_high=3995, max_rate=30.0),
+        "humidity": rules("humidity", low=0.0, high=100.0, max_rate=30.0),
+        "temperature": rules("temperature", low=-40.0, high=200.0, max_rate=20.0),
+        "raw_adc": counts,
+    }
+    bench = GroupConfig(policy=TIER1_ONLY, metrics={"raw_adc": replace(counts, max_rate=math.inf, cadence=2 * SECOND)})
+    return ValidatorConfig(metrics=metrics, groups={BENCH_ZONE: bench})

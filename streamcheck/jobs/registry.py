@@ -47,8 +47,13 @@ def verdicts(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
     return tier1.validate_readings(event_readings(spark, sf_dir, busy), event_config())
 
 
-def scores(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
-    return health.score_at_last(verdicts(spark, sf_dir, busy), event_config())
+def judged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts as a written table, for results that go over them more than once."""
+    return tier1.validated_table(event_readings(spark, sf_dir), event_config())
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.score_at_last(judged_table(spark, sf_dir), event_config())
 
 
 # ---- tier 1
@@ -127,7 +132,7 @@ def flagged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.verdicts(False) + sql.HEALTH_LAST + sql.METRIC_REPORT)
 def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged, config = verdicts(spark, sf_dir), event_config()
+    judged, config = judged_table(spark, sf_dir), event_config()
     scored = health.score_at_last(judged, config)
     out = report.metric_report(judged, scored, quarantine.quarantine_history(scored, config, "computed_us"))
     text = F.array_join(F.transform(F.map_entries("flagged_rules"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
@@ -173,7 +178,7 @@ def scored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.health_history(verdicts(spark, sf_dir), event_config(), sql.GRID_START, sql.GRID_END, sql.GRID_STEP)
+    return health.health_history(judged_table(spark, sf_dir), event_config(), sql.GRID_START, sql.GRID_END, sql.GRID_STEP)
 
 
 @query(sql.verdicts(False) + sql.HEALTH_TICKS + "SELECT source, metric, tick_us, round(overall, 5) AS overall, round(drift, 5) AS drift, round(variance_ratio, 5) AS variance_ratio, recent AS readings_in_window, last_good_us FROM health")
@@ -285,7 +290,7 @@ def outage_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gauges.stale_gauge(verdicts(spark, sf_dir), sql.GRID_START, sql.GRID_END, 3_600_000_000, 4 * 3_600_000_000)
+    return gauges.stale_gauge(judged_table(spark, sf_dir), sql.GRID_START, sql.GRID_END, 3_600_000_000, 4 * 3_600_000_000)
 
 
 @query(sql.verdicts(False) + sql.STALE_GAUGE + "SELECT source, metric, tick_us, value, raw_value, round(age_s, 6) AS age_s FROM gauge")

@@ -2,10 +2,12 @@
 
 A run goes on while a value stays within ``tol`` of the run's first value, its anchor; a value
 that leaves it becomes the next anchor.  That is sequential, but a step of over twice the
-tolerance surely starts a run, whatever the anchor was, so such steps cut every stream into
-segments that do not depend on each other.  A segment that is flat within ``tol`` has its
-first row as anchor.  Only the rows of other segments pass through a helper, sorted by
-segment, which carries one anchor across Arrow batches: memory does not grow with a segment.
+tolerance surely starts a run, whatever the anchor was.  Such steps cut a stream into
+segments, and in a segment every row up to the first that leaves the segment's first value has
+that value as anchor, while the row that leaves it is the next anchor.  Running windows of one
+specification find all of these.  Only rows after a second anchor of a segment need the walk:
+an Arrow UDF over the sorted rows looks at their columns alone and carries one anchor from
+batch to batch, so there is no further shuffle or sort and memory does not grow with a stream.
 """
 
 from __future__ import annotations
@@ -14,57 +16,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructType
 
 STREAM = ("source", "metric")
+ANCHOR = pa.struct([("value", pa.float64()), ("us", pa.int64())])
 
 
-def walk(values: np.ndarray, tol: np.ndarray, fresh: np.ndarray, held: float) -> tuple[np.ndarray, float]:
-    """Index of each row's anchor (-1: that of an earlier batch, of value ``held``), and the value of the last."""
-    out, at = np.empty(len(values), dtype=np.int64), -1
-    value, where = values.tolist(), out
-    for i, (v, t, new) in enumerate(zip(value, tol.tolist(), fresh.tolist(), strict=True)):
-        if new or not abs(v - held) <= t:
-            held, at = v, i
-        where[i] = at
+def stream_order() -> WindowSpec:
+    return Window.partitionBy(*STREAM).orderBy("ts_us", "seq")
+
+
+def walk(values: list[float], times: list[int], tols: list[float], given: list[tuple[float, int] | None], held: tuple[float, int]) -> tuple[list[tuple[float, int]], tuple[float, int]]:
+    """The anchor before each row, and that after the last; ``given`` replaces the carried anchor where it is set."""
+    out = []
+    for v, t, tol, start in zip(values, times, tols, given, strict=True):
+        if start is not None:
+            held = start
+        out.append(held)
+        if not abs(v - held[0]) <= tol:
+            held = (v, t)
     return out, held
 
 
-def run_anchors(df: DataFrame, tol: str = "tol") -> DataFrame:
-    """df: source, metric, ts_us, seq, value, ``tol``, ...: adds ``anchor_value`` and ``anchor_us`` of the run each row is in."""
-    order = Window.partitionBy(*STREAM).orderBy("ts_us", "seq")
-    step = F.abs(F.col("value") - F.lag("value").over(order))
-    breaks = F.coalesce(F.isnan(step) | (step > F.col(tol) * 2 * (1 + 1e-9)), F.lit(True))
-    cut = df.withColumn("_seg", F.sum(breaks.cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*STREAM, "_seg")
-    cut = cut.withColumns({"_flat": ~F.isnan("value") & (F.max("value").over(whole) - F.min("value").over(whole) <= F.min(tol).over(whole)), "_first": F.min(F.struct("ts_us", "seq", "value")).over(whole)})
-    cut = cut.withColumn("_flat", F.col("_flat") | (F.count("*").over(whole) == 1))
-    flat = cut.where("_flat").withColumns({"anchor_value": F.col("_first.value"), "anchor_us": F.col("_first.ts_us")})
-    names = df.columns
-    keys = [*STREAM, "_seg"]
-    rest = cut.where("not _flat").select(*names, "_seg").repartition(*keys).sortWithinPartitions(*keys, "ts_us", "seq")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, held_us = None, 0.0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = {n: batch.column(i) for i, n in enumerate([*names, "_seg"])}
-            ids = list(zip(*(cols[k].to_pylist() for k in keys), strict=True))
-            fresh = np.array([a != b for a, b in zip(ids, [last, *ids[:-1]], strict=True)])
-            values, ts = cols["value"].to_numpy(zero_copy_only=False), cols["ts_us"].to_numpy(zero_copy_only=False)
-            at, now = walk(values, cols[tol].to_numpy(zero_copy_only=False), fresh, held)
-            value, us = np.where(at < 0, held, values[np.maximum(at, 0)]), np.where(at < 0, held_us, ts[np.maximum(at, 0)])
-            last, held, held_us = ids[-1], now, int(us[-1])
-            yield pa.RecordBatch.from_arrays([*(cols[n] for n in names), pa.array(value), pa.array(us)], names=[*names, "anchor_value", "anchor_us"])
-
-    walked = rest.mapInArrow(run, StructType([*df.schema.fields]).add("anchor_value", DoubleType()).add("anchor_us", LongType()))
-    return flat.select(*names, "anchor_value", "anchor_us").unionByName(walked)
+def walked_anchors(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Per batch (walks, value, ts_us, tol, given value, given us): the anchor before each row that walks, null elsewhere."""
+    held = (0.0, 0)
+    for walks, value, ts, tol, given, given_us in batches:
+        at = np.flatnonzero(walks.fill_null(False).to_numpy(zero_copy_only=False))
+        out: list[tuple[float, int] | None] = [None] * len(walks)
+        if len(at):
+            rows = pa.array(at)
+            start = [None if u is None else (v, u) for v, u in zip(given.take(rows).to_pylist(), given_us.take(rows).to_pylist(), strict=True)]
+            found, held = walk(value.take(rows).to_pylist(), ts.take(rows).to_pylist(), tol.take(rows).to_pylist(), start, held)
+            for i, a in zip(at.tolist(), found, strict=True):
+                out[i] = a
+        yield pa.array([None if a is None else {"value": a[0], "us": a[1]} for a in out], ANCHOR)
+
+
+def _last(what: Column, order: WindowSpec) -> Column:
+    return F.last(what, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def prior_anchors(df: DataFrame, tol: str = "tol") -> DataFrame:
-    """Adds ``prior_anchor_value`` and ``prior_anchor_us``: the anchor before each row (null at a stream's start)."""
-    order = Window.partitionBy(*STREAM).orderBy("ts_us", "seq")
-    return run_anchors(df, tol).withColumns({"prior_anchor_value": F.lag("anchor_value").over(order), "prior_anchor_us": F.lag("anchor_us").over(order)})
+    """Adds ``prior_anchor_value`` and ``prior_anchor_us``: the anchor before each row.
+
+    df: source, metric, ts_us, seq, value, ``tol``, ....  Null at a stream's start, and on all
+    rows of a stream whose ``tol`` is null (it is not judged by time); NaN leaves every anchor.
+    One shuffle by stream and one sort.
+    """
+    order, own = stream_order(), F.struct("value", F.col("ts_us").alias("us"))
+    step = F.abs(F.col("value") - F.lag("value").over(order))
+    cut = F.coalesce(F.isnan(step) | (step > F.col(tol) * 2 * (1 + 1e-9)), F.lit(True))
+    rows = df.withColumns({"_cut": cut, "_row": F.row_number().over(order)})
+    rows = rows.withColumns({"_first": _last(F.when(F.col("_cut"), own), order), "_cut_at": _last(F.when(F.col("_cut"), F.col("_row")), order)})
+    left = ~F.col("_cut") & ~F.coalesce(F.abs(F.col("value") - F.col("_first.value")) <= F.col(tol), F.lit(False))
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_left", left)
+    at = F.when(F.col("_left"), F.col("_row"))
+    rows = rows.withColumns({"_left_at": F.max(at).over(so_far), "_left_before": F.max(at).over(before)})
+    unmoved = F.coalesce(F.col("_left_at") < F.col("_cut_at"), F.lit(True))
+    second = F.col("_left") & F.coalesce(F.col("_left_before") < F.col("_cut_at"), F.lit(True))
+    rows = rows.withColumns({"_known": F.col("_cut") | unmoved | second, "_anchor": F.when(F.col("_cut") | second, own).otherwise(F.col("_first"))})
+    rows = rows.withColumns({"_known_before": F.lag("_known").over(order), "_anchor_before": F.lag("_anchor").over(order)})
+
+    walks = F.col(tol).isNotNull() & (~F.col("_known") | ~F.coalesce("_known_before", F.lit(True)))
+    given = F.col("_known_before")
+    # Nondeterministic, so that no later filter moves below it: it must see all rows of a stream in order.
+    walker = F.arrow_udf(walked_anchors, "struct<value:double,us:bigint>").asNondeterministic()
+    rows = rows.withColumn("_walked", walker(walks, F.col("value"), F.col("ts_us"), F.col(tol), F.when(given, F.col("_anchor_before.value")), F.when(given, F.col("_anchor_before.us"))))
+    prior = F.when(F.col(tol).isNotNull(), F.when(F.coalesce("_known_before", F.lit(True)), F.col("_anchor_before")).otherwise(F.col("_walked")))
+    return rows.withColumn("_prior", prior).select(*df.columns, F.col("_prior.value").alias("prior_anchor_value"), F.col("_prior.us").alias("prior_anchor_us"))

@@ -1,4 +1,8 @@
-"""Tier 2: the health of each stream (H1-H19), at one instant or at every tick of a grid."""
+"""Tier 2: the health of each stream (H1-H19), at one instant or at every tick of a grid.
+
+``score_at_last`` and ``health_history`` go over their readings more than once: give them a
+written table (``tier1.validated_table``), or the verdicts are judged again for each pass.
+"""
 
 from __future__ import annotations
 

@@ -27,12 +27,21 @@ def flagged_readings(validated: DataFrame) -> DataFrame:
 
 
 def metric_report(validated: DataFrame, scores: DataFrame | None = None, quarantine: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
-    """One row per metric, with its rules as a map and its sources as an array."""
-    counts = quality_counts(validated, "metric")
-    by_rule = flagged_rules(validated, "metric").groupBy("metric").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "n")))).alias("flagged_rules"))
-    span = validated.groupBy("metric").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.sort_array(F.collect_set("source")).alias("sources"))
-    span = span.withColumn("duration_s", F.greatest(F.lit(0), F.floor((F.col("last_us") - F.col("first_us")) / 1_000_000)))
-    out = counts.join(span, "metric").join(by_rule, "metric", "left")
+    """One row per metric, with its rules as a map and its sources as an array.
+
+    The readings are read once: counts by metric, source, verdict and rule combine before the one
+    shuffle that carries them, and all else is made of those few rows.
+    """
+    q, n = F.col("quality"), F.col("n")
+    cells = validated.groupBy("metric", "source", "quality", "rule").agg(F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    by_rule = cells.groupBy("metric", "quality", "rule").agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.collect_set("source").alias("sources"))
+    kinds = (rules.GOOD, rules.SUSPECT, rules.INVALID)
+    out = by_rule.groupBy("metric").agg(
+        F.sum("n").alias("total"), *(F.coalesce(F.sum(F.when(q == k, n)), F.lit(0)).alias(k) for k in kinds),
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(q != rules.GOOD, F.struct("rule", "n"))))).alias("flagged_rules"),
+    )
+    out = out.withColumns({f"{k}_pct": F.col(k) * 100.0 / F.col("total") for k in kinds} | {"duration_s": F.greatest(F.lit(0), F.floor((F.col("last_us") - F.col("first_us")) / 1_000_000))})
     if skipped is not None:
         out = out.join(skipped, "metric", "left")
     if scores is not None:

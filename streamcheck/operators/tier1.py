@@ -2,17 +2,18 @@
 
 Readings are ``source, metric, value, ts_us, raw_value, seq``; ``seq`` breaks ties of time.
 All window expressions share one specification, so validation is one shuffle by stream and
-one sort; metrics judged by time without change add the anchor helper.
+one sort, with metrics judged by time without change too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamcheck.config import DURATION, ValidatorConfig, metric_table, override_table, policy_table
 from streamcheck.functions import rules
-from streamcheck.operators.anchor import STREAM, prior_anchors
+from streamcheck.operators.anchor import prior_anchors, stream_order
+from streamcheck.storage import Scratch
 
 
 def resolve_config(df: DataFrame, config: ValidatorConfig) -> DataFrame:
@@ -26,32 +27,62 @@ def resolve_config(df: DataFrame, config: ValidatorConfig) -> DataFrame:
     return out.select(*df.columns, F.coalesce("_own", "cfg").alias("cfg"), F.coalesce("policy", F.lit("full")).alias("policy"))
 
 
+FRAME = 16
+
+
+def with_history(df: DataFrame, config: ValidatorConfig) -> DataFrame:
+    """What the rules ask of earlier readings: the last one, their number, and extremes of the last count - 1 of them.
+
+    Short frames are window frames.  The extremes of a long one are put together from lags by
+    powers of two, a few steps for each reading however long the frame is.  All windows share one
+    specification.
+    """
+    order = stream_order()
+    out = df.withColumns({"last_value": F.lag("value").over(order), "last_us": F.lag("ts_us").over(order), "_before": F.row_number().over(order) - 1})
+    widths = sorted({max(m.stuck_count - 1, 1) for m in config.all_metrics() if m.stuck_mode != DURATION})
+    for w in (w for w in widths if w <= FRAME):
+        frame = order.rowsBetween(-w, -1)
+        out = out.withColumns({f"_low{w}": F.min("value").over(frame), f"_high{w}": F.max("value").over(frame)})
+    long = [w for w in widths if w > FRAME]
+    out = out.withColumns({"_low": F.col("last_value"), "_high": F.col("last_value")})
+    size = 1
+    while long:
+        for w in [w for w in long if w < 2 * size]:
+            reach = {f"_low{w}": F.least("_low", F.lag("_low", w - size).over(order)), f"_high{w}": F.greatest("_high", F.lag("_high", w - size).over(order))}
+            out = out.withColumns(reach if w > size else {f"_low{w}": F.col("_low"), f"_high{w}": F.col("_high")})
+            long.remove(w)
+        if long:
+            out = out.withColumns({"_low": F.least("_low", F.lag("_low", size).over(order)), "_high": F.greatest("_high", F.lag("_high", size).over(order))})
+            size *= 2
+    return out.drop("_low", "_high")
+
+
 def rule_columns(df: DataFrame, config: ValidatorConfig) -> dict[str, Column]:
-    """The four rules as booleans; ``df`` has cfg, and prior anchors where some metric is judged by time."""
-    order = Window.partitionBy(*STREAM).orderBy("ts_us", "seq")
+    """The four rules as booleans; ``df`` has cfg, history, and prior anchors where some metric is judged by time."""
     v, ts, c = F.col("value"), F.col("ts_us"), F.col("cfg")
     by_count = F.lit(False)
     for n in sorted({m.stuck_count for m in config.all_metrics() if m.stuck_mode != DURATION}):
-        before = order.rowsBetween(-max(n - 1, 1), -1)
-        hit = rules.stuck_by_count(v, F.count("*").over(before), F.min("value").over(before), F.max("value").over(before), F.lit(n), c["stuck_tolerance"])
+        w = max(n - 1, 1)
+        hit = rules.stuck_by_count(v, F.col("_before"), F.col(f"_low{w}"), F.col(f"_high{w}"), F.lit(n), c["stuck_tolerance"])
         by_count = F.when(c["stuck_count"] == n, hit).otherwise(by_count)
     by_time = rules.stuck_by_time(v, ts, F.col("prior_anchor_value"), F.col("prior_anchor_us"), c["stuck_tolerance"], c["stuck_window"]) if "prior_anchor_us" in df.columns else F.lit(False)
     return {
         "value_range": rules.out_of_range(v, c["low"], c["high"]),
         "raw_range": rules.raw_out_of_range(F.col("raw_value"), c["raw_low"], c["raw_high"]),
         "stuck_reading": F.when(c["stuck_mode"] == DURATION, by_time).otherwise(by_count),
-        "rate_of_change": rules.rate_exceeded(v, ts, F.lag("value").over(order), F.lag("ts_us").over(order), c["max_rate"], c["rate_window"]),
+        "rate_of_change": rules.rate_exceeded(v, ts, F.col("last_value"), F.col("last_us"), c["max_rate"], c["rate_window"]),
     }
 
 
 def with_rules(df: DataFrame, config: ValidatorConfig) -> DataFrame:
-    """Adds cfg, policy and a boolean column for each rule (null where no configuration applies)."""
-    known = resolve_config(df, config)
+    """Adds cfg, policy and a boolean column for each rule (null where no configuration applies).
+
+    Anchors come last of the windows: the shuffle's order is not known to hold after their UDF.
+    """
+    known = with_history(resolve_config(df, config), config)
     if any(m.stuck_mode == DURATION for m in config.all_metrics()):
-        known = prior_anchors(known.withColumn("_tol", F.coalesce("cfg.stuck_tolerance", F.lit(0.0))), "_tol").drop("_tol", "anchor_value", "anchor_us")
-    order = Window.partitionBy(*STREAM).orderBy("ts_us", "seq")
-    marked = known.withColumns(rule_columns(known, config) | {"last_value": F.lag("value").over(order), "last_us": F.lag("ts_us").over(order)})
-    return marked
+        known = prior_anchors(known.withColumn("_tol", F.when(F.col("cfg.stuck_mode") == DURATION, F.col("cfg.stuck_tolerance"))), "_tol")
+    return known.withColumns(rule_columns(known, config))
 
 
 def reason() -> Column:
@@ -84,3 +115,13 @@ def validate_readings(df: DataFrame, config: ValidatorConfig) -> DataFrame:
     judged = marked.withColumn("rule", rule)
     quality = F.when(F.col("rule") == "", rules.GOOD).when(F.col("rule").isin("value_range", "raw_range"), rules.INVALID).otherwise(rules.SUSPECT)
     return judged.withColumns({"quality": quality, "reason": reason()}).select(*df.columns, "policy", "cfg", "quality", "rule", "reason")
+
+
+def validated_table(df: DataFrame, config: ValidatorConfig) -> DataFrame:
+    """``validate_readings`` written once as a table in the shared folder, for results that read it several times.
+
+    Health, histories, gauges and reports each go over their readings more than once; over this
+    table a pass reads the columns it needs, and no rule is judged again.
+    """
+    judged = validate_readings(df, config).withColumn("cfg", F.struct(F.col("cfg.cadence").alias("cadence")))
+    return Scratch(df.sparkSession, "validated").write(judged, "readings")

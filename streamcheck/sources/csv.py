@@ -13,7 +13,7 @@ from streamcheck.functions import parsing
 from streamcheck.operators.health import score_at_last
 from streamcheck.operators.quarantine import quarantine_history
 from streamcheck.operators.report import flagged_readings, metric_report
-from streamcheck.operators.tier1 import validate_readings
+from streamcheck.operators.tier1 import validated_table
 
 # Header names of each role, in the order in which roles are tried.
 ALIASES = {
@@ -120,7 +120,7 @@ def csv_report(spark: SparkSession, path: str, metric: str | None = None, config
     if config is None:
         made = [csv_run_config(m, cadence, **run) for m in chosen.values()]
         config = ValidatorConfig(metrics={k: v for c in made for k, v in c.metrics.items()})
-    validated = validate_readings(readings.where("not skipped").drop("skipped"), config)
+    validated = validated_table(readings.where("not skipped").drop("skipped"), config)
     scores = score_at_last(validated, config)
     quarantine = quarantine_history(scores, config, "computed_us")
     return metric_report(validated, scores, quarantine, skipped), flagged_readings(validated)

@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from streamcheck.config import MINUTE, SECOND, TIER1_ONLY, GroupConfig, MetricConfig, ValidatorConfig
+from streamcheck.config import MINUTE, SECOND, TIER1_ONLY, GroupConfig, MetricConfig, ValidatorConfig, deployed_config
 from streamcheck.operators.anchor import prior_anchors
-from streamcheck.operators.tier1 import resolve_config, validate_readings
+from streamcheck.operators.tier1 import resolve_config, validate_readings, with_rules
 
 READING = "source string, metric string, value double, ts_us bigint, raw_value bigint, seq bigint"
 PLAIN = MetricConfig(low=0.0, high=100.0, raw_low=100, raw_high=3995, max_rate=20.0)
@@ -99,3 +99,43 @@ def test_validation_is_one_shuffle(spark):
     config = ValidatorConfig(metrics={"moisture": PLAIN, "raw_adc": MetricConfig(stuck_count=4)})
     plan = validate_readings(spark.createDataFrame(series([1, 2, 3]), READING), config)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Cartesian" not in plan
+
+
+def test_time_rules_keep_one_shuffle_and_one_scan(spark, tmp_path):
+    config = ValidatorConfig(metrics={"moisture": PLAIN, "temperature": MetricConfig(stuck_mode="duration", resolution=0.1), "raw_adc": MetricConfig(stuck_count=1000)})
+    spark.createDataFrame(series([1, 2, 3]), READING).write.parquet(str(tmp_path / "r"))
+    plan = validate_readings(spark.read.parquet(str(tmp_path / "r")), config)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("count", [2, 17, 18, 33, 40, 65])
+def test_long_frames_equal_a_look_at_every_reading(spark, count):
+    rng = random.Random(count)
+    rows = []
+    for s in range(5):
+        v = 0.0
+        for i in range(150):
+            v = rng.choice([v, v, v, v + rng.choice([-1, 0.5, 9])]) if rng.random() < 0.9 else rng.choice([math.nan, 1.0])
+            v = 0.0 if math.isnan(v) and rng.random() < 0.8 else v
+            rows.append((f"s{s}", "m", v, i * SECOND, None, i))
+    config = ValidatorConfig(metrics={"m": MetricConfig(stuck_count=count, stuck_threshold=1.5)})
+    got = {(r.source, r.seq): r.stuck_reading for r in with_rules(spark.createDataFrame(rows, READING), config).collect()}
+    by = {}
+    for s, _, v, _, _, i in rows:
+        before = by.setdefault(s, [])
+        assert got[s, i] == (len(before) >= count - 1 and all(abs(x - v) <= 1.5 for x in before[len(before) - count + 1 :])), (s, i)
+        before.append(v)
+
+
+def test_filters_after_the_rules_do_not_change_anchors(spark):
+    rows = [("s", "temperature", 10.0 + (i % 7) * 0.06, i * 600 * SECOND, None, i) for i in range(60)]
+    marked = with_rules(spark.createDataFrame(rows, READING), FROZEN)
+    whole = {r.seq: r.prior_anchor_us for r in marked.collect()}
+    assert {r.seq: r.prior_anchor_us for r in marked.where("seq % 3 = 1 and value > 10.1").collect()}.items() <= whole.items()
+
+
+def test_deployed_preset(spark):
+    config = deployed_config()
+    rows = [("charstation/3", "raw_adc", 3000.0, 0, 3000, 0), ("charstation/3", "raw_adc", 1200.0, 2 * SECOND, 1200, 1), ("charstation/3", "raw_adc", 12.0, 4 * SECOND, 12, 2), ("bed/9", "raw_adc", 3000.0, 0, 3000, 3), ("bed/9", "raw_adc", 1200.0, 2 * SECOND, 1200, 4), ("bed/9", "temperature", -41.0, 0, None, 5)]
+    out = {r.seq: (r.rule, r.policy) for r in validate_readings(spark.createDataFrame(rows, READING), config).collect()}
+    assert out == {0: ("", "tier1_only"), 1: ("", "tier1_only"), 2: ("raw_range", "tier1_only"), 3: ("", "full"), 4: ("rate_of_change", "full"), 5: ("value_range", "full")}

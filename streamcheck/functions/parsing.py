@@ -53,14 +53,18 @@ def timestamp_micros(cell: Column) -> Column:
 
 
 UNIT = r"^([1-9]|1[0-6])$"
+ROOT = "garden"
 
 
-def parse_topic(topic: Column) -> Column:
-    """struct(zone, zone_id, metric) of a reading's topic, null for any other."""
+def parse_topic(topic: Column, root: str = ROOT) -> Column:
+    """struct(zone, zone_id, metric) of a reading's topic, null for any other.
+
+    Garden topics begin with ``root``, which is whatever the nodes are set up to publish under.
+    """
     part = F.split(topic, "/", -1)
     first, second, third, fourth = (F.get(part, F.lit(i)) for i in range(4))
-    bed = (F.size(part) == 4) & (first == "groundtruth") & (second == "bed") & fourth.isin("moisture", "moisture_raw", "temperature", "humidity")
-    house = (F.size(part) == 3) & (first == "groundtruth") & (second == "greenhouse") & third.isin("temperature", "humidity")
+    bed = (F.size(part) == 4) & (first == root) & (second == "bed") & fourth.isin("moisture", "moisture_raw", "temperature", "humidity")
+    house = (F.size(part) == 3) & (first == root) & (second == "greenhouse") & third.isin("temperature", "humidity")
     bench = (F.size(part) == 3) & (first == "charstation") & second.rlike(UNIT) & third.isin("raw_adc", "temperature")
 
     def reading(zone: str, zone_id: Column, metric: Column) -> Column:
@@ -69,9 +73,9 @@ def parse_topic(topic: Column) -> Column:
     return F.when(bed, reading("bed", third, fourth)).when(house, reading("greenhouse", F.lit("greenhouse"), third)).when(bench, reading("charstation", second, third))
 
 
-def route(topic: Column) -> Column:
+def route(topic: Column, root: str = ROOT) -> Column:
     """What a message is: session, control, raw (buffered), reading or unrecognised."""
-    parsed = parse_topic(topic)
+    parsed = parse_topic(topic, root)
     return (
         F.when(topic == "charstation/session", "session")
         .when(topic.startswith("charstation/control/"), "control")

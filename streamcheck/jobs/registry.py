@@ -310,7 +310,7 @@ def gauge_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
-    topic = F.when(F.col("event_type") == "view", F.concat(F.lit("groundtruth/bed/"), k, F.lit("/moisture"))).when(F.col("event_type") == "click", F.concat(F.lit("charstation/"), k, F.lit("/raw_adc"))).when(F.col("event_type") == "error", F.concat(F.lit("groundtruth/greenhouse/"), F.when(F.col("user_id") % 2 == 0, "humidity").otherwise("pressure"))).when(F.col("event_type") == "signup", F.lit("charstation/session")).otherwise(F.concat(F.lit("groundtruth/bed/"), k, F.lit("/moisture_raw")))
+    topic = F.when(F.col("event_type") == "view", F.concat(F.lit("garden/bed/"), k, F.lit("/moisture"))).when(F.col("event_type") == "click", F.concat(F.lit("charstation/"), k, F.lit("/raw_adc"))).when(F.col("event_type") == "error", F.concat(F.lit("garden/greenhouse/"), F.when(F.col("user_id") % 2 == 0, "humidity").otherwise("pressure"))).when(F.col("event_type") == "signup", F.lit("charstation/session")).otherwise(F.concat(F.lit("garden/bed/"), k, F.lit("/moisture_raw")))
     p = parsing.parse_topic(F.col("topic"))
     return e.select("event_id", topic.alias("topic")).select("event_id", parsing.route(F.col("topic")).alias("route"), p["zone"].alias("zone"), p["zone_id"].alias("zone_id"), p["metric"].alias("metric"))
 

@@ -44,6 +44,18 @@ def session_asof(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     return held.where("_side = 1").select("_r.*", "session")
 
 
+def session_intervals(sessions: DataFrame) -> DataFrame:
+    """(unit, _from_us, _to_us, session): each session until its unit's next; of those that start together the highest id.
+
+    One window over the log, which is small against the readings.
+    """
+    fields = [c for c in sessions.columns if c != "unit"]
+    order = Window.partitionBy("unit").orderBy("started_us", F.col("id").cast("bigint"))
+    until = F.coalesce(F.lead("started_us").over(order), F.lit(2**63 - 1))
+    log = sessions.select("unit", F.col("started_us").alias("_from_us"), until.alias("_to_us"), F.struct(*fields).alias("session"))
+    return log.where("_from_us < _to_us")
+
+
 def in_session(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     """Readings that fall into a session."""
     return session_asof(readings, sessions).where(F.col("session").isNotNull())

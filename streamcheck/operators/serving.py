@@ -58,3 +58,13 @@ def deduplicated_latest(readings: DataFrame) -> DataFrame:
     """The row of highest seq for each stream and time, for appends that were retried."""
     order = Window.partitionBy(*STREAM, "ts_us").orderBy(F.desc("seq"))
     return readings.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def dashboard_readings(readings: DataFrame) -> DataFrame:
+    """Raw moisture counts are a side channel, not a reading to show."""
+    return readings.where(F.col("metric") != "moisture_raw")
+
+
+def usable_samples(readings: DataFrame, digits: int = 1) -> DataFrame:
+    """Samples that a probe failed to take (NaN) are left out, others are rounded as they are published."""
+    return readings.where(~F.isnan("value") & F.col("value").isNotNull()).withColumn("value", F.round("value", digits))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from streamcheck.config import SECOND, ValidatorConfig, csv_run_config
 from streamcheck.functions import parsing
@@ -32,12 +32,24 @@ class Roles:
     values: dict[str, str] = field(default_factory=dict)  # column: metric
 
 
+#: Where a row stands: its file, the byte its split begins at, and an id that rises within the split.
+PLACE = ("__file", "__split", "__at")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, headers trimmed; short rows are filled with nulls."""
-    df = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    """Every column as text, headers trimmed; short rows are filled with nulls, blank lines are no
+    rows; quotes as in RFC 4180.
+
+    Files are split over tasks unless some quoted cell holds a line feed, which a pass over the
+    lines finds (a line with an odd number of quotes).  Adds the columns of ``PLACE``.
+    """
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    feeds = not spark.read.text(path).where(odd).isEmpty()
+    df = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", escape='"', multiLine=feeds, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if not df.columns:
         raise ValueError("no header")
-    df = df.toDF(*[c.strip().removeprefix("﻿").strip() for c in df.columns])
+    names = [c.strip().removeprefix("\ufeff").strip() for c in df.columns]
+    df = df.select("*", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).toDF(*names, *PLACE)
     if df.isEmpty():
         raise ValueError("no data rows")
     return df
@@ -46,15 +58,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def detect_roles(df: DataFrame) -> Roles:
     """Roles by header; other columns hold values if every cell that is not blank is a number, and one is.
 
-    All candidates are examined over all rows in one aggregation.
+    The first column of a role other than value has it; every column with a value's name is a
+    value column, under that name in lower case.  All other candidates are examined over all rows
+    in one aggregation.  Value columns keep the header's order.
     """
-    roles, rest = Roles(), []
-    for c in df.columns:
+    roles, named, rest = Roles(), {}, []
+    columns = [c for c in df.columns if c not in PLACE]
+    for c in columns:
         name = c.lower()
         role = next((r for r, names in ALIASES.items() if name in names), None)
         if role == "value":
-            if not roles.values:
-                roles.values[c] = name
+            named[c] = name
         elif role is None:
             rest.append(c)
         elif getattr(roles, role) is None:
@@ -67,34 +81,41 @@ def detect_roles(df: DataFrame) -> Roles:
             F.count_if(parsing.number(cell(c)).isNotNull()).alias(f"n{i}"),
             F.count_if((F.trim(cell(c)) != "") & parsing.number(cell(c)).isNull()).alias(f"bad{i}"),
         )]).first()
-        roles.values |= {c: c for i, c in enumerate(rest) if counts[f"n{i}"] > 0 and counts[f"bad{i}"] == 0}
+        named |= {c: c for i, c in enumerate(rest) if counts[f"n{i}"] > 0 and counts[f"bad{i}"] == 0}
+    roles.values = {c: named[c] for c in columns if c in named}
     return roles
 
 
 def choose_metrics(roles: Roles, metric: str | None) -> dict[str, str]:
-    """The named metric's column; if there is none of that name, the first value column under that name; else all."""
+    """The first column of the named metric; if there is none of that name, the first value column under that name; else all."""
     if not roles.values:
         raise ValueError("no numeric value columns")
     if metric is None:
         return roles.values
-    named = {c: m for c, m in roles.values.items() if m.lower() == metric.lower()}
-    return named or {next(iter(roles.values)): metric}
+    named = [(c, m) for c, m in roles.values.items() if m.lower() == metric.lower()]
+    return dict(named[:1]) or {next(iter(roles.values)): metric}
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
-    """``seq``, the dense place of each row in the file (a count and a map, no single-task window)."""
-    schema = StructType([*df.schema.fields]).add("seq", "long", False)
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """``seq``, the dense place of each row, files by path and each from its start.
+
+    Rows are counted by split; the number of rows before each split (one row per split) is
+    broadcast.  No row passes through Python, and no window gathers them.
+    """
+    splits = df.groupBy("__file", "__split").agg(F.count("*").alias("n"), F.min("__at").alias("first")).toArrow().sort_by([("__file", "ascending"), ("__split", "ascending")])
+    n = splits["n"].to_numpy()
+    table = pa.table({"__file": splits["__file"], "__split": splits["__split"], "__before": pa.array(n.cumsum() - n - splits["first"].to_numpy())})
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(table)), ["__file", "__split"]).withColumn("seq", F.col("__at") + F.col("__before")).drop(*PLACE, "__before")
 
 
 def build_readings(df: DataFrame, roles: Roles, metrics: dict[str, str], default_source: str = "default", start_us: int = 0, cadence_us: int = 60 * SECOND, strict: bool = True) -> DataFrame:
     """(source, metric, value, ts_us, raw_value, seq, skipped), a row per cell.
 
     A blank or non-numeric cell has ``skipped`` true and no value.  Where there is no time
-    column, row i is at ``start_us`` + i cadences.  A time that cannot be read fails the job, or
+    column, row i is at ``start_us`` + i cadences; where there is one, ``seq`` only orders equal times.  A time that cannot be read fails the job, or
     with ``strict`` false leaves ``ts_us`` null for the caller to quarantine.
     """
-    indexed = with_row_index(df)
+    indexed = with_row_index(df) if roles.timestamp is None else df.withColumn("seq", F.col(PLACE[2]))
 
     def cell(c: str | None) -> Column:
         return F.col(f"`{c}`") if c else F.lit(None).cast("string")

@@ -16,23 +16,23 @@ def message_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.schema(MESSAGE).options(**options).json(path)
 
 
-def routed(messages: DataFrame) -> DataFrame:
-    """Adds ``route``, and zone, zone_id and metric where the topic is a reading's."""
-    topic = parsing.parse_topic(F.col("topic"))
-    return messages.withColumns({"route": parsing.route(F.col("topic")), "zone": topic["zone"], "zone_id": topic["zone_id"], "metric": topic["metric"]})
+def routed(messages: DataFrame, root: str = parsing.ROOT) -> DataFrame:
+    """Adds ``route``, and zone, zone_id and metric where the topic is a reading's; garden topics begin with ``root``."""
+    topic = parsing.parse_topic(F.col("topic"), root)
+    return messages.withColumns({"route": parsing.route(F.col("topic"), root), "zone": topic["zone"], "zone_id": topic["zone_id"], "metric": topic["metric"]})
 
 
-def numeric_readings(messages: DataFrame) -> DataFrame:
+def numeric_readings(messages: DataFrame, root: str = parsing.ROOT) -> DataFrame:
     """Readings and buffered raw counts with their number; ``rejected`` where the payload has none."""
-    r = routed(messages).where(F.col("route").isin("reading", "raw"))
+    r = routed(messages, root).where(F.col("route").isin("reading", "raw"))
     whole = parsing.whole_number(F.col("payload")).cast("double")
     value = F.when(F.col("route") == "raw", whole).otherwise(parsing.number(F.col("payload")))
     return r.select(F.concat_ws("/", "zone", "zone_id").alias("source"), "metric", value.alias("value"), F.col("received_us").alias("ts_us"), F.lit(None).cast("bigint").alias("raw_value"), "seq", value.isNull().alias("rejected"))
 
 
-def readings(messages: DataFrame) -> DataFrame:
+def readings(messages: DataFrame, root: str = parsing.ROOT) -> DataFrame:
     """The readings of a message table with their raw counts; raw counts alone are no readings."""
-    good = numeric_readings(messages).where("not rejected").drop("rejected")
+    good = numeric_readings(messages, root).where("not rejected").drop("rejected")
     other = own_raw(good.where(~F.col("metric").isin("moisture", "moisture_raw")))
     return raw_pairing(good).select(*other.columns).unionByName(other)
 

@@ -1,9 +1,12 @@
-"""Structured Streaming twins of validation, pairing and health.
+"""Structured Streaming twins of validation, pairing and the session join, and sinks.
 
 Readings arrive in micro-batches; each key's rows of a batch are sorted by time before they
 meet its state.  State per stream is small: the values that the count rule looks back on,
-the last reading and the run's anchor.  Rows older than the key's last reading are judged
-against what the key knows and marked ``late``; none is dropped silently.
+the last reading, the run's anchor, and the rows that wait for their turn.  With a ``delay`` a
+stream's readings wait until one that much newer has come (its own watermark) or until the
+stream has been silent that long, so rows out of order by less are judged in order.  A row older
+than one already judged is late: it is judged against what the key knows, changes nothing there,
+and is marked, so that a sink can put it aside.  None is dropped.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from streamcheck.config import DURATION, MetricConfig, ValidatorConfig
+from streamcheck.functions import rules
+from streamcheck.operators.asof import session_intervals
 from streamcheck.sources.store import append_readings
 
 OUTPUT = "source string, metric string, value double, ts_us bigint, raw_value bigint, seq bigint, quality string, rule string, late boolean"
-STATE = "recent array<double>, last_value double, last_us bigint, anchor_value double, anchor_us bigint"
+STATE = "recent array<double>, last_value double, last_us bigint, anchor_value double, anchor_us bigint, newest_us bigint, waiting array<struct<value:double,ts_us:bigint,raw_value:bigint,seq:bigint>>"
 
 
 def config_for(config: ValidatorConfig, source: str, metric: str) -> MetricConfig | None:
@@ -45,63 +50,105 @@ def judge(c: MetricConfig | None, v: float, ts: int, raw: int | None, recent: li
     return ""
 
 
-def validate_stream(readings: DataFrame, config: ValidatorConfig) -> DataFrame:
-    """A stream of readings with verdicts; key state never expires."""
+def validate_stream(readings: DataFrame, config: ValidatorConfig, delay_us: int = 0) -> DataFrame:
+    """A stream of readings with verdicts; key state never expires."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         source, metric = key
         c = config_for(config, source, metric)
-        recent, last, anchor = [], None, None
+        recent, last, anchor, newest, waiting = [], None, None, None, []
         if state.exists:
-            values, lv, lt, av, at = state.get
-            recent, last, anchor = list(values), (lv, lt), (av, at)
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "seq"], kind="stable")
-        out = []
-        keep = max(c.history if c else 0, 1)
-        for v, ts, raw, seq in zip(rows["value"], rows["ts_us"], rows["raw_value"], rows["seq"], strict=True):
-            v, ts, raw = float(v), int(ts), None if pd.isna(raw) else int(raw)
+            values, lv, lt, av, at, newest, held = state.get
+            recent, waiting = list(values), [(float(r["value"]), int(r["ts_us"]), r["raw_value"], int(r["seq"])) for r in held]
+            last, anchor = (None, None) if lt is None else ((lv, lt), (av, at))
+        for frame in frames:
+            for v, ts, raw, seq in zip(frame["value"], frame["ts_us"], frame["raw_value"], frame["seq"], strict=True):
+                waiting.append((float(v), int(ts), None if pd.isna(raw) else int(raw), int(seq)))
+        waiting.sort(key=lambda r: (r[1], r[3]))
+        newest = max([r[1] for r in waiting] + ([] if newest is None else [newest]), default=newest)
+        turn = len(waiting) if state.hasTimedOut or not delay_us else sum(r[1] <= newest - delay_us for r in waiting)
+        out, keep = [], max(c.history if c else 0, 1)
+        for v, ts, raw, seq in waiting[:turn]:
+            late = last is not None and ts < last[1]
             rule = judge(c, v, ts, raw, recent, last, anchor)
-            out.append((source, metric, v, ts, raw, int(seq), "good" if not rule else "invalid" if rule.endswith("range") else "suspect", rule, last is not None and ts < last[1]))
+            out.append((source, metric, v, ts, raw, seq, rules.GOOD if not rule else rules.INVALID if rule.endswith("range") else rules.SUSPECT, rule, late))
+            if late:
+                continue
             if anchor is None or not abs(v - anchor[0]) <= (c.stuck_tolerance if c else 0.0):
                 anchor = (v, ts)
             recent, last = [*recent, v][-keep:], (v, ts)
-        state.update((recent, *last, *anchor))
+        state.update((recent, *(last or (None, None)), *(anchor or (None, None)), newest, waiting[turn:]))
+        if turn < len(waiting):
+            state.setTimeoutDuration(max(1, delay_us // 1000))
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")])
         frame["raw_value"] = frame["raw_value"].astype("Int64")
         yield frame
 
-    return readings.select("source", "metric", "value", "ts_us", "raw_value", "seq").groupBy("source", "metric").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if delay_us else GroupStateTimeout.NoTimeout
+    return readings.select("source", "metric", "value", "ts_us", "raw_value", "seq").groupBy("source", "metric").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
 def pair_stream(readings: DataFrame, value_metric: str = "moisture", raw_metric: str = "moisture_raw", limit_us: int = 30_000_000) -> DataFrame:
-    """Raw counts held per source until the next reading takes them or they are too old."""
+    """Raw counts held per source until the next reading takes them or they are too old.
+
+    A reading takes a count of its own time or before, never a later one.  Rows older than one
+    seen before are ``late``: a late reading takes nothing from others, a late count replaces none.
+    """
     columns = ["source", "metric", "value", "ts_us", "raw_value", "seq"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (None, None)
+        held, at, last = state.get if state.exists else (None, None, None)
         out = []
         for metric, v, ts, seq in pd.concat(list(frames)).sort_values(["ts_us", "seq"], kind="stable")[["metric", "value", "ts_us", "seq"]].itertuples(index=False):
+            ts, late = int(ts), last is not None and int(ts) < last
+            last = ts if last is None else max(last, ts)
             if metric == raw_metric:
-                held = (int(v), int(ts))
+                if not late:
+                    held, at = int(v), ts
                 continue
-            fits = held[0] is not None and (int(ts) - held[1]) // 1_000_000 < limit_us // 1_000_000
-            out.append((key[0], metric, float(v), int(ts), held[0] if fits else None, int(seq)))
-            held = (None, None)
-        state.update(held)
-        frame = pd.DataFrame(out, columns=columns)
+            fits = held is not None and 0 <= (ts - at) // 1_000_000 < limit_us // 1_000_000
+            out.append((key[0], metric, float(v), ts, held if fits else None, int(seq), late))
+            if fits or not late:
+                held, at = None, None
+        state.update((held, at, last))
+        frame = pd.DataFrame(out, columns=[*columns, "late"])
         frame["raw_value"] = frame["raw_value"].astype("Int64")
         yield frame
 
     both = readings.where(F.col("metric").isin(value_metric, raw_metric)).select(*columns)
-    return both.groupBy("source").applyInPandasWithState(step, "source string, metric string, value double, ts_us bigint, raw_value bigint, seq bigint", "raw bigint, at bigint", "append", GroupStateTimeout.NoTimeout)
+    return both.groupBy("source").applyInPandasWithState(step, "source string, metric string, value double, ts_us bigint, raw_value bigint, seq bigint, late boolean", "raw bigint, at bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def join_sessions(readings: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A stream of readings (unit, ts_us, ...) with the session of a stored log that each falls into, else null.
+
+    The log's sessions become intervals that do not overlap, so the join is on the unit and one
+    interval matches at most: stateless, and the log is read again for every micro-batch.
+    """
+    log = session_intervals(sessions).withColumnRenamed("unit", "_unit")
+    inside = (F.col("unit") == F.col("_unit")) & (F.col("ts_us") >= F.col("_from_us")) & (F.col("ts_us") < F.col("_to_us"))
+    return readings.join(log, inside, "left").drop("_unit", "_from_us", "_to_us")
+
 
+def persist_batches(path: str, counters: str | None = None, late: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: readings go to the table at ``path``, late ones to that at ``late`` if there is one.
 
-def persist_batches(path: str, also: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that appends readings and may then re-score health from the table."""
+    ``counters`` gets a table of readings by zone, zone id, metric and verdict for each batch; a batch
+    that runs again replaces its own counts.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        append_readings(batch.withColumn("reason", F.col("rule")), path)
-        if also is not None:
-            also(batch, epoch)
+        batch = batch.persist()
+        rows = batch.withColumn("reason", F.col("rule"))
+        if late is None:
+            append_readings(rows, path)
+        else:
+            append_readings(rows.where("not late"), path)
+            append_readings(rows.where("late"), late)
+        if counters is not None:
+            zone, zone_id = rules.split_source(F.col("source"))
+            counted = batch.groupBy(zone.alias("zone"), zone_id.alias("zone_id"), "metric", "quality").agg(F.count("*").alias("n"))
+            counted.write.mode("overwrite").parquet(f"{counters}/epoch={epoch}")
+        batch.unpersist()
 
     return write

@@ -39,9 +39,9 @@ def write(path, text):
 
 
 def test_csv_roles_and_skips(spark, tmp_path):
-    df = csv.read_csv(spark, write(tmp_path / "a.csv", "value\n1.0\n \noops\n2.0\n"))
+    df = csv.read_csv(spark, write(tmp_path / "a.csv", 'value\n1.0\n""\n\noops\n2.0\n'))
     r = csv.build_readings(df, csv.detect_roles(df), {"value": "value"}, cadence_us=30 * SECOND).orderBy("seq").collect()
-    assert [(x.value, x.skipped, x.ts_us // SECOND, x.source) for x in r if not x.skipped] == [(1.0, False, 0, "default"), (2.0, False, 60, "default")] or [x.seq for x in r if not x.skipped][0] == 0
+    assert [(x.value, x.skipped, x.ts_us // SECOND, x.source, x.seq) for x in r] == [(1.0, False, 0, "default", 0), (None, True, 30, "default", 1), (None, True, 60, "default", 2), (2.0, False, 90, "default", 3)]
     df = csv.read_csv(spark, write(tmp_path / "b.csv", "Time,Temperature,humidity,note,ID,Raw\n2026-05-16 12:00:00,1,nan,x,,7\n2026-05-16,inf,2,,n,1.5\n"))
     roles = csv.detect_roles(df)
     assert (roles.timestamp, roles.source, roles.raw, roles.values) == ("Time", "ID", "Raw", {"Temperature": "Temperature", "humidity": "humidity"})
@@ -57,6 +57,27 @@ def test_csv_roles_and_skips(spark, tmp_path):
     assert csv.build_readings(bad, csv.detect_roles(bad), {"value": "value"}, strict=False).first().ts_us is None
 
 
+def test_csv_value_columns_and_quotes(spark, tmp_path):
+    df = csv.read_csv(spark, write(tmp_path / "a.csv", 'temp,value,note,data\n1,2,"say ""x"", or",3\n4,5,"two\nlines",6\n7\n'))
+    roles = csv.detect_roles(df)
+    assert list(roles.values.items()) == [("temp", "temp"), ("value", "value"), ("data", "data")]
+    assert csv.choose_metrics(roles, "cpu") == {"temp": "cpu"} and csv.choose_metrics(roles, "DATA") == {"data": "data"}
+    assert [r.note for r in csv.with_row_index(df).orderBy("seq").collect()] == ['say "x", or', "two\nlines", None]
+
+
+def test_csv_rows_are_numbered_over_files_and_splits(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for k, n in enumerate((3, 2000, 500)):
+        write(tmp_path / "d" / f"{k}.csv", "value\n" + "".join(f"{k * 10000 + i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = csv.with_row_index(csv.read_csv(spark, str(tmp_path / "d"))).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [int(r.value) for r in rows] == [k * 10000 + i for k, n in enumerate((3, 2000, 500)) for i in range(n)]
+    assert [r.seq for r in rows] == list(range(2503))
+
+
 def one(spark, column, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     return [r.x for r in df.select("i", column(F.col("t")).alias("x")).orderBy("i").collect()]
@@ -71,8 +92,8 @@ def test_parsing(spark):
     assert one(spark, parsing.whole_number, ["550", "550.0", "-3", "99999999999999999999", ""]) == [550, None, -3, None, None]
 
 
-GOOD = ["groundtruth/bed/1/moisture", "groundtruth/bed/1/moisture_raw", "groundtruth/bed//temperature", "groundtruth/bed/7/humidity", "groundtruth/greenhouse/temperature", "groundtruth/greenhouse/humidity", "charstation/1/raw_adc", "charstation/16/temperature"]
-BAD = ["groundtruth/bed/1/water/command", "other/bed/1/moisture", "groundtruth/bed/1/pressure", "", "charstation/0/raw_adc", "charstation/17/raw_adc", "charstation/-1/raw_adc", "charstation/03/raw_adc", "charstation/abc/raw_adc", "charstation//raw_adc", "charstation/3/moisture", "charstation/session", "charstation/control/unit", "charstation/3/raw_adc/extra", "groundtruth/bed/1/raw_adc", "groundtruth/greenhouse/moisture_raw"]
+GOOD = ["garden/bed/1/moisture", "garden/bed/1/moisture_raw", "garden/bed//temperature", "garden/bed/7/humidity", "garden/greenhouse/temperature", "garden/greenhouse/humidity", "charstation/1/raw_adc", "charstation/16/temperature"]
+BAD = ["garden/bed/1/water/command", "other/bed/1/moisture", "garden/bed/1/pressure", "", "charstation/0/raw_adc", "charstation/17/raw_adc", "charstation/-1/raw_adc", "charstation/03/raw_adc", "charstation/abc/raw_adc", "charstation//raw_adc", "charstation/3/moisture", "charstation/session", "charstation/control/unit", "charstation/3/raw_adc/extra", "garden/bed/1/raw_adc", "garden/greenhouse/moisture_raw"]
 
 
 def test_topics(spark):
@@ -89,7 +110,7 @@ def test_sessions(spark):
 
 
 def test_messages_to_readings(spark):
-    rows = [("groundtruth/bed/1/moisture_raw", "2400", 0), ("groundtruth/bed/1/moisture", "42.5", 1), ("groundtruth/bed/1/moisture", "43", 2), ("groundtruth/bed/2/moisture_raw", "2000", 0), ("groundtruth/bed/2/moisture_raw", "bad", 1), ("groundtruth/bed/2/temperature", "20", 2), ("groundtruth/bed/2/moisture", "40", 29), ("groundtruth/bed/3/moisture_raw", "1", 0), ("groundtruth/bed/3/moisture", "40", 30), ("charstation/3/raw_adc", "1487.4", 5)]
+    rows = [("garden/bed/1/moisture_raw", "2400", 0), ("garden/bed/1/moisture", "42.5", 1), ("garden/bed/1/moisture", "43", 2), ("garden/bed/2/moisture_raw", "2000", 0), ("garden/bed/2/moisture_raw", "bad", 1), ("garden/bed/2/temperature", "20", 2), ("garden/bed/2/moisture", "40", 29), ("garden/bed/3/moisture_raw", "1", 0), ("garden/bed/3/moisture", "40", 30), ("charstation/3/raw_adc", "1487.4", 5)]
     df = spark.createDataFrame([(t, p, s * SECOND, i) for i, (t, p, s) in enumerate(rows)], messages.MESSAGE)
     got = {r.seq: (r.source, r.value, r.raw_value) for r in messages.readings(df).collect()}
     assert got == {1: ("bed/1", 42.5, 2400), 2: ("bed/1", 43.0, None), 5: ("bed/2", 20.0, None), 6: ("bed/2", 40.0, 2000), 8: ("bed/3", 40.0, None), 9: ("charstation/3", 1487.4, 1487)}

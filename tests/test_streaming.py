@@ -1,29 +1,47 @@
 """The streaming twins give the batch results."""
 
 import json
+import math
+import os
 import random
+import time
 
-from streamcheck.config import MINUTE, SECOND, MetricConfig, ValidatorConfig
-from streamcheck.operators.asof import raw_pairing
+import pytest
+from pyspark.sql import functions as F
+
+from streamcheck.config import DAY, MINUTE, SECOND, TIER1_ONLY, GroupConfig, MetricConfig, ValidatorConfig
+from streamcheck.operators.asof import raw_pairing, session_asof
+from streamcheck.operators.health import health_history
+from streamcheck.operators.quarantine import quarantine_history
 from streamcheck.operators.tier1 import validate_readings
-from streamcheck.streaming.validate import pair_stream, validate_stream
+from streamcheck.sources import store
+from streamcheck.streaming.health import quarantine_step, rescore, tick_batches, tick_stream
+from streamcheck.streaming.validate import join_sessions, pair_stream, persist_batches, validate_stream
 
 READING = "source string, metric string, value double, ts_us bigint, raw_value bigint, seq bigint"
 CONFIG = ValidatorConfig(metrics={"m": MetricConfig(low=0.0, high=60.0, raw_low=1, raw_high=8, max_rate=30.0, stuck_count=3, stuck_threshold=2.0), "temperature": MetricConfig(stuck_mode="duration", resolution=3.0, stuck_window=3 * MINUTE)})
 
 
-def run(spark, rows, tmp_path, make, name):
-    """Feed rows in three files, one micro-batch each."""
+def run(spark, rows, tmp_path, make, name, until=None):
+    """Feed rows in three files, one micro-batch each; a query with timeouts has no end, so it goes on for ``until`` rows."""
     names = [x.split()[0] for x in READING.split(", ")]
     (tmp_path / "in").mkdir()
     cuts = [0, len(rows) // 3, 2 * len(rows) // 3, len(rows)]
     for k in range(3):
-        with open(tmp_path / "in" / f"{k}.json", "w") as f:
+        path = tmp_path / "in" / f"{k}.json"
+        with open(path, "w") as f:
             f.writelines(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows[cuts[k] : cuts[k + 1]])
+        os.utime(path, (1_700_000_000 + 60 * k,) * 2)  # files are taken by modification time
     stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+    q = (q if until else q.trigger(availableNow=True)).start()
     try:
-        q.processAllAvailable()
+        if until:
+            end = time.monotonic() + 90
+            while spark.table(name).count() < until and time.monotonic() < end and q.isActive:
+                time.sleep(0.5)
+        else:
+            assert q.awaitTermination(100)
     finally:
         q.stop()
     return spark.table(name).collect()
@@ -44,3 +62,88 @@ def test_pairing_parity(spark, tmp_path):
     want = {r.seq: r.raw_value for r in raw_pairing(spark.createDataFrame(rows, READING)).collect()}
     got = {r.seq: r.raw_value for r in run(spark, rows, tmp_path, pair_stream, "pairs")}
     assert got == want and any(v is not None for v in want.values())
+
+
+def test_readings_never_take_later_counts(spark, tmp_path):
+    rows = [("b", "moisture_raw", 7.0, 100 * SECOND, None, 0), ("b", "moisture", 1.0, 90 * SECOND, None, 1), ("b", "moisture", 2.0, 110 * SECOND, None, 2)]
+    got = {r.seq: (r.raw_value, r.late) for r in run(spark, rows, tmp_path, pair_stream, "late_pairs")}
+    assert got == {1: (None, True), 2: (7, False)}
+
+
+def test_delay_puts_rows_in_order(spark, tmp_path):
+    """Rows out of order by less than the delay get the batch's verdicts; later ones are marked and change nothing."""
+    rng = random.Random(5)
+    rows = [(f"s{i % 3}", "m", float(rng.choice([10, 11, 12, 50, 70])), i * 20 * SECOND, None, i) for i in range(240)]
+    want = {r.seq: r.rule for r in validate_readings(spark.createDataFrame(rows, READING), CONFIG).collect()}
+    mixed = sorted(rows, key=lambda r: r[3] + rng.randrange(200) * SECOND)
+    flush = [(f"s{k}", "m", 0.0, 10**6 * SECOND, None, 1000 + k) for k in range(3)]
+    late = [("s0", "m", 999.0, 5 * SECOND, None, 2000)]
+    out = run(spark, mixed + flush + late, tmp_path, lambda s: validate_stream(s, CONFIG, delay_us=400 * SECOND), "ordered", until=240)
+    got = {r.seq: (r.rule, r.late) for r in out if r.seq < 240}
+    assert got == {k: (v, False) for k, v in want.items()}
+
+
+def test_late_rows_and_counters_are_stored(spark, tmp_path):
+    rows = [("bed/1", "m", 10.0, 100 * SECOND, None, 0), ("bed/1", "m", 99.0, 200 * SECOND, None, 1), ("bed/1", "m", 30.0, 150 * SECOND, None, 2)]
+    df = spark.createDataFrame([(*r, q, x, late) for r, q, x, late in zip(rows, ["good", "invalid", "good"], ["", "value_range", ""], [False, False, True], strict=True)], READING + ", quality string, rule string, late boolean")
+    write = persist_batches(str(tmp_path / "r"), str(tmp_path / "n"), str(tmp_path / "late"))
+    write(df, 0), write(df.limit(0), 1)
+    assert store.read_readings(spark, str(tmp_path / "r")).count() == 2 and store.read_readings(spark, str(tmp_path / "late")).first().seq == 2
+    assert {(r.zone, r.quality): r.n for r in spark.read.parquet(str(tmp_path / "n")).collect()} == {("bed", "good"): 2, ("bed", "invalid"): 1}
+
+
+def test_session_join_parity(spark, tmp_path):
+    log = spark.createDataFrame([("s0", 1, 0, "air"), ("s0", 2, 100 * SECOND, "sand"), ("s0", 3, 100 * SECOND, "wet"), ("s1", 4, 300 * SECOND, "late")], "unit string, id int, started_us bigint, batch_label string")
+    rows = [(f"s{i % 3}", "m", float(i), i * 20 * SECOND, None, i) for i in range(30)]
+    unit = lambda df: df.withColumn("unit", F.col("source"))
+    want = {r.seq: r.session and r.session.id for r in session_asof(unit(spark.createDataFrame(rows, READING)), log).collect()}
+    got = {r.seq: r.session and r.session.id for r in run(spark, rows, tmp_path, lambda s: join_sessions(unit(s), log), "sessions")}
+    assert got == want and set(want.values()) == {None, 1, 3, 4}
+
+
+def test_silent_streams_are_scored_at_every_tick(spark, tmp_path):
+    """A stream of ticks over stored readings gives the batch history, and a stream that has stopped is quarantined."""
+    config = ValidatorConfig(metrics={"m": MetricConfig(low=0.0, high=100.0)}, groups={"bench": GroupConfig(policy=TIER1_ONLY)})
+    rows = [(s, "m", 50 + math.sin(i), i * MINUTE, None, k * 1000 + i) for k, (s, n) in enumerate([("bed/1", 400), ("bed/2", 100), ("bench/1", 400)]) for i in range(n)]
+    judged = validate_readings(spark.createDataFrame(rows, READING), config)
+    store.append_readings(judged, str(tmp_path / "readings"))
+    ticks = [90 * MINUTE + k * 30 * MINUTE for k in range(10)]
+    (tmp_path / "ticks").mkdir()
+    for k, t in enumerate(ticks):
+        path = tmp_path / "ticks" / f"{k}.json"
+        path.write_text(json.dumps({"tick_us": t}))
+        os.utime(path, (1_700_000_000 + 60 * k,) * 2)
+    stream = spark.readStream.schema("tick_us bigint").option("maxFilesPerTrigger", 1).json(str(tmp_path / "ticks"))
+    q = stream.writeStream.foreachBatch(tick_batches(str(tmp_path / "readings"), str(tmp_path / "state"), config)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(150)
+    finally:
+        q.stop()
+    told = ["overall", "is_quarantined", "quarantined_us", "consecutive_bad", "consecutive_recovery", "transition", "quarantine_reason"]
+    plain = lambda df: {(r.source, r.tick_us): tuple(round(r[c], 6) if c == "overall" else r[c] for c in told) for r in df.collect()}
+    got = plain(spark.read.parquet(str(tmp_path / "state")))
+    want = plain(quarantine_history(health_history(judged, config, ticks[0], ticks[-1], 30 * MINUTE), config))
+    assert got == want and any(v[1] for v in got.values()) and {k[0] for k in got} == {"bed/1", "bed/2"}
+
+
+def test_streams_older_than_the_baseline_stay_known(spark):
+    config = ValidatorConfig(metrics={"m": MetricConfig()})
+    known = spark.createDataFrame([("bed/1", "m")], "source string, metric string")
+    rows = spark.createDataFrame([("bed/1", "m", 1.0, 0, None, 0, "good")], READING + ", quality string")
+    (r,) = rescore(rows, known, config, 9 * DAY).collect()
+    assert (r.overall, r.readings_in_window) == (30.0, 0)
+    assert tick_stream(spark).isStreaming
+
+
+@pytest.mark.parametrize("need", [1, 2, 3])
+def test_quarantine_steps_equal_history(spark, need):
+    rng = random.Random(need)
+    config = ValidatorConfig(consecutive=need)
+    rows = [(f"s{k}", "m", t, rng.choice([10.0, 30.0, 50.0, 80.0, 90.0])) for k in range(12) for t in range(12)]
+    df = spark.createDataFrame(rows, "source string, metric string, tick_us bigint, overall double")
+    want = {(r.source, r.tick_us): (r.is_quarantined, r.quarantined_us, r.consecutive_bad, r.consecutive_recovery, r.transition) for r in quarantine_history(df, config).collect()}
+    state = spark.createDataFrame([], "source string, metric string, is_quarantined boolean, quarantined_us bigint, consecutive_bad bigint, consecutive_recovery bigint")
+    for t in range(12):
+        out = quarantine_step(state, df.where(F.col("tick_us") == t), config, t).collect()
+        assert {(r.source, t): (r.is_quarantined, r.quarantined_us, r.consecutive_bad, r.consecutive_recovery, r.transition) for r in out} == {k: v for k, v in want.items() if k[1] == t}
+        state = spark.createDataFrame([(r.source, r.metric, r.is_quarantined, r.quarantined_us, r.consecutive_bad, r.consecutive_recovery) for r in out], state.schema)

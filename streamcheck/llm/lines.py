@@ -1,17 +1,23 @@
-"""Removal of repeated runs of lines: suffix ranks by distributed prefix doubling.
-
-The corpus is a sequence of line ids, cut at document ends.  Round k ranks the suffixes that
-still share their first 2**k lines with another by (rank, rank of the suffix 2**k lines on),
-so ranks order them by 2**(k + 1) lines; a suffix that shares no more leaves.  Suffixes of
-equal rank after round k are an interval of the suffix array whose longest common prefix is
-at least 2**(k + 1) lines.  Intervals of at least ``least`` lines hold the repeated runs (a
-longer run is the union of such), and of every interval all but the first place are later
-copies, whose lines go.
-
-Only distinct (rank, next rank) pairs are ever sorted: they are range-partitioned, and prefix
-sums over the partitions (one number each) give global ranks.  Counts are combined before the
-shuffle and joined back as tables of their own, so that adaptive execution can split the rows
-of a very common line.
+"""Removal of repeated runs of lines: a suffix array over line ids by distributed prefix doubling.
+
+The corpus is a sequence of line ids, cut at document ends.
+
+1. *Doubling.*  Round k ranks the suffixes that still share their first 2**k lines with another
+   by (rank, rank of the suffix 2**k lines on), until none shares more: then ranks give the suffix
+   array.  Suffixes whose first line is unique are not in it.  Only distinct (rank, next rank)
+   pairs are sorted: they are range-partitioned, and prefix sums over the partitions (one number
+   each) give global ranks.
+2. *Common prefixes.*  The longest common prefix with the suffix before it in the array shrinks by
+   one from line to line of a document while that suffix moves on with it, so only where it jumps
+   is it found anew, from the ranks of all rounds: the largest equal one tells 2**k equal lines.
+3. *Intervals.*  A suffix lies in the nested intervals of the array that share 1, 2, ... lines; its
+   maximal repeated run is as long as the deepest interval that holds an earlier place.  A pass
+   over each range partition with a stack finds it among the partition's places; what the partitions
+   before and after have is one short staircase for each (the least place by lines shared with the
+   partition's edge, at most as many steps as the longest repeated run has lines), carried along
+   on the driver.
+
+A run of at least ``least_bytes`` bytes is a copy of an earlier one, and its lines go.
 """
 
 from __future__ import annotations
@@ -22,12 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamcheck.llm.shared import Scratch
 
-LEAST = 2
+#: A repeated run of fewer bytes, line feeds not counted, stays: blank lines, brackets, short answers.
+LEAST_BYTES = 32
+WHOLE = 1 << 60
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -66,88 +74,253 @@ def global_rank(counts: DataFrame, keys: list[str], scratch: Scratch, name: str)
     return local.join(F.broadcast(table), "part").select(*keys, "c", (F.col("local") + F.col("offset")).alias("before"))
 
 
+PLACE = ["id", "fp", "pos"]
+
+
 def first_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, fp, pos, n, r, live) of the suffixes whose first line occurs more than once."""
+    """(id, fp, pos, n, ranks, live) of the suffixes whose first line occurs more than once; ``ranks`` has one rank so far."""
     common = scratch.write(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "common")
-    shared = scratch.write(lines.join(common, ["h1", "h2"]).dropDuplicates(["id", "fp", "pos"]), "shared")
+    shared = scratch.write(lines.join(common, ["h1", "h2"]).dropDuplicates(PLACE), "shared")
     names = scratch.write(global_rank(shared.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), ["h1", "h2"], scratch, "names-local"), "names")
-    return shared.join(names, ["h1", "h2"]).select("id", "fp", "pos", "n", (F.col("before") + 1).alias("r"), F.lit(True).alias("live"))
+    return shared.join(names, ["h1", "h2"]).select(*PLACE, "n", F.array(F.col("before") + 1).alias("ranks"), F.lit(True).alias("live"))
 
 
 def double(suffixes: DataFrame, step: int, scratch: Scratch, name: str) -> DataFrame:
-    """Ranks by twice as many lines; rank 0 stands for a document's end."""
-    after = suffixes.select("id", "fp", (F.col("pos") - step).alias("pos"), F.col("r").alias("r2"))
-    pairs = suffixes.where("live").join(after, ["id", "fp", "pos"], "left").withColumn("r2", F.when(F.col("pos") + step >= F.col("n"), F.lit(0)).otherwise(F.col("r2")))
-    pairs = scratch.write(pairs.where("r2 is not null").drop("live"), f"{name}-pairs")
-    ranks = global_rank(pairs.groupBy("r", "r2").agg(F.count("*").alias("c")), ["r", "r2"], scratch, f"{name}-local")
+    """Ranks by twice as many lines for live suffixes, added to ``ranks``; a suffix equal to no other, or ended, is no longer live.
+
+    After a document's end comes rank 0; a suffix of a unique line is one of its own, below all others.
+    """
+    ahead = Window.partitionBy("id", "fp").orderBy("pos").rangeBetween(step, step)
+    alone = -1 - F.shiftrightunsigned(F.xxhash64("id", "fp", F.col("pos") + step), 1)
+    r2 = F.when(F.col("pos") + step >= F.col("n"), F.lit(0)).otherwise(F.coalesce(F.first(F.element_at("ranks", -1)).over(ahead), alone))
+    pairs = scratch.write(suffixes.withColumns({"r": F.element_at("ranks", -1), "r2": r2}).where("live").drop("live"), f"{name}-pairs")
+    ranks = scratch.write(global_rank(pairs.groupBy("r", "r2").agg(F.count("*").alias("c")), ["r", "r2"], scratch, f"{name}-local"), f"{name}-sorted")
     base = ranks.groupBy("r").agg(F.min("before").alias("base"))
-    new = scratch.write(ranks.join(base, "r").where("c > 1").select("r", "r2", (F.col("r") + F.col("before") - F.col("base")).alias("rank")), f"{name}-ranks")
-    moved = pairs.join(new, ["r", "r2"]).select("id", "fp", "pos", "n", F.col("rank").alias("r"), (F.col("r2") > 0).alias("live"))
-    return moved.unionByName(suffixes.where("not live").select(*moved.columns))
+    new = scratch.write(ranks.join(base, "r").select("r", "r2", (F.col("r") + F.col("before") - F.col("base")).alias("rank"), (F.col("c") > 1).alias("more")), f"{name}-ranks")
+    moved = pairs.join(new, ["r", "r2"]).select(*PLACE, "n", F.concat("ranks", F.array("rank")).alias("ranks"), (F.col("more") & (F.col("r2") > 0)).alias("live"))
+    return moved.unionByName(suffixes.where("not live"))
+
+
+def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, fp, pos, n, ranks) of every suffix of a shared line; ordered by the last rank, then by place, they are the suffix array."""
+    suffixes, level = scratch.write(first_ranks(lines, scratch), "level-0"), 0
+    while not suffixes.where("live").isEmpty():
+        name = f"double-{level}"
+        suffixes = scratch.write(double(suffixes, 1 << level, scratch, name), f"level-{level + 1}")
+        scratch.drop(f"level-{level}", *(f"{name}-{t}" for t in ("pairs", "local", "sorted", "ranks")))
+        level += 1
+    return suffixes.drop("live")
+
 
+def with_suffix_before(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(part, at, id, fp, pos, n, r0, q_id, q_fp, q_pos, q_r0): places in the array's order (part, at), each with the place before it."""
+    order = ["r", *PLACE]
 
-def repeated_runs(lines: DataFrame, scratch: Scratch, least: int, recurring: bool) -> DataFrame:
-    """(id, fp, starts, shared): the starts of ``least``-line windows that an earlier place has, and the most lines, as a power of two, known to recur."""
-    suffixes = scratch.write(first_ranks(lines, scratch), "level-0")
-    level, later, marks = 0, None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, last = TaskContext.get().partitionId(), 0, [None] * 4
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            held = {k: batch.column(i) for i, k in enumerate([*PLACE, "n", "r0"])}
+            before = {f"q_{k}": pa.concat_arrays([pa.array([x], pa.int64()), held[k].slice(0, n - 1)]) for k, x in zip([*PLACE, "r0"], last, strict=True)}
+            last = [held[k][n - 1].as_py() for k in [*PLACE, "r0"]]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, part)), "at": pa.array(np.arange(at, at + n))} | held | before)
+            at += n
+
+    ordered = suffixes.select(*PLACE, "n", F.col("ranks")[0].alias("r0"), F.element_at("ranks", -1).alias("r")).repartitionByRange(*order).sortWithinPartitions(*order)
+    names = ["part", "at", *PLACE, "n", "r0", *(f"q_{k}" for k in [*PLACE, "r0"])]
+    table = scratch.write(ordered.select(*PLACE, "n", "r0").mapInArrow(run, ", ".join(f"{k} bigint" for k in names)), "order")
+    ends = sorted(table.groupBy("part").agg(F.max_by(F.struct(*PLACE, "r0"), "at").alias("e")).collect())  # one row per partition
+    edges = pa.table({"part": pa.array([b.part for b in ends[1:]], pa.int64())} | {f"e_{k}": pa.array([a.e[k] for a in ends[:-1]], pa.int64()) for k in [*PLACE, "r0"]})
+    joined = table.join(F.broadcast(table.sparkSession.createDataFrame(edges)), "part", "left")
+    return joined.withColumns({f"q_{k}": F.when(F.col("at") == 0, F.col(f"e_{k}")).otherwise(F.col(f"q_{k}")) for k in [*PLACE, "r0"]}).select(*names)
+
+
+def common_prefixes(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(part, at, id, fp, pos, lcp): lines that each suffix shares with the one before it in the array."""
+    down = Window.partitionBy("id", "fp").orderBy("pos")
+
+    def was(name: str, less: int = 0):
+        return F.lag(name).over(down) == F.col(name) - less
+
+    follows = was("pos", 1) & was("q_id") & was("q_fp") & was("q_pos", 1) & (F.lag("r0").over(down) == F.lag("q_r0").over(down))
+    chained = scratch.write(with_suffix_before(suffixes, scratch).withColumn("jump", ~F.coalesce(follows, F.lit(False))), "chained")
+    active = chained.where("jump and r0 = q_r0").select(*PLACE, "n", "q_id", "q_fp", "q_pos", F.lit(0).cast("bigint").alias("m"))
+    mine = suffixes.select(F.col("id").alias("a_id"), F.col("fp").alias("a_fp"), F.col("pos").alias("a_pos"), F.col("ranks").alias("a"))
+    other = suffixes.select(F.col("id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("pos").alias("b_pos"), F.col("ranks").alias("b"))
+    found, rounds = [], 0
     while True:
-        size = 1 << level
-        marks.append(suffixes.where(F.col("pos") + size <= F.col("n")).groupBy("id", "fp").agg(F.max(F.lit(size)).alias("shared")))
-        if size <= least < 2 * size:
-            window = suffixes.where(F.col("pos") + least <= F.col("n"))
-            if least > size:
-                tail = suffixes.select("id", "fp", (F.col("pos") - (least - size)).alias("pos"), F.col("r").alias("r2"))
-                window = window.join(tail, ["id", "fp", "pos"])
-            else:
-                window = window.withColumn("r2", F.lit(0))
-            place = F.struct("id", "fp", "pos")
-            first = scratch.write(window.groupBy("r", "r2").agg(F.min(place).alias("first")), "first")
-            later = scratch.write(window.join(first, ["r", "r2"]).where(place != F.col("first")).groupBy("id", "fp").agg(F.collect_set("pos").alias("starts")), "later")
-        if later is not None and not recurring or suffixes.where("live").isEmpty():
+        here = active.join(mine, (F.col("id") == F.col("a_id")) & (F.col("fp") == F.col("a_fp")) & (F.col("pos") + F.col("m") == F.col("a_pos")), "left")
+        here = here.join(other, (F.col("q_id") == F.col("b_id")) & (F.col("q_fp") == F.col("b_fp")) & (F.col("q_pos") + F.col("m") == F.col("b_pos")), "left")
+        k = F.expr("array_max(filter(sequence(0, least(size(a), size(b)) - 1), k -> a[k] = b[k]))")
+        here = here.withColumn("k", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), k))
+        more = F.when(F.col("k").isNotNull(), F.least(F.expr("shiftleft(1L, k)"), F.col("n") - F.col("pos") - F.col("m"))).otherwise(0)
+        step = here.select(*PLACE, "n", "q_id", "q_fp", "q_pos", (F.col("m") + more).alias("m"), F.col("k").isNotNull().alias("goes"))
+        step = scratch.write(step.withColumn("goes", F.col("goes") & (F.col("pos") + F.col("m") < F.col("n"))), f"prefix-{rounds}")
+        found.append(step.where("not goes").select(*PLACE, "m"))
+        active, rounds = step.where("goes").drop("goes"), rounds + 1
+        if active.isEmpty():
             break
-        suffixes = scratch.write(double(suffixes, size, scratch, f"double-{level}"), f"level-{level + 1}")
-        scratch.drop(f"double-{level}-pairs", f"double-{level}-local", f"double-{level}-ranks")
-        level += 1
-    seen = marks[0]
-    for m in marks[1:]:
-        seen = seen.unionByName(m)
-    seen = seen.groupBy("id", "fp").agg(F.max("shared").alias("shared"))
-    if later is None:
-        return seen.select("id", "fp", F.array().cast("array<bigint>").alias("starts"), "shared")
-    return seen.join(later, ["id", "fp"], "left")
-
-
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, keep_text: bool = False, recurring: bool = False) -> DataFrame:
-    """Delete each line covered by a run of ``least`` lines that also starts at an earlier place.
-
-    Places are ordered by (id, line); lines are what line feeds separate, unchanged, blank ones
-    too.  Returns one row per input row: ``id_col`` (an integer), ``n_lines``, ``n_removed``,
-    ``kept_sha256`` of the kept lines joined by line feeds; with ``keep_text`` also ``kept_text``;
-    with ``recurring`` also ``recurring_lines``, the largest power of two of successive lines that
-    occur twice (0 if none).  Rounds end when intervals of ``least`` lines are known, or with
-    ``recurring`` when no suffix shares more lines.  Null text has no lines; empty text has one.  A row without an id is left
-    whole and counts for nothing elsewhere; rows that repeat id and text are one document; of
-    rows with one id and other texts the order is that of a hash.
+    jumps = found[0]
+    for f in found[1:]:
+        jumps = jumps.unionByName(f)
+    known = chained.join(jumps, PLACE, "left").withColumn("m", F.when(F.col("jump"), F.coalesce("m", F.lit(0))))
+    start = F.last(F.when(F.col("jump"), F.struct("m", F.col("pos").alias("s"))), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("start", start).select("part", "at", *PLACE, F.greatest(F.lit(0), F.col("start.m") - (F.col("pos") - F.col("start.s"))).alias("lcp"))
+
+
+def before_and_after(x: list[int], lcp: list[int]) -> tuple[list[int], list[int], list[int], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of a range of the array, with places as numbers ``x`` and ``lcp`` with the suffix before each:
+
+    (most lines shared with a smaller place of the range; least lcp since the range's start where none is
+    smaller on that side, else -1; the same to its end; and the staircases (lines, index) at its end
+    and at its start).
+    """
+    n = len(x)
+    best, left, right = [0] * n, [-1] * n, [-1] * n
+    stack: list[tuple[int, int]] = []
+    for i in range(n):
+        c = lcp[i]
+        while stack and x[stack[-1][0]] > x[i]:
+            c = min(c, stack.pop()[1])
+        if stack:
+            best[i] = c
+        else:
+            left[i] = c
+        stack.append((i, c))
+    at_end = stairs(stack, WHOLE)
+    stack = []
+    for i in range(n - 1, -1, -1):
+        c = lcp[i + 1] if i + 1 < n else WHOLE
+        while stack and x[stack[-1][0]] > x[i]:
+            c = min(c, stack.pop()[1])
+        if stack:
+            best[i] = max(best[i], c)
+        else:
+            right[i] = c
+        stack.append((i, c))
+    return best, left, right, at_end, stairs(stack, lcp[0] if n else WHOLE)
+
+
+def stairs(stack: list[tuple[int, int]], shared: int) -> list[tuple[int, int]]:
+    """(lines, index) from the top of a stack of rising places down: for each number of lines the least place."""
+    out: list[tuple[int, int]] = []
+    for i, c in reversed(stack):
+        if not shared:
+            break
+        if out and out[-1][0] == shared:
+            out.pop()
+        out.append((shared, i))
+        shared = min(shared, c)
+    return out
+
+
+Stairs = list[tuple[int, tuple[int, int, int]]]
+
+
+def lower(old: Stairs, most: int, new: Stairs) -> Stairs:
+    """The staircase of ``new`` and, beyond it, of ``old`` through ``most`` shared lines: fewer lines, smaller places."""
+    out: Stairs = []
+    for lines, place in sorted([*new, *((min(lines, most), p) for lines, p in old)], key=lambda s: (-s[0], s[1])):
+        if lines and (not out or place < out[-1][1]):
+            out.append((lines, place))
+    return out
+
+
+def reach(steps: Stairs, place: tuple[int, int, int]) -> int:
+    """The most lines shared with a place before ``place``."""
+    return next((lines for lines, p in steps if p < place), 0)
+
+
+def earlier_runs(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, fp, pos, lines): the length of each suffix's longest run that also starts at an earlier place, where there is one."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, whole = TaskContext.get().partitionId(), pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pydict({k: pa.array([], pa.int64()) for k in [*PLACE, "lcp"]})])
+        n = whole.num_rows
+        if not n:
+            return
+        columns = [whole[k].to_numpy() for k in PLACE]
+        x = np.empty(n, dtype=np.int64)
+        x[np.lexsort(columns[::-1])] = np.arange(n)
+        lcp = whole["lcp"].to_pylist()
+        best, left, right, at_end, at_start = before_and_after(x.tolist(), lcp)
+        steps = [(kind, lines, i) for kind, found in ((1, at_end), (2, at_start)) for lines, i in found]
+        kinds = [0] * n + [k for k, _, _ in steps] + [3]
+        rows = np.array([*range(n), *(i for _, _, i in steps), 0])
+        best += [lines for _, lines, _ in steps] + [min(lcp)]
+        extra = [-1] * (len(kinds) - n)
+        yield pa.RecordBatch.from_pydict({k: pa.array(c[rows]) for k, c in zip(PLACE, columns, strict=True)} | {"part": pa.array(np.full(len(kinds), part)), "kind": pa.array(kinds, pa.int64()), "lines": pa.array(best, pa.int64()), "head": pa.array(left + extra, pa.int64()), "tail": pa.array(right + extra, pa.int64())})
+
+    names = [*PLACE, "part", "kind", "lines", "head", "tail"]
+    ordered = prefixes.repartitionByRange("part", "at").sortWithinPartitions("part", "at").select(*PLACE, "lcp")
+    found = scratch.write(ordered.mapInArrow(local, ", ".join(f"{k} bigint" for k in names)), "runs-local")
+    edges: dict[int, dict[int, list]] = {}
+    for r in found.where("kind > 0").collect():  # the staircases of each partition
+        edges.setdefault(r.part, {1: [], 2: [], 3: []})[r.kind].append((r.lines, (r.id, r.fp, r.pos)))
+    parts, ahead, behind = sorted(edges), {}, {}
+    steps: Stairs = []
+    for p in parts:
+        behind[p] = steps
+        steps = lower(steps, edges[p][3][0][0], edges[p][1])
+    steps = []
+    for p in reversed(parts):
+        ahead[p] = steps
+        steps = lower(steps, edges[p][3][0][0], edges[p][2])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(len(names))]
+            part, lines, head, tail = columns[3], columns[5].copy(), columns[6], columns[7]
+            for i in np.flatnonzero((head > 0) | (tail > 0)).tolist():
+                place, p = tuple(int(c[i]) for c in columns[:3]), int(part[i])
+                lines[i] = max(int(lines[i]), min(int(head[i]), reach(behind[p], place)), min(int(tail[i]), reach(ahead[p], place)))
+            yield pa.RecordBatch.from_pydict({k: pa.array(c) for k, c in zip(PLACE, columns, strict=False)} | {"lines": pa.array(lines)}).filter(pa.array(lines > 0))
+
+    return found.where("kind = 0").select(*names).mapInArrow(joined, "id bigint, fp bigint, pos bigint, lines bigint")
+
+
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = LEAST_BYTES, keep_text: bool = False) -> DataFrame:
+    """Delete each line of a run of lines, of ``least_bytes`` bytes or more, that also starts at an earlier place.
+
+    Runs are as long as they repeat, from one line on; places are ordered by (id, line); lines are what
+    line feeds separate, unchanged, and blank ones go with their run.  Bytes are those of the
+    lines in UTF-8.  Returns one row per input row: ``id_col`` (an integer), ``n_lines``, ``n_removed``,
+    ``kept_sha256`` of the kept lines joined by line feeds; with ``keep_text`` also ``kept_text``.
+    Null text has no lines; empty text has one.  A row without an id is left whole and counts for
+    nothing elsewhere; rows that repeat id and text are one document; of rows with one id and
+    other texts the order is that of a hash.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).alias("key"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.col(text_col).alias("text"))
     lines = scratch.write(line_table(rows), "lines")
-    runs = scratch.write(repeated_runs(lines, scratch, least, recurring), "runs")
-    scratch.drop("lines", "common", "shared", "names", "names-local", "level-0", "first", "later")
+    suffixes = suffix_array(lines, scratch)
+    scratch.drop("lines", "common", "shared", "names", "names-local")
+    prefixes = scratch.write(common_prefixes(suffixes, scratch), "prefixes")
+    runs = earlier_runs(prefixes, scratch)
+    runs = scratch.write(runs.groupBy("id", "fp").agg(F.collect_list(F.struct("pos", "lines")).alias("runs")), "runs")
+    scratch.drop("order", "chained", "prefixes", "runs-local")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, starts, shared in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 own = text.as_py().encode("utf-8", "surrogatepass").split(b"\n") if text.is_valid else []
-                gone = {p for s in starts or () for p in range(s, s + least)}
-                kept = b"\n".join([x for p, x in enumerate(own) if p not in gone]) if gone else b"\n".join(own)
-                out.append((len(own), len(gone), shared or 0, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
-            n, gone, shared, sha, kept = zip(*out, strict=True) if out else ([],) * 5
+                size, edge = np.cumsum([0, *map(len, own)]), np.zeros(len(own) + 1, dtype=np.int64)
+                for r in found or ():
+                    if size[r["pos"] + r["lines"]] - size[r["pos"]] >= least_bytes:
+                        edge[r["pos"]] += 1
+                        edge[r["pos"] + r["lines"]] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = b"\n".join([x for x, g in zip(own, gone.tolist(), strict=True) if not g])
+                out.append((len(own), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
+            n, gone, sha, kept = zip(*out, strict=True) if out else ([],) * 4
             columns = {id_col: batch.column(0), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            columns |= {"kept_text": pa.array(kept, pa.string())} if keep_text else {}
-            yield pa.RecordBatch.from_pydict(columns | ({"recurring_lines": pa.array(shared, pa.int64())} if recurring else {}))
+            yield pa.RecordBatch.from_pydict(columns | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {}))
 
-    joined = rows.join(runs, ["id", "fp"], "left").select("key", "text", "starts", F.col("shared").cast("bigint"))
+    joined = rows.join(runs, ["id", "fp"], "left").select("key", "text", "runs")
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, f"{id_col} {kind}, n_lines bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else "") + (", recurring_lines bigint" if recurring else ""))
+    return joined.mapInArrow(run, f"{id_col} {kind}, n_lines bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else ""))

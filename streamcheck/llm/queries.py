@@ -66,15 +66,20 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_lines(table(spark, sf_dir, "documents"))
 
 
+# Maximal runs by pairs: equal lines at two places, joined along diagonals of (place, earlier place).
 OP8_SQL = """
 WITH lines AS (
-  SELECT doc_id, p - 1 AS pos, l[p] AS line
+  SELECT doc_id, p - 1 AS pos, l[p] AS line, strlen(l[p]) AS bytes
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-), windows AS (
-  SELECT doc_id, pos, min((doc_id, pos)) OVER (PARTITION BY line, next) AS first
-  FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM lines) WHERE next IS NOT NULL
+), pairs AS (
+  SELECT a.doc_id, a.pos, a.bytes, b.doc_id AS other, a.pos - b.pos AS diagonal
+  FROM lines a JOIN lines b ON a.line = b.line AND (b.doc_id, b.pos) < (a.doc_id, a.pos)
+), runs AS (
+  SELECT doc_id, min(pos) AS lo, max(pos) AS hi
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY pos) AS run FROM pairs)
+  GROUP BY doc_id, other, diagonal, run HAVING sum(bytes) >= 32
 ), gone AS (
-  SELECT DISTINCT doc_id, pos + d AS pos FROM windows, (VALUES (0), (1)) AS t(d) WHERE first <> (doc_id, pos)
+  SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM (SELECT DISTINCT * FROM runs)
 )
 SELECT d.doc_id, count(l.pos) AS n_lines, count(g.pos) AS n_removed,
        sha256(coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '')) AS kept_sha256

@@ -1,37 +1,37 @@
 """Removal of repeated line runs against all windows of lines."""
 
 import hashlib
+import itertools
 import random
 from collections import defaultdict
 
 import pytest
 
 from streamcheck.llm import queries
-from streamcheck.llm.lines import remove_lines
+from streamcheck.llm.lines import before_and_after, lower, reach, remove_lines
 
 
 def brute(rows, least):
+    """Every pair of equal lines starts or goes on with a run; runs of enough bytes lose their later copy."""
     lines = {(i, t): t.split("\n") for i, t in rows if i is not None and t is not None}
-    first, seen = {}, defaultdict(set)
+    places, gone = defaultdict(list), defaultdict(set)
     for key, own in lines.items():
-        for size in {least, *(1 << k for k in range(8))}:
-            for p in range(len(own) - size + 1):
-                w = tuple(own[p : p + size])
-                seen[w].add((*key, p))
-                if size == least:
-                    first[w] = min((key[0], p), first.get(w, (key[0], p)))
+        for p, x in enumerate(own):
+            places[x].append((key, p))
+    for key, own in lines.items():
+        for p, x in enumerate(own):
+            for other, q in places[x]:
+                if (other[0], q) < (key[0], p) and (p == 0 or q == 0 or own[p - 1] != lines[other][q - 1]):
+                    n = 0
+                    while p + n < len(own) and q + n < len(lines[other]) and own[p + n] == lines[other][q + n]:
+                        n += 1
+                    if sum(len(y.encode()) for y in own[p : p + n]) >= least:
+                        gone[key].update(range(p, p + n))
     out = []
     for i, t in rows:
-        own, gone, most = (t.split("\n") if t is not None else []), set(), 0
-        if i is not None:
-            for p in range(len(own) - least + 1):
-                if first[tuple(own[p : p + least])] < (i, p):
-                    gone.update(range(p, p + least))
-            for k in range(8):
-                if any(len(seen[tuple(own[p : p + (1 << k)])]) > 1 for p in range(len(own) - (1 << k) + 1)):
-                    most = 1 << k
-        kept = "\n".join(x for p, x in enumerate(own) if p not in gone)
-        out.append((i, len(own), len(gone), hashlib.sha256(kept.encode()).hexdigest(), most))
+        own, g = (t.split("\n") if t is not None else []), gone[i, t] if i is not None else set()
+        kept = "\n".join(x for p, x in enumerate(own) if p not in g)
+        out.append((i, len(own), len(g), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -48,24 +48,53 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,least", [(1, 2), (2, 3), (3, 5)])
-def test_equals_all_windows(spark, seed, least):
-    rows = [r for r in corpus(seed) if r[0] != 50008]
+@pytest.mark.parametrize("seed,least,parts", [(1, 1, 8), (2, 16, 3), (3, 60, 8)])
+def test_equals_all_pairs(spark, seed, least, parts):
+    rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, pos int, fp string").repartition(5)
-    assert sorted(map(tuple, remove_lines(df, least=least, recurring=True).collect()), key=str) == brute(rows, least)
-    assert sorted(map(tuple, remove_lines(df, least=least).collect()), key=str) == [w[:4] for w in brute(rows, least)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(tuple, remove_lines(df, least_bytes=least).collect()), key=str) == brute(rows, least)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_intervals_over_cut_arrays(seed):
+    """Any cut of a suffix array into ranges gives each place its longest run that starts earlier."""
+    rng = random.Random(seed)
+    text = [rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(1, 40))]
+    same = lambda a, b: next((k for k in range(len(text)) if max(a, b) + k >= len(text) or text[a + k] != text[b + k]), len(text))
+    order = sorted(range(len(text)), key=lambda p: text[p:])
+    lcp = [0, *(same(a, b) for a, b in itertools.pairwise(order))]
+    want = {p: max((same(p, q) for q in range(p)), default=0) for p in range(len(text))}
+    cuts = sorted({0, len(text), *(rng.randrange(len(text) + 1) for _ in range(rng.randrange(6)))})
+    pieces = [(order[a:b], *before_and_after(order[a:b], lcp[a:b])) for a, b in itertools.pairwise(cuts)]
+    got, steps, least = {}, [], [min(lcp[a:b]) for a, b in itertools.pairwise(cuts)]
+    for (own, best, left, _, at_end, _), most in zip(pieces, least, strict=True):
+        for p, b, c in zip(own, best, left, strict=True):
+            got[p] = max(b, min(c, reach(steps, (p,))))
+        steps = lower(steps, most, [(n, (own[i],)) for n, i in at_end])
+    steps = []
+    for (own, _, _, right, _, at_start), most in zip(reversed(pieces), reversed(least), strict=True):
+        for p, c in zip(own, right, strict=True):
+            got[p] = max(got[p], min(c, reach(steps, (p,))))
+        steps = lower(steps, most, [(n, (own[i],)) for n, i in at_start])
+    assert got == want
 
 
 def test_long_repeats_and_no_rows(spark):
     df = spark.createDataFrame([(1, "\n".join(f"l{k}" for k in range(300))), (2, "new\n" + "\n".join(f"l{k}" for k in range(300)) + "\nend")], "doc_id long, text string")
-    got = {r.doc_id: r for r in remove_lines(df, keep_text=True, recurring=True).collect()}
-    assert got[1].n_removed == 0 and got[2].kept_text == "new\nend" and got[2].recurring_lines == 256
+    got = {r.doc_id: r for r in remove_lines(df, keep_text=True).collect()}
+    assert got[1].n_removed == 0 and got[2].kept_text == "new\nend"
     assert remove_lines(df.limit(0)).count() == 0
 
 
-def test_query_on_documents(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    got = queries.op8_lines(spark, "/root/testdata/sf0.01").collect()
-    want = brute(rows, 2)
-    assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in got), key=str) == [w[:4] for w in want]
-    assert sum(w[2] > 0 for w in want) > 10
+def test_query_equals_sql(spark):
+    import oracle
+
+    sf = "/root/testdata/sf0.01"
+    assert oracle.compare(spark, "op8_lines", queries.op8_lines, queries.OP8_SQL, sf, oracle.duck(sf)) == 1000
+    assert sum(r.n_removed > 0 for r in queries.op8_lines(spark, sf).collect()) > 10

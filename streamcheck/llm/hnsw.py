@@ -1,9 +1,9 @@
 """Embedding near-deduplication over hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one class.  Classes are dealt into shards by hash; a task builds each shard's
-graph.  Every class then queries every shard: classes are dealt into query groups, and the
-task of a (shard, group) holds one graph and one group, both of bounded size.  Searches run
-for many queries at a time in numpy.  A beam whose worst hit is still a link is widened until
+graph.  Every class then queries every shard: a task holds one graph, of bounded size, and streams
+many blocks of queries past it, so a graph is sent once for a share of all queries and not
+for each block.  Searches run for many queries at a time in numpy.  A beam whose worst hit is still a link is widened until
 it is not; and each task audits its recall on planted links, which every shard has however sparse
 its own are, and on the links of some queries with others, and widens every beam until both audits
 pass (in the limit all pairs are compared).  Audited recalls are kept with the links.  Links are
@@ -27,6 +27,7 @@ from streamcheck.llm.shared import Scratch
 
 COSINE = 0.95
 LEAST_SHARDS, SHARD_ROWS, GROUP_ROWS = 8, 16384, 8192
+BLOCKS = 32  # blocks of queries that one copy of a graph serves
 LINKS, BUILD_BEAM, BEAM = 16, 48, 24
 AUDIT, PLANTED, RECALL = 48, 200, 0.995
 SELF = 1 - 1e-12  # a cosine from here on is a vector's match with itself
@@ -250,58 +251,85 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """Link vectors whose cosine is at least ``cosine``.
 
     Returns one row per input row: ``id_col``, ``n_links`` (other rows linked directly),
-    ``component_id`` (smallest id reachable), ``kept``.  Vectors that are null, zero or hold a
-    null or non-finite component, and rows without an id, link with nothing.  Vectors of
-    different lengths link with nothing of another length.  Rows that repeat an id are one
-    vertex.  Other columns are not read.
+    ``component_id`` (smallest id reachable), ``kept``, and ``audited_recall``, the least that any
+    task's audit measured for its searches.  Vectors that are null, zero or hold a null or
+    non-finite component, and rows without an id, link with nothing.  Vectors of different
+    lengths link with nothing of another length.  A vertex is a class of equal vectors, so rows
+    that repeat an id each have the links of their own vector.  Other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession, "hnsw")
     rows = scratch.write(clean(vectors, id_col, vector_col), "rows")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").cast("bigint").alias("rep"), F.first("vector").alias("vector"), F.count("*").alias("size"))
-    classes = scratch.write(classes.withColumn("dim", (F.octet_length("vector") / 8).cast("int")), "classes")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").cast("bigint").alias("least_id"), F.first("vector").alias("vector"), F.count("*").alias("size"))
+    classes = classes.withColumns({"dim": (F.octet_length("vector") / 8).cast("int"), "rep": F.xxhash64("digest")})
+    classes = scratch.write(classes, "classes")
     n = classes.count()
-    shards, groups = max(least_shards, -(-n // shard_rows)), max(1, -(-n // group_rows))
-    dealt = classes.withColumns({"shard": F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"), "part": F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(groups)).cast("int")})
+    shards, splits = max(least_shards, -(-n // shard_rows)), max(1, -(-n // (group_rows * BLOCKS)))
+    dealt = classes.withColumns({"shard": F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"), "part": F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(splits)).cast("int")})
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         x = matrix(table["vector"])
         blob = pickle.dumps((Graph(x), x, table["rep"].to_numpy(), table["size"].to_numpy()), protocol=5)
         return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "graph": pa.array([blob], pa.binary())}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
 
-    # Partition numbers are given: a (shard, group) is heavy work on few bytes, which must not be coalesced.
+    # Partition numbers are given: a (shard, part) is heavy work on few bytes, which must not be coalesced.
     graphs = scratch.write(dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
-    queries = dealt.select("dim", "part", "rep", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    graphs_each = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def query(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"kind": pa.array([], pa.int32()), "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        graph, x, reps, sizes = pickle.loads(right["graph"][0].as_py())
-        q, own = matrix(left["vector"]), left["rep"].to_numpy()
+    queries = dealt.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "part", F.lit(1).alias("kind"), "rep", "vector")
+    copies = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("rep"), F.col("graph").alias("vector"))
+
+    def answer(held: tuple, own: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        graph, x, reps, sizes = held
         found, recall, beam = shard_links(graph, x, q, cosine)
         counts = [int(sizes[i[reps[i] != r]].sum()) for i, r in zip(found, own.tolist(), strict=True)]
         edges = forest([(r, int(o)) for i, r in zip(found, own.tolist(), strict=True) for o in reps[i].tolist() if o != r])
         at = [k for k, c in enumerate(counts) if c]
-        return pa.table({
+        return pa.RecordBatch.from_pydict({
             "kind": pa.array([0] * len(at) + [1] * len(edges) + [2], pa.int32()),  # 2: beam and audited recall in millionths
             "x": pa.array([int(own[k]) for k in at] + [a for a, _ in edges] + [beam], pa.int64()),
             "y": pa.array([counts[k] for k in at] + [b for _, b in edges] + [int(recall * 1e6)], pa.int64()),
         })
 
+    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, own, raw = None, None, [], []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            place = list(zip(*(table[c].to_pylist() for c in ("dim", "shard", "part", "kind")), strict=True))
+            cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if place[lo][:3] != key or not place[lo][3]:
+                    if own and held:
+                        yield answer(held, np.array(own), unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)))
+                    key, held, own, raw = place[lo][:3], None, [], []
+                if not place[lo][3]:
+                    held = pickle.loads(table["vector"][lo].as_py())
+                    continue
+                at = lo
+                while at < hi:
+                    end = min(hi, at + group_rows - len(own))
+                    own += table["rep"].slice(at, end - at).to_pylist()
+                    raw += table["vector"].slice(at, end - at).to_pylist()
+                    at = end
+                    if len(own) >= group_rows and held:
+                        yield answer(held, np.array(own), unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)))
+                        own, raw = [], []
+        if own and held:
+            yield answer(held, np.array(own), unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)))
+
     keys = ["dim", "shard", "part"]
-    cells = 2 * shards * groups
-    queries, graphs_each = queries.repartition(cells, *keys), graphs_each.repartition(cells, *keys)
-    found = queries.groupBy(*keys).cogroup(graphs_each.groupBy(*keys)).applyInArrow(lambda a, b: query(a, b), "kind int, x bigint, y bigint")
-    found = scratch.write(found, "found")
+    asked = copies.unionByName(queries).repartition(2 * shards * splits, *keys).sortWithinPartitions(*keys, "kind")
+    found = scratch.write(asked.mapInArrow(query, "kind int, x bigint, y bigint"), "found")
+    recall = found.where("kind = 2").agg(F.min("y")).first()[0]
     comp = components(found.where("kind = 1"), scratch, "links", "x", "y")
     counts = found.where("kind = 0").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("others"))
-    label = classes.select("digest", "rep", "size").join(counts, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
-    label = scratch.write(label.select("digest", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "labels")
+    label = classes.select("digest", "rep", "least_id", "size").join(counts, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
+    label = scratch.write(label.select("digest", "least_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root")), "labels")
+    least = scratch.write(label.groupBy("root").agg(F.min("least_id").alias("component")), "roots")
     scratch.drop("graphs", "classes")
-    return rows.select("id", "digest").join(label, "digest", "left").select(
+    return rows.select("id", "digest").join(label.join(least, "root"), "digest", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"),
+        F.lit(1.0 if recall is None else recall / 1e6).alias("audited_recall"),
     )

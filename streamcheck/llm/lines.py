@@ -55,61 +55,76 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.where("id is not null and text is not null").select("id", "fp", "text").mapInArrow(run, "id bigint, fp bigint, pos bigint, n bigint, h1 bigint, h2 bigint")
 
 
-def global_rank(counts: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """(keys, c, before): ``before`` is the sum of ``c`` over all smaller keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, so_far = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            c = batch.column(len(keys)).to_numpy()
-            before = so_far + np.cumsum(c) - c
-            so_far += int(c.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(np.full(len(c), part, dtype=np.int32))], names=[*keys, "c", "local", "part"])
-
-    ordered = counts.select(*keys, "c").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    local = scratch.write(ordered.mapInArrow(run, ", ".join(f"{k} bigint" for k in keys) + ", c bigint, local bigint, part int"), name)
-    sums = sorted((r.part, r.c) for r in local.groupBy("part").agg(F.sum("c").alias("c")).collect())  # one row per partition
-    offsets = np.concatenate([[0], np.cumsum([c for _, c in sums])]).tolist()
-    table = local.sparkSession.createDataFrame([(p, int(o)) for (p, _), o in zip(sums, offsets, strict=False)], "part int, offset bigint")
-    return local.join(F.broadcast(table), "part").select(*keys, "c", (F.col("local") + F.col("offset")).alias("before"))
-
-
 PLACE = ["id", "fp", "pos"]
 
 
-def first_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, fp, pos, n, ranks, live) of the suffixes whose first line occurs more than once; ``ranks`` has one rank so far."""
-    common = scratch.write(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "common")
-    shared = scratch.write(lines.join(common, ["h1", "h2"]).dropDuplicates(PLACE), "shared")
-    names = scratch.write(global_rank(shared.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), ["h1", "h2"], scratch, "names-local"), "names")
-    return shared.join(names, ["h1", "h2"]).select(*PLACE, "n", F.array(F.col("before") + 1).alias("ranks"), F.lit(True).alias("live"))
+def group_ranks(counts: DataFrame, keys: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """((keys, c, before): ``before`` is the sum of ``c`` over smaller keys of the same first key; the number of keys whose suffixes go on).
+
+    Where there is one key, or a pair of hashes, all are one group.
+    """
+    whole = keys == ["h1", "h2"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, group, so_far = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, r = batch.column(len(keys)).to_numpy(), np.zeros(batch.num_rows, np.int64) if whole else batch.column(0).to_numpy()
+            sums, new = np.cumsum(c), np.ones(len(c), dtype=bool)
+            new[1:] = r[1:] != r[:-1]
+            head = np.flatnonzero(new)
+            start = (sums - c)[head]
+            if r[0] == group:
+                start[0] -= so_far
+            before = sums - c - np.repeat(start, np.diff(np.append(head, len(c))))
+            group, so_far = int(r[-1]), int(before[-1] + c[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(r), pa.array(np.full(len(c), part, dtype=np.int32))], names=[*keys, "c", "before", "g", "part"])
 
-def double(suffixes: DataFrame, step: int, scratch: Scratch, name: str) -> DataFrame:
-    """Ranks by twice as many lines for live suffixes, added to ``ranks``; a suffix equal to no other, or ended, is no longer live.
+    ordered = counts.select(*keys, "c").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    local = scratch.write(ordered.mapInArrow(run, ", ".join(f"{k} bigint" for k in keys) + ", c bigint, before bigint, g bigint, part int"), name)
+    goes_on = (F.col("c") > 1) & (F.lit(whole) | (F.col(keys[-1]) > 0))
+    ends = local.groupBy("part").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max_by(F.col("before") + F.col("c"), F.struct("g", "before")).alias("end"), F.count_if(goes_on).alias("more"))
+    held, carried, rows, more = None, 0, [], 0
+    for r in sorted(ends.collect()):  # one row per partition: how much of its first group earlier ones hold
+        given = carried if r.low == held else 0
+        rows.append((r.part, r.low, given))
+        held, carried, more = r.high, r.end + (given if r.low == r.high else 0), more + r.more
+    table = pa.table({k: pa.array([x[i] for x in rows], t) for i, (k, t) in enumerate((("part", pa.int32()), ("low", pa.int64()), ("given", pa.int64())))})
+    joined = local.join(F.broadcast(local.sparkSession.createDataFrame(table)), "part")
+    return joined.select(*keys, "c", (F.col("before") + F.when(F.col("g") == F.col("low"), F.col("given")).otherwise(0)).alias("before")), more
+
+
+def look_ahead(suffixes: DataFrame, step: int) -> DataFrame:
+    """Adds to (id, fp, pos, n, ranks, live) the rank ``r`` and, for live rows, ``r2``: the rank of the suffix ``step`` lines on.
 
     After a document's end comes rank 0; a suffix of a unique line is one of its own, below all others.
     """
     ahead = Window.partitionBy("id", "fp").orderBy("pos").rangeBetween(step, step)
     alone = -1 - F.shiftrightunsigned(F.xxhash64("id", "fp", F.col("pos") + step), 1)
     r2 = F.when(F.col("pos") + step >= F.col("n"), F.lit(0)).otherwise(F.coalesce(F.first(F.element_at("ranks", -1)).over(ahead), alone))
-    pairs = scratch.write(suffixes.withColumns({"r": F.element_at("ranks", -1), "r2": r2}).where("live").drop("live"), f"{name}-pairs")
-    ranks = scratch.write(global_rank(pairs.groupBy("r", "r2").agg(F.count("*").alias("c")), ["r", "r2"], scratch, f"{name}-local"), f"{name}-sorted")
-    base = ranks.groupBy("r").agg(F.min("before").alias("base"))
-    new = scratch.write(ranks.join(base, "r").select("r", "r2", (F.col("r") + F.col("before") - F.col("base")).alias("rank"), (F.col("c") > 1).alias("more")), f"{name}-ranks")
-    moved = pairs.join(new, ["r", "r2"]).select(*PLACE, "n", F.concat("ranks", F.array("rank")).alias("ranks"), (F.col("more") & (F.col("r2") > 0)).alias("live"))
-    return moved.unionByName(suffixes.where("not live"))
+    return suffixes.withColumns({"r": F.element_at("ranks", -1), "r2": F.when(F.col("live"), r2)})
 
 
 def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, fp, pos, n, ranks) of every suffix of a shared line; ordered by the last rank, then by place, they are the suffix array."""
-    suffixes, level = scratch.write(first_ranks(lines, scratch), "level-0"), 0
-    while not suffixes.where("live").isEmpty():
-        name = f"double-{level}"
-        suffixes = scratch.write(double(suffixes, 1 << level, scratch, name), f"level-{level + 1}")
-        scratch.drop(f"level-{level}", *(f"{name}-{t}" for t in ("pairs", "local", "sorted", "ranks")))
+    """(id, fp, pos, n, ranks) of every suffix of a shared line; ordered by the last rank, then by place, they are the suffix array.
+
+    A round writes the ranks of distinct pairs, and all suffixes with what they ask for next; one
+    equal to no other, or ended, is no longer live.  ``ranks`` has one rank for each round lived.
+    """
+    names, more = group_ranks(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), ["h1", "h2"], scratch, "names")
+    first = lines.join(names, ["h1", "h2"]).select(*PLACE, "n", F.array(F.col("before") + 1).alias("ranks"), F.lit(True).alias("live"))
+    state = scratch.write(look_ahead(first.repartition("id", "fp").dropDuplicates(PLACE), 1), "round-0")
+    level = 0
+    while more:
+        live = state.where("live")
+        ranks, more = group_ranks(live.groupBy("r", "r2").agg(F.count("*").alias("c")), ["r", "r2"], scratch, f"pairs-{level}")
+        moved = live.join(ranks, ["r", "r2"]).select(*PLACE, "n", F.concat("ranks", F.array(F.col("r") + F.col("before"))).alias("ranks"), ((F.col("c") > 1) & (F.col("r2") > 0)).alias("live"))
+        suffixes = moved.unionByName(state.where("not live").select(*moved.columns))
+        state = scratch.write(look_ahead(suffixes, 2 << level), f"round-{level + 1}")
+        scratch.drop(f"round-{level}", f"pairs-{level}")
         level += 1
-    return suffixes.drop("live")
+    return state.select(*PLACE, "n", "ranks")
 
 
 def with_suffix_before(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -298,7 +313,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("key"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.col(text_col).alias("text"))
     lines = scratch.write(line_table(rows), "lines")
     suffixes = suffix_array(lines, scratch)
-    scratch.drop("lines", "common", "shared", "names", "names-local")
+    scratch.drop("lines", "names")
     prefixes = scratch.write(common_prefixes(suffixes, scratch), "prefixes")
     runs = earlier_runs(prefixes, scratch)
     runs = scratch.write(runs.groupBy("id", "fp").agg(F.collect_list(F.struct("pos", "lines")).alias("runs")), "runs")

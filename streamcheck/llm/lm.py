@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamcheck.llm import textkit
@@ -171,8 +171,8 @@ def by_time(n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[docs] + np.repeat(np.arange(len(active)), active), active
 
 
-def add_expected(model: Model, tokens: np.ndarray, n: np.ndarray, total: Expected) -> None:
-    """Forward-backward over sequences of classes laid end to end; all have a token."""
+def add_expected(model: Model, tokens: np.ndarray, n: np.ndarray, total: Expected, begins: np.ndarray | None = None) -> None:
+    """Forward-backward over sequences of classes laid end to end; all have a token.  Those that ``begins`` marks count for the start."""
     order = np.argsort(-n, kind="stable")
     index, active = by_time(n[order], (np.cumsum(n) - n)[order])
     classes = tokens[index]
@@ -191,7 +191,7 @@ def add_expected(model: Model, tokens: np.ndarray, n: np.ndarray, total: Expecte
         pairs += alpha[at[t] : at[t] + m].T @ ahead
     gamma = alpha * beta
     total.move += pairs * model.move
-    total.start += gamma[: active[0]].sum(axis=0)
+    total.start += (gamma[: active[0]] if begins is None else gamma[: active[0]][begins[order]]).sum(axis=0)
     for k in range(gamma.shape[1]):
         total.emit[:, k] += np.bincount(classes, gamma[:, k], CLASSES)
     total.log += float(np.log(scale).sum())
@@ -207,12 +207,14 @@ def pieces(lengths: np.ndarray, most: int = PIECE) -> np.ndarray:
 
 def expect(model: Model, columns: list[bytes], total: Expected) -> None:
     tokens = np.frombuffer(b"".join(columns), "<u2").astype(np.int64)
-    n = pieces(np.array([len(c) // 2 for c in columns], dtype=np.int64))
+    whole = np.array([len(c) // 2 for c in columns], dtype=np.int64)
+    n = pieces(whole)
     ends = np.cumsum(n)
+    begins = np.isin(ends - n, np.cumsum(whole) - whole)  # a later piece of a document tells nothing of how one starts
     i = 0
     while i < len(n):
         j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + BATCH_TOKENS)))
-        add_expected(model, tokens[ends[i] - n[i] : ends[j - 1]], n[i:j], total)
+        add_expected(model, tokens[ends[i] - n[i] : ends[j - 1]], n[i:j], total, begins[i:j])
         i = j
 
 
@@ -225,7 +227,7 @@ def maximise(found: Expected, corpus: Corpus) -> Model:
     strength = 1 + 1e-4 * found.emit.sum()
     emit = found.emit + strength * prior[:, None]
     emit[UNSEEN] = 0
-    emit *= (1 - unseen) / emit.sum(axis=0)
+    emit *= (1 - unseen) / np.maximum(emit.sum(axis=0), 1e-300)
     emit[UNSEEN] = unseen
     move = found.move + 0.1
     return Model((found.start + 0.1) / (found.start + 0.1).sum(), move / move.sum(axis=1, keepdims=True), emit)
@@ -309,21 +311,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "lm")
     held = held_out(id_col) if held is None else held
     blocks = scratch.write(code_blocks(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), held.alias("held"))), "blocks", compression="zstd")
-    same = Window.partitionBy("word")
-    words = block_words(blocks).select(
-        "block", "at", "ending", F.expr(f"int(pmod(shiftrightunsigned(word, 20), {FREQUENT}))").alias("bucket"),
-        F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("lead"),
-    )
-    words = scratch.write(words, "words", compression="zstd")
-    lead = words.where("lead and c > 0")
+    each = scratch.write(block_words(blocks), "each", compression="zstd")
+    # Summed before they are shuffled and written, so that adaptive execution can split the rows of a word that every block has.
+    counts = each.groupBy("word").agg(F.sum("n").alias("c"), F.first("ending").alias("ending"))
+    bucket = F.expr(f"int(pmod(shiftrightunsigned(word, 20), {FREQUENT}))")
+    counts = scratch.write(counts.withColumn("bucket", bucket), "counts", compression="zstd")
+    lead = counts.where("c > 0")
     sums = lead.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     corpus = Corpus(sums.n or 0, sums.v or 0, sums.once or 0, np.zeros(CLASSES))
     kind = class_of(F.col("c"), F.col("bucket"), F.col("ending"), corpus.tokens)
     mass = lead.groupBy(kind.alias("kind")).agg(F.sum((F.col("c") + ALPHA) / corpus.norm).alias("q")).toArrow()  # at most CLASSES rows
     corpus.class_mass[mass["kind"].to_numpy()] = mass["q"].to_numpy()
     corpus.class_mass[UNSEEN] = ALPHA / corpus.norm
-    coded = scratch.write(code_documents(blocks, words.withColumn("kind", kind), corpus), "coded", compression="zstd")
-    scratch.drop("blocks", "words")
+    words = each.select("block", "at", "word").join(counts.select("word", "c", kind.alias("kind")), "word")
+    coded = scratch.write(code_documents(blocks, words, corpus), "coded", compression="zstd")
+    scratch.drop("blocks", "each", "counts")
 
     model = train(coded, corpus, states, gain)
 

@@ -18,6 +18,7 @@ either checked or already in one component.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,8 +79,12 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, lower: bool = True) -> DataFrame:
-    """(id, row, n_shingles, digest, keys, signature): one row per document."""
+    """(id, fp, n_shingles, digest, keys, signature): one row per document; ``fp`` is a hash of its text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,27 +98,28 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                 low = np.ascontiguousarray(found.astype(np.uint8))
                 yield pa.RecordBatch.from_pydict({
                     "id": batch.column(0).slice(i, j - i),
+                    "fp": batch.column(2).slice(i, j - i),
                     "n_shingles": pa.array(n),
                     "digest": pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip((at[:-1] * 8).tolist(), (at[1:] * 8).tolist(), strict=True)], pa.binary()),
                     "keys": pa.array([None if e else k for e, k in zip(empty, keys, strict=True)], pa.list_(pa.int64())),
                     "signature": pa.array([None if e else s.tobytes() for e, s in zip(empty, low, strict=True)], pa.binary()),
                 })
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, keys array<bigint>, signature binary")
+    return docs.select(id_col, text_col, text_hash(text_col)).mapInArrow(run, f"id {kind}, fp bigint, n_shingles bigint, digest binary, keys array<bigint>, signature binary")
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, words: int, lower: bool = True) -> DataFrame:
-    """(id, shingles): the sorted distinct shingle hashes of each document."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def shingle_table(docs: DataFrame, text_col: str, words: int, lower: bool = True) -> DataFrame:
+    """(digest, shingles): the sorted distinct shingle hashes of each document, and the digest that names its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, _, _, _, first, hashes in textkit.text_groups(batch.column(1), lower=lower):
+            for _, _, _, _, _, first, hashes in textkit.text_groups(batch.column(0), lower=lower):
                 sets, at = textkit.shingle_sets(hashes, first, words)
                 raw = sets.tobytes()
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(i, j - i), "shingles": pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
+                own = [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in own], pa.binary()), "shingles": pa.array(own, pa.binary())})
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, shingles binary")
+    return docs.select(text_col).mapInArrow(run, "digest binary, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -188,7 +194,7 @@ def in_cells(dealt: DataFrame, work: Callable[[pa.Table], tuple[list, list, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in [*batches_of(batches), None]:
+        for batch in itertools.chain(batches_of(batches), [None]):
             table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if table is None or not table.num_rows:
                 continue
@@ -261,21 +267,24 @@ def cell_links(dealt: DataFrame, least: int, percent: int) -> DataFrame:
     return in_cells(dealt, work, ["id", "comp", "signature", "shingles"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, lower: bool = True) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, lower: bool = True, text_fp: bool = False) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union.
 
     Returns one row per input row: ``id_col`` (an integer), ``n_shingles``, ``component_id``
     (the smallest id reachable by links, itself included), ``kept`` (it is its own
-    component).  ASCII letters count as lower case; fewer than ``words`` words make one
-    shingle; null, empty or blank text makes none and links with nothing.  Rows that repeat an
-    id are one vertex; a null id gets the component of its equals, and is never kept beside them.
+    component), and on request ``text_fp`` (``text_hash``, which tells rows of one id apart).  ASCII letters
+    count as lower case; fewer than ``words`` words make one shingle; null, empty or blank text makes
+    none and links with nothing.  A vertex is a class of equal sets, so rows that repeat an id
+    each have the component of their own text; a null id gets the component of its equals, and is
+    never kept beside them.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     least = least_agreement(bands * rows, percent)
     sketches = scratch.write(sketch(docs, id_col, text_col, words, bands, rows, lower), "sketches")
     full = sketches.where("n_shingles > 0")
-    classes = scratch.write(full.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "classes")
-    known = classes.where("id is not null")
+    classes = full.groupBy("digest").agg(F.min("id").cast("bigint").alias("least_id"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
+    classes = scratch.write(classes.withColumn("id", F.xxhash64("digest")), "classes")  # a class's vertex: ids may repeat
+    known = classes.where("least_id is not null")
     members = scratch.write(known.select(F.explode("keys").alias("bucket"), "id"), "members")
     hubs = members.groupBy("bucket").agg(F.min("id").alias("h1"), F.min_by("id", F.xxhash64("id", F.lit(17))).alias("h2"), F.max("id").alias("top")).where("h1 <> top").select("bucket", "h1", "h2")
     hubs = scratch.write(hubs, "hubs")
@@ -284,10 +293,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signature = known.select("id", "signature")
     pairs = star.join(signature.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(signature.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
     pairs = scratch.write(may_match(pairs, least), "pairs")
-    # One shuffle of texts serves both checks; an id that repeats has one set, that of its class.
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    made = shingle_table(texts.join(shared.select("id").distinct(), "id", "left_semi"), "id", "text", words, lower)
-    sets = scratch.write(made.groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
+    # One shuffle of texts serves both checks: those of one row of each class that shares a bucket, and of rows that repeat its id.
+    texts = docs.select(F.col(id_col).cast("bigint").alias("least_id"), F.col(text_col).alias("text"))
+    wanted = known.join(shared.select("id").distinct(), "id", "left_semi").select("least_id").distinct()
+    made = shingle_table(texts.join(wanted, "least_id", "left_semi"), "text", words, lower)
+    sets = scratch.write(made.groupBy(F.xxhash64("digest").alias("id")).agg(F.max("shingles").alias("shingles")), "sets")
     links = scratch.write(verified(pairs, sets, percent), "links")
     comp = components(links, scratch, "stars")
 
@@ -301,11 +311,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         dealt = cells(again, cell, scratch, "again-blocks").join(signature, "id").join(sets, "id")
         links = scratch.write(links.union(cell_links(dealt, least, percent)).distinct(), "all-links")
         comp = components(links, scratch, "all")
-    label = classes.select("digest", F.col("id").alias("class_id")).join(comp, F.col("class_id") == F.col("id"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
+    own = classes.join(comp.withColumnRenamed("id", "vertex"), F.col("id") == F.col("vertex"), "left").select("digest", "least_id", F.coalesce("component", "id").alias("root"))
+    label = own.join(scratch.write(own.groupBy("root").agg(F.min("least_id").alias("component")), "roots"), "root").select("digest", "component")
     scratch.drop("members", "hubs", "pairs", "sets")
     return sketches.join(label, "digest", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.col("id").eqNullSafe(F.coalesce("component", "id")), F.lit(False)).alias("kept"),
+        *([F.col("fp").alias("text_fp")] if text_fp else []),
     )

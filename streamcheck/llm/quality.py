@@ -247,11 +247,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["pattern", "columns", "weights"])
 
     share = min(1.0, train_rows / int(counts.sum()))
-    picked = F.abs(F.xxhash64(F.col(id_col), F.lit(5))) % 1_000_000 < int(1_000_000 * share)
+    picked = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), 1) < min(int(share * 2.0**63), 2**63 - 1)
     rows = docs.where(picked).select(text_col).mapInArrow(sample, "pattern bigint, columns binary, weights binary").toArrow()
     columns = [np.frombuffer(x, np.int32) for x in rows.column("columns").to_pylist()]
     weight = [np.frombuffer(x, np.float32) for x in rows.column("weights").to_pylist()]
     model = QualityModel(patterns, good, tables, np.zeros(Features.WIDTH), float(np.log((good @ counts + 1) / ((1 - good) @ counts + 1))))
+    if not columns and train_rows:
+        raise ValueError("no document was sampled to train the scorer")
     if columns:
         doc = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
         model.weights, model.bias = train(doc, np.concatenate(columns), np.concatenate(weight), model.posterior(rows.column("pattern").to_numpy()))

@@ -1,54 +1,21 @@
-"""Reading tables, and cutting lineage with Parquet tables in the shared folder."""
+"""Reading tables, tables of a run in the shared folder, and names for helper columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from streamcheck.storage import Scratch, shared_root
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset, a temporary folder serves a ``local`` master only; a cluster must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="streamcheck-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+__all__ = ["Scratch", "free_names", "shared_root", "table"]
 
 
-class Scratch:
-    """Parquet tables of one run of one operator, under the shared folder.
-
-    A written table cuts lineage as a checkpoint does: a lost executor re-reads files and
-    recomputes nothing from before.  ``drop`` deletes tables that nothing reads any more.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_root(spark)}/streamcheck/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.mode("overwrite").options(**options).parquet(self.path(name))
-        return self.read(name, df)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
 
-    def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them no column of ``df`` in any case."""
+    taken, lead = {c.lower() for c in df.columns}, "__"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]

@@ -3,7 +3,8 @@
 The graph's edges are all ``window``-word k-mers; an edge follows another where the two
 overlap in all but one word.  Each edge has an anchor, the ``seed``-word sequence in it of
 least hash, which depends on the edge's words alone.  A document is cut into segments:
-maximal runs of successive edges that share one anchor place.  A segment is a path of the
+maximal runs of successive edges that share one anchor place, which compacts straight paths
+where they are read (no join follows edge to edge).  A segment is a path of the
 graph, stored as one row of hashes with its source coordinates, about one row for each
 ``(window - seed) / 2`` words.
 
@@ -11,8 +12,9 @@ Joins compact what repeats: anchors that only one document has are dropped; wher
 segments of an anchor are equal, the path does not branch and every edge on it has the same
 documents, so one minimum decides for all.  Segments of an anchor that differ are opened:
 from the source coordinates of one copy of each, the words are read again, the segment is
-verified against them, and its edges are compared one by one.  Equality is that of 128 hash
-bits; documents are never cut to a prefix.
+checked against the hashes it was stored with, and its edges are compared one by one.  Equality is
+that of two 64-bit span hashes, both over one 64-bit hash of each word; words are not compared letter
+by letter.  Documents are never cut to a prefix.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamcheck.llm import textkit
-from streamcheck.llm.shared import Scratch
+from streamcheck.llm.shared import Scratch, free_names
 
 WINDOW, SEED = 50, 10
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -179,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = scratch.write(repeated_spans(taken, scratch, window, seed), "spans")
     scratch.drop("repeated", "paths", "forked", "edges", "least", "lows")
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_text else []
-    key, print_, lo, hi = "__id", "__fingerprint", "__lo", "__hi"
+    key, print_, lo, hi = free_names(docs, "id", "fingerprint", "lo", "hi")
     rows = docs.select(id_col, text_col, *extra).withColumns({key: F.col(id_col).cast("bigint"), print_: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     spans = spans.select(F.col("id").alias(key), F.col("fp").alias(print_), F.col("spans.lo").alias(lo), F.col("spans.hi").alias(hi))
     joined = rows.join(spans, [key, print_], "left").select(id_col, text_col, lo, hi, *extra)

@@ -146,19 +146,23 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def inflate(raw: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member that starts at ``at``; its checksum must hold."""
+def inflate(raw: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """(content, end, fault) of the gzip member that starts at ``at``; where a check fails, what came out before, and no end."""
     press, out, pos = zlib.decompressobj(31), [], at
     while not press.eof:
         chunk = raw[pos : pos + FEED]
         if not chunk:
-            raise Damaged("member without end")
-        try:
-            out.append(press.decompress(chunk))
-        except zlib.error as e:
-            raise Damaged("member does not inflate") from e
-        pos += len(chunk)
-    return b"".join(out), pos - len(press.unused_data)
+            return b"".join(out), None, "member without end"
+        # Small steps: what a step that fails had inflated is lost.
+        for lo in range(0, len(chunk), 256):
+            try:
+                out.append(press.decompress(chunk[lo : lo + 256]))
+            except zlib.error:
+                return b"".join(out), None, "member does not inflate"
+            pos += len(chunk[lo : lo + 256])
+            if press.eof:
+                break
+    return b"".join(out), pos - len(press.unused_data), ""
 
 
 def next_start(raw: bytes, at: int) -> int:
@@ -166,35 +170,54 @@ def next_start(raw: bytes, at: int) -> int:
     return min((x for x in (raw.find(GZIP, at), raw.find(VERSION, at)) if x >= 0), default=len(raw))
 
 
+def records_within(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """Sound records of a member's content, and the first fault: after one, the next version line is tried."""
+    found, pos, fault = [], 0, ""
+    while pos < len(content):
+        try:
+            fields, block, pos = parse_record(content, pos)
+            found.append((fields, block))
+        except Damaged as e:
+            fault = fault or str(e)
+            pos = content.find(VERSION, pos + 1)
+            if pos < 0:
+                break
+    return found, fault
+
+
 def salvage(raw: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of an archive in order, and (start, end, reason) of each byte gap that holds none.
+    """Records of an archive in order, and (start, end, reason) of each byte gap with something lost.
 
-    Handles gzip members with one or more records each, and plain records.  A record that
-    fails a check is not returned; reading goes on at the next member or version line from
-    which whole records follow.  Offsets are those of the file; records that share a member
-    share its offset.
+    Handles gzip members with one or more records each, and plain records.  A record that fails a
+    check is not returned; reading goes on at the next version line of its member, and after a member
+    that ends in a fault at the next member or version line from which whole records follow.  A
+    member some of whose records are lost is a gap, and its other records are returned.  Offsets
+    are those of the file; records that share a member share its offset.
     """
     at, gap, reason = 0, None, ""
     while at < len(raw):
-        try:
-            if raw.startswith(GZIP, at):
-                content, end = inflate(raw, at)
-                found, pos = [], 0
-                while pos < len(content):
-                    fields, block, pos = parse_record(content, pos)
-                    found.append(Record(at, end, fields, block))
-            else:
+        fault = ""
+        if raw.startswith(GZIP, at):
+            content, end, fault = inflate(raw, at)
+            inner, lost = records_within(content)
+            fault = fault or lost
+            end = next_start(raw, at + 1) if end is None else end
+            found = [Record(at, end, fields, block) for fields, block in inner]
+        else:
+            try:
                 fields, block, end = parse_record(raw, at)
                 found = [Record(at, end, fields, block)]
-        except Damaged as e:
-            if gap is None:
-                gap, reason = at, str(e)
-            at = next_start(raw, at + 1)
-            continue
-        if gap is not None:
+            except Damaged as e:
+                found, fault, end = [], str(e), next_start(raw, at + 1)
+        if gap is not None and (found or not fault):
             yield gap, at, reason
             gap = None
+        if fault and gap is None:
+            gap, reason = at, fault
         yield from found
+        if gap is not None and found:
+            yield gap, end, reason
+            gap = None
         at = end
     if gap is not None:
         yield gap, len(raw), reason

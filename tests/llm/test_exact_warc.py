@@ -128,3 +128,21 @@ def test_salvage_through_spark(spark, tmp_path):
     assert sum(r.gap is None for r in rows) == 7
     (gap,) = [r for r in rows if r.gap]
     assert (gap.offset, gap.end) == (len(parts[0]), len(parts[0]) + len(parts[1])) and gap.file.endswith("a.warc.gz")
+
+
+def test_salvage_inside_a_member():
+    """Three sound records of a member come out beside one with a false digest, and what a cut member had inflated before."""
+    from streamcheck.llm.warc import gzip_member, http_head, record, salvage
+
+    made = [record("response", i, "http://x/", http_head(4) + b"page" + bytes([48 + i]), {}, "1970-01-01T00:00:00Z") for i in range(4)]
+    made[1] = made[1].replace(b"page1", b"pagex")
+    member, good = gzip_member(b"".join(made)), gzip_member(made[3])
+    found = list(salvage(member + good))
+    assert [x.fields["warc-record-id"] for x in found if not isinstance(x, tuple)] == ["<urn:page:0>", "<urn:page:2>", "<urn:page:3>", "<urn:page:3>"]
+    assert [x for x in found if isinstance(x, tuple)] == [(0, len(member), "warc-block-digest differs")]
+    rng = __import__("random").Random(1)
+    long = [record("response", i, None, bytes(rng.randrange(256) for _ in range(5000)), {}, "d") for i in range(4)]
+    cut = gzip_member(b"".join(long))[:-6000]
+    found = list(salvage(cut + good))
+    assert [x.fields["warc-record-id"] for x in found if not isinstance(x, tuple)] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>"]
+    assert [x[:2] for x in found if isinstance(x, tuple)] == [(0, len(cut))]

@@ -91,3 +91,17 @@ def test_whole(spark):
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert 0 < len(final) < docs.count()
     check_pieces(pieces, final)
+
+
+@pytest.mark.parametrize("name", ["exact_dedup", "near_dedup", "substring_dedup"])
+def test_repeated_ids_and_clashing_names(spark, name):
+    """Rows of one id and other texts are documents of their own, and no column name of the input is in the way."""
+    rng = random.Random(8)
+    a, b = (" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(2))
+    rows = [(3, a + " tail"), (7, a), (7, b)] if name == "near_dedup" else [(3, b), (7, a), (7, b)] if name == "substring_dedup" else [(9, a), (7, a), (7, b)]
+    names = ("__id", "__KEY", "__fp", "__sha", "__lo", "__fingerprint")
+    df = frame(spark, rows).selectExpr("*", *(f"'x' AS `{n}`" for n in names))
+    out = STAGES[name](spark, df, "")
+    assert out.columns == df.columns
+    want = {"near_dedup": [(3, a + " tail"), (7, b)], "exact_dedup": [(7, b), (9, a)], "substring_dedup": [(3, b), (7, ""), (7, a)]}[name]
+    assert texts(out) == sorted(want, key=str)

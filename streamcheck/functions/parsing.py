@@ -95,14 +95,14 @@ def parse_session(payload: Column) -> Column:
     def text(name: str) -> Column:
         return F.trim(F.try_variant_get(json, f"$.{name}", "string"))
 
-    unit, batch, notes = text("unit_id"), text("batch_label"), text("notes")
+    unit, batch, notes = text("unit_id"), text("batch"), text("notes")
     insertion = F.try_variant_get(json, "$.insertion", "bigint")
     good = (
         json.isNotNull()
         & F.schema_of_variant(json).startswith("OBJECT")
         & kind("unit_id").isin("STRING", "BIGINT")
         & (unit != "")
-        & (kind("batch_label") == "STRING")
+        & (kind("batch") == "STRING")
         & (batch != "")
         & kind("insertion").isin("VOID", "BIGINT")
         & kind("notes").isin("VOID", "STRING")

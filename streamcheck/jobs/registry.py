@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamcheck.config import ValidatorConfig
+from streamcheck.config import MetricConfig, ValidatorConfig, deployed_config
 from streamcheck.functions import parsing, rules
 from streamcheck.jobs import sql
 from streamcheck.jobs.datasets import (
@@ -22,6 +22,9 @@ from streamcheck.jobs.datasets import (
 )
 from streamcheck.operators import asof, gauges, health, quarantine, report, serving, tier1
 from streamcheck.operators.anchor import prior_anchors
+from streamcheck.sources import csv, messages, store
+from streamcheck.storage import Scratch
+from streamcheck.streaming.validate import join_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, tuple[Query, str]] = {}
@@ -343,6 +346,127 @@ def oversample_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.oversample_mean(e, [F.col("event_type"), F.floor(F.col("event_id") / 16).alias("reading")], "k", half_up=True)
 
 
+# ---- sources, presets and tables
+
+
+def messages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as broker messages, a thousand times faster; payloads of every sixth user are no numbers."""
+    e = table(spark, sf_dir, "events")
+    k, kind, spoilt = F.get_json_object("props", "$.k"), F.col("event_type"), F.col("user_id") % 6 == 0
+    topic = F.when(kind == "view", F.concat(F.lit("garden/bed/"), k, F.lit("/moisture"))).when(kind == "purchase", F.concat(F.lit("garden/bed/"), k, F.lit("/moisture_raw"))).when(kind == "click", F.concat(F.lit("charstation/"), k, F.lit("/raw_adc"))).otherwise("garden/greenhouse/humidity")
+    payload = F.when(spoilt, "12d").when(kind == "purchase", F.floor("value").cast("string")).otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))
+    return e.select(topic.alias("topic"), payload.alias("payload"), F.floor(parsing.micros(e.schema, "ts") / 1000).alias("received_us"), F.col("event_id").alias("seq"))
+
+
+@query(sql.MESSAGES)
+def message_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.readings(messages_of(spark, sf_dir)).select("seq", "source", "metric", "value", "raw_value")
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE user_id % 6 = 0 AND (event_type <> 'click' OR TRY_CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INT) BETWEEN 1 AND 16)) AS rejected FROM events GROUP BY ALL")
+def message_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = messages.numeric_readings(messages_of(spark, sf_dir)).select("seq", "rejected")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    return e.join(told, "seq", "left").groupBy("event_type").agg(F.count_if("rejected").alias("rejected"))
+
+
+@query("SELECT event_id AS id, epoch_us(ts) AS started_us, CAST(user_id % 20 AS VARCHAR) AS unit_id, 'batch-' || (user_id % 9) AS batch_label, CASE WHEN user_id % 3 = 0 THEN user_id % 5 END AS insertion_number, user_id % 20 BETWEEN 1 AND 16 AS unit_known FROM events WHERE event_type = 'signup' AND user_id % 7 <> 0 AND user_id % 11 <> 0")
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u = table(spark, sf_dir, "events").where("event_type = 'signup'"), F.col("user_id")
+    batch = F.when(u % 7 == 0, " ").otherwise(F.concat(F.lit("batch-"), (u % 9).cast("string")))
+    insertion = F.when(u % 11 == 0, ',"insertion":"four"').when(u % 3 == 0, F.concat(F.lit(',"insertion":'), (u % 5).cast("string"))).otherwise("")
+    payload = F.concat(F.lit('{"unit_id":'), F.when(u % 2 == 0, (u % 20).cast("string")).otherwise(F.concat(F.lit('"'), (u % 20).cast("string"), F.lit('"'))), F.lit(',"batch":"'), batch, F.lit('"'), insertion, F.lit("}"))
+    log = messages.sessions(e.select(F.lit("charstation/session").alias("topic"), payload.alias("payload"), parsing.micros(e.schema, "ts").alias("received_us"), F.col("event_id").alias("seq")))
+    path = Scratch(spark, "sessions").path("log")
+    store.append_sessions(log, path)
+    return spark.read.parquet(path).select("id", "started_us", "unit_id", "batch_label", "insertion_number", "unit_known")
+
+
+@query("SELECT CASE WHEN user_id % 5 = 0 THEN 'default' ELSE 'u' || (user_id % 5) END AS source, m AS metric, count(*) AS cells, count(*) FILTER (WHERE m = 'value' AND user_id % 7 = 0) AS skipped, round(sum(CASE WHEN m = 'Level' THEN user_id WHEN user_id % 7 <> 0 THEN value END), 4) AS total, sum(CASE WHEN event_id % 3 <> 0 THEN user_id END)::BIGINT AS raw_total, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM events, (VALUES ('value'), ('Level')) AS t(m) GROUP BY ALL")
+def csv_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    iso = F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    cells = e.select(iso.alias("Time"), F.when(u % 5 == 0, " ").otherwise(F.concat(F.lit("u"), (u % 5).cast("string"))).alias(" sensor"), F.when(u % 7 == 0, "oops").otherwise(F.col("value").cast("string")).alias("value"), u.cast("string").alias("Level"), F.when(F.col("event_id") % 3 == 0, F.concat(u.cast("string"), F.lit(".0"))).otherwise(u.cast("string")).alias("adc"), F.concat(F.lit('say "x", '), F.col("event_type")).alias("note"))
+    path = Scratch(spark, "csv").path("events")
+    cells.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df = csv.read_csv(spark, path)
+    roles = csv.detect_roles(df)
+    out = csv.build_readings(df, roles, csv.choose_metrics(roles, None))
+    return out.groupBy("source", "metric").agg(F.count("*").alias("cells"), F.count_if("skipped").alias("skipped"), F.round(F.sum("value"), 4).alias("total"), F.sum("raw_value").alias("raw_total"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+@query("SELECT seq, value, 1000000 + seq * 30000000 AS ts_us FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, value FROM events)")
+def csv_synthetic_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "csv").path("values")
+    table(spark, sf_dir, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select("value").write.csv(path, header=True)
+    df = csv.read_csv(spark, path)
+    roles = csv.detect_roles(df)
+    return csv.build_readings(df, roles, csv.choose_metrics(roles, "VALUE"), start_us=1_000_000, cadence_us=30_000_000).select("seq", "value", "ts_us")
+
+
+@query(sql.verdicts(False) + "SELECT source, metric, seq, value, raw_value AS raw_adc, quality, quality = 'good' AS plain FROM v")
+def stored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "store").path("readings")
+    store.append_readings(verdicts(spark, sf_dir), path)
+    return store.read_readings(spark, path).select("source", "metric", "seq", "value", "raw_adc", "quality", F.col("validation_reason").isNull().alias("plain"))
+
+
+@query(sql.verdicts(False) + "SELECT metric, count(*) AS total, count(*) FILTER (WHERE quality = 'good') AS good, count(*) FILTER (WHERE rule = 'rate_of_change') AS rates FROM v GROUP BY metric")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = store.report_json(report.metric_report(verdicts(spark, sf_dir)))
+    return lines.select(F.get_json_object("json", "$.metric").alias("metric"), *(F.coalesce(F.get_json_object("json", f"$.{path}").cast("bigint"), F.lit(0)).alias(name) for path, name in (("total", "total"), ("good", "good"), ("flagged_rules.rate_of_change", "rates"))))
+
+
+@query(sql.verdicts(False) + sql.REASONS)
+def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(spark, sf_dir).where("quality <> 'good' and not (metric = 'view' and rule = 'stuck_reading')").select("seq", "rule", "reason")
+
+
+@query("SELECT event_type AS metric, CASE WHEN event_type = 'click' AND value > 100 THEN 'invalid' ELSE 'good' END AS quality, count(*) AS n FROM events GROUP BY ALL")
+def unknown_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = ValidatorConfig(metrics={"click": MetricConfig(high=100.0, stuck_count=10**9)})
+    return tier1.validate_readings(event_readings(spark, sf_dir), config).groupBy("metric", "quality").agg(F.count("*").alias("n"))
+
+
+NAMES = {"view": "Temperature", "click": "humidity", "purchase": "moisture", "error": "raw_adc", "signup": "temperature"}
+
+
+def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    zone = F.when(F.col("metric") == "error", "charstation/1").otherwise(F.col("source"))
+    return event_readings(spark, sf_dir).withColumns({"source": zone, "metric": names[F.col("metric")]})
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 'Temperature' WHEN 'click' THEN 'humidity' WHEN 'purchase' THEN 'moisture' WHEN 'error' THEN 'raw_adc' ELSE 'temperature' END AS metric, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'duration' ELSE 'count' END AS stuck_mode, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 0.1 ELSE 0.01 END::DOUBLE AS stuck_tolerance, count(*) AS n FROM events GROUP BY ALL")
+def stuck_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = ValidatorConfig(metrics={m: MetricConfig().with_stuck_defaults_for(m) for m in NAMES.values()})
+    known = tier1.resolve_config(renamed(spark, sf_dir), config)
+    return known.groupBy("metric", F.col("cfg.stuck_mode").alias("stuck_mode"), F.col("cfg.stuck_tolerance").alias("stuck_tolerance")).agg(F.count("*").alias("n"))
+
+
+@query(sql.DEPLOYED)
+def deployed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = tier1.with_rules(renamed(spark, sf_dir), deployed_config())
+    return marked.groupBy("metric", "policy", F.col("cfg.cadence").alias("cadence_us")).agg(F.count("*").alias("n"), F.count_if("value_range").alias("out"), F.count_if("raw_range").alias("raw_out"), F.count_if("rate_of_change").alias("rates"))
+
+
+@query("SELECT event_id AS seq, round(value / 7 + 0.0013, 1) AS value FROM events WHERE user_id % 9 <> 0")
+def usable_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = F.when(F.col("user_id") % 9 == 0, float("nan")).otherwise(F.col("value") / 7 + 0.0013)
+    return serving.usable_samples(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), failed.alias("value")))
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 'moisture' ELSE event_type END AS metric, count(*) AS n FROM events WHERE event_type <> 'purchase' GROUP BY ALL")
+def dashboard_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metric = F.when(F.col("metric") == "view", "moisture").when(F.col("metric") == "purchase", "moisture_raw").otherwise(F.col("metric"))
+    return serving.dashboard_readings(event_readings(spark, sf_dir).withColumn("metric", metric)).groupBy("metric").agg(F.count("*").alias("n"))
+
+
+@query(sql.SESSIONS + "SELECT r.seq, s.id AS session_id FROM bench r LEFT JOIN LATERAL (SELECT id FROM log WHERE log.unit = r.unit AND started_us <= r.ts_us ORDER BY started_us DESC, id DESC LIMIT 1) s ON true")
+def session_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_sessions(bench_readings(spark, sf_dir), bench_sessions(spark, sf_dir)).select("seq", F.col("session.id").alias("session_id"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTERED.items()}
 

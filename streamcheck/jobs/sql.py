@@ -187,3 +187,37 @@ SELECT event_id,
   CASE WHEN event_type IN ('view', 'purchase') THEN k WHEN event_type = 'click' AND CAST(k AS INT) BETWEEN 1 AND 16 THEN k WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'greenhouse' END AS zone_id,
   CASE WHEN event_type = 'view' THEN 'moisture' WHEN event_type = 'purchase' THEN 'moisture_raw' WHEN event_type = 'click' AND CAST(k AS INT) BETWEEN 1 AND 16 THEN 'raw_adc' WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'humidity' END AS metric
 FROM t"""
+
+
+MESSAGES = """WITH m AS (
+  SELECT event_id AS seq, event_type, value, epoch_us(ts) // 1000 AS ts_us, user_id % 6 = 0 AS spoilt, regexp_extract(props, '"k": *([0-9]+)', 1) AS k FROM events
+), r AS (
+  SELECT *, CASE WHEN event_type IN ('view', 'purchase') THEN 'bed/' || k WHEN event_type = 'click' THEN 'charstation/' || k ELSE 'greenhouse/greenhouse' END AS source,
+    CASE event_type WHEN 'view' THEN 'moisture' WHEN 'purchase' THEN 'moisture_raw' WHEN 'click' THEN 'raw_adc' ELSE 'humidity' END AS metric
+  FROM m WHERE NOT spoilt AND (event_type <> 'click' OR CAST(k AS INT) BETWEEN 1 AND 16)
+), p AS (
+  SELECT *, lag(metric) OVER s AS lm, lag(value) OVER s AS lv, lag(ts_us) OVER s AS lt FROM r WHERE metric IN ('moisture', 'moisture_raw') WINDOW s AS (PARTITION BY source ORDER BY ts_us, seq)
+)
+SELECT seq, source, metric, value, CASE WHEN lm = 'moisture_raw' AND (ts_us - lt) // 1000000 < 30 THEN CAST(floor(lv) AS BIGINT) END AS raw_value FROM p WHERE metric = 'moisture'
+UNION ALL
+SELECT seq, source, metric, value, CASE WHEN metric = 'raw_adc' THEN CAST(round(value) AS BIGINT) END FROM r WHERE metric NOT IN ('moisture', 'moisture_raw')"""
+
+REASONS = """SELECT seq, rule, CASE rule
+    WHEN 'value_range' THEN printf('%s = %.2f outside plausible range [%s, %s]', metric, value, CAST(lo AS VARCHAR), CAST(hi AS VARCHAR))
+    WHEN 'raw_range' THEN printf('raw value = %d outside plausible range [2, 97]', raw_value)
+    WHEN 'stuck_reading' THEN printf('%d consecutive readings within %s of %.2f — source may be stuck', stuck_n, CASE kind WHEN 'own' THEN '0.01' ELSE '5.0' END, value)
+    ELSE printf('%s changed by %.2f in %ds (threshold 100.00/1800s)', metric, abs(value - lv), (ts_us - lt) // 1000000) END AS reason
+FROM v WHERE quality <> 'good' AND NOT (metric = 'view' AND rule = 'stuck_reading')"""
+
+DEPLOYED = """WITH r AS (
+  SELECT CASE WHEN event_type = 'error' THEN 'charstation/1' WHEN user_id % 4 = 0 THEN 'bench/0' ELSE 'site/' || (user_id % 4) END AS source,
+    CASE event_type WHEN 'view' THEN 'Temperature' WHEN 'click' THEN 'humidity' WHEN 'purchase' THEN 'moisture' WHEN 'error' THEN 'raw_adc' ELSE 'temperature' END AS metric,
+    value, epoch_us(ts) AS ts_us, TRY_CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS raw_value, event_id AS seq FROM events
+), w AS (
+  SELECT *, value - lag(value) OVER s AS change, ts_us - lag(ts_us) OVER s AS gap FROM r WINDOW s AS (PARTITION BY source, metric ORDER BY ts_us, seq)
+)
+SELECT metric, CASE WHEN source = 'charstation/1' THEN 'tier1_only' ELSE 'full' END AS policy, CASE metric WHEN 'raw_adc' THEN 2000000 WHEN 'Temperature' THEN NULL ELSE 60000000 END AS cadence_us, count(*) AS n,
+  count(*) FILTER (WHERE CASE metric WHEN 'temperature' THEN value < -40 OR value > 200 WHEN 'raw_adc' THEN value > 4095 WHEN 'Temperature' THEN false ELSE value > 100 END) AS out,
+  count(*) FILTER (WHERE metric IN ('moisture', 'raw_adc') AND (raw_value < 100 OR raw_value > 3995)) AS raw_out,
+  count(*) FILTER (WHERE metric IN ('temperature', 'moisture', 'humidity') AND gap BETWEEN 1000000 AND 600000000 AND abs(change) > CASE metric WHEN 'temperature' THEN 20 ELSE 30 END) AS rates
+FROM w GROUP BY ALL"""

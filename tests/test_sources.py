@@ -102,8 +102,8 @@ def test_topics(spark):
 
 
 def test_sessions(spark):
-    keep = ['{"unit_id":" 3 ","batch":"x","batch_label":"sand","insertion":2,"notes":"n"}', '{"unit_id":7,"batch_label":"b"}', '{"unit_id":42,"batch_label":"b","notes":" "}']
-    drop = ["", "not json at all", "{", '{"unit_id":1}', '{"batch_label":"b"}', '{"unit_id":"","batch_label":"b"}', '{"unit_id":1,"batch_label":" "}', '{"unit_id":1,"batch_label":"b","insertion":"four"}', '["unit_id","3"]', "null", '{"unit_id":1.5,"batch_label":"b"}', '{"unit_id":1,"batch_label":5}']
+    keep = ['{"unit_id":" 3 ","batch":"sand","batch_label":"x","insertion":2,"notes":"n"}', '{"unit_id":7,"batch":"b"}', '{"unit_id":42,"batch":"b","notes":" "}']
+    drop = ["", "not json at all", "{", '{"unit_id":1}', '{"batch":"b"}', '{"unit_id":"","batch":"b"}', '{"unit_id":1,"batch":" "}', '{"unit_id":1,"batch":"b","insertion":"four"}', '["unit_id","3"]', "null", '{"unit_id":1.5,"batch":"b"}', '{"unit_id":1,"batch":5}']
     got = one(spark, parsing.parse_session, keep + drop)
     assert [tuple(x) for x in got[:3]] == [("3", "sand", 2, "n", True), ("7", "b", None, None, True), ("42", "b", None, None, False)]
     assert got[3:] == [None] * len(drop)

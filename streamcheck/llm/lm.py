@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamcheck.llm import textkit
@@ -311,21 +311,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "lm")
     held = held_out(id_col) if held is None else held
     blocks = scratch.write(code_blocks(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), held.alias("held"))), "blocks", compression="zstd")
-    each = scratch.write(block_words(blocks), "each", compression="zstd")
-    # Summed before they are shuffled and written, so that adaptive execution can split the rows of a word that every block has.
-    counts = each.groupBy("word").agg(F.sum("n").alias("c"), F.first("ending").alias("ending"))
-    bucket = F.expr(f"int(pmod(shiftrightunsigned(word, 20), {FREQUENT}))")
-    counts = scratch.write(counts.withColumn("bucket", bucket), "counts", compression="zstd")
-    lead = counts.where("c > 0")
+    # One shuffle counts and sends back; a word's group has a row per block at most, and spills.
+    same = Window.partitionBy("word")
+    words = block_words(blocks).select(
+        "block", "at", "ending", F.expr(f"int(pmod(shiftrightunsigned(word, 20), {FREQUENT}))").alias("bucket"),
+        F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("lead"),
+    )
+    words = scratch.write(words, "words", compression="zstd")
+    lead = words.where("lead and c > 0")
     sums = lead.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     corpus = Corpus(sums.n or 0, sums.v or 0, sums.once or 0, np.zeros(CLASSES))
     kind = class_of(F.col("c"), F.col("bucket"), F.col("ending"), corpus.tokens)
     mass = lead.groupBy(kind.alias("kind")).agg(F.sum((F.col("c") + ALPHA) / corpus.norm).alias("q")).toArrow()  # at most CLASSES rows
     corpus.class_mass[mass["kind"].to_numpy()] = mass["q"].to_numpy()
     corpus.class_mass[UNSEEN] = ALPHA / corpus.norm
-    words = each.select("block", "at", "word").join(counts.select("word", "c", kind.alias("kind")), "word")
-    coded = scratch.write(code_documents(blocks, words, corpus), "coded", compression="zstd")
-    scratch.drop("blocks", "each", "counts")
+    coded = scratch.write(code_documents(blocks, words.withColumn("kind", kind), corpus), "coded", compression="zstd")
+    scratch.drop("blocks", "words")
 
     model = train(coded, corpus, states, gain)
 

@@ -140,3 +140,34 @@ def test_query_on_documents(spark):
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
     assert lm.CLASSES < 2**16
+
+
+def test_scores_equal_the_forward_sum_over_words(spark, monkeypatch):
+    """score = log10 of the sum over state paths of start, moves and P(class given state) * q(word) / q(class), with the trained model."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{rng.integers(12)}" for _ in range(int(rng.integers(0, 5))))) for i in range(80)]
+    kept, one = {}, lm.train
+
+    def train(coded, corpus, states, gain):
+        kept["model"], kept["corpus"] = one(coded, corpus, states, gain), corpus
+        kept["classes"] = {r.doc_id: np.frombuffer(r.classes, "<u2") for r in coded.collect()}
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "train", train)
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), states=3).collect()}
+    model, corpus = kept["model"], kept["corpus"]
+    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and math.isclose(model.start.sum(), 1)
+    count = Counter(w for i, t in rows if not got[i].held_out for w in tokens(t))
+    for i, t in rows:
+        own, classes = tokens(t), kept["classes"][i]
+        q = [(count[w] + 0.1) / corpus.norm / corpus.class_mass[c] for w, c in zip(own, classes, strict=True)]
+        total = sum(model.start[p[0]] * math.prod(model.move[a, b] for a, b in itertools.pairwise(p)) * math.prod(model.emit[c, z] * x for c, z, x in zip(classes, p, q, strict=True)) for p in itertools.product(range(3), repeat=len(own)))
+        assert math.isclose(got[i].score, math.log10(total), rel_tol=1e-9)
+
+
+def test_later_pieces_do_not_count_for_the_start():
+    model = random_model(np.random.default_rng(3), 3, 5)
+    text = np.random.default_rng(4).integers(0, 5, 600).astype("<u2").tobytes()
+    total = Expected.zero(3)
+    lm.expect(model, [text, text[:20]], total)
+    assert math.isclose(total.start.sum(), 2.0)

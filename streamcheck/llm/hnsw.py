@@ -29,6 +29,7 @@ COSINE = 0.95
 LEAST_SHARDS, SHARD_ROWS, GROUP_ROWS = 8, 16384, 8192
 BLOCKS = 32  # blocks of queries that one copy of a graph serves
 LINKS, BUILD_BEAM, BEAM = 16, 48, 24
+BRIDGES = 4  # vectors that get a link to one that no path reached
 AUDIT, PLANTED, RECALL = 48, 200, 0.995
 SELF = 1 - 1e-12  # a cosine from here on is a vector's match with itself
 _TILE = 256
@@ -47,13 +48,16 @@ class Graph:
         level = (-np.log(np.random.Generator(np.random.PCG64(n)).random(n)) / np.log(links)).astype(np.int64)
         self.layers: list[np.ndarray] = []  # neighbours of each vector, -1: none; a vector above its level has none
         self.members: list[np.ndarray] = []
+        order = np.argsort(-level, kind="stable")  # the entry point comes first in every layer, then the others of higher layers
         for k in range(int(level.max(initial=0)) + 1):
             self.layers.append(np.full((n, 2 * links if k == 0 else links), -1, dtype=np.int32))
-            self.members.append(np.flatnonzero(level >= k))
+            self.members.append(order[: int((level >= k).sum())])
         while len(self.members) > 1 and len(self.members[-1]) == 0:
             self.members.pop(), self.layers.pop()
         for k in range(len(self.layers) - 1, -1, -1):
             self.build(k, beam)
+            self.mend(k)
+        self.audited: dict[tuple[float, int], float] = {}  # recall of planted links by cosine and beam
 
     def build(self, layer: int, beam: int) -> None:
         nodes, done = self.members[layer], 0
@@ -63,8 +67,8 @@ class Graph:
             np.fill_diagonal(near, -2)
             ids, sims = np.broadcast_to(batch, near.shape), near
             if done:
-                found, score = self.search(self.x[batch], beam, bottom=layer, entry=nodes[:1] if layer == len(self.layers) - 1 else None)
-                score = np.where(np.isin(found, batch), -2, score)  # an entry point may be in the batch
+                found, score = self.search(self.x[batch], beam, bottom=layer)
+                score = np.where(np.isin(found, batch), -2, score)  # a vector of the layer above may be in the batch
                 ids, sims = np.concatenate([ids, found], axis=1), np.concatenate([near, score], axis=1)
             order = np.argsort(-sims, axis=1)[:, : beam + 16]
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
@@ -114,14 +118,48 @@ class Graph:
             links[targets[lo : lo + 512]] = -1
             links[targets[lo : lo + 512], : out.shape[1]] = out
 
-    def search(self, q: np.ndarray, beam: int, bottom: int = 0, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, similarities) of each query's ``beam`` best, from the top layer down to ``bottom``; -1 where there are fewer."""
+    def flood(self, layer: int, met: np.ndarray, start: np.ndarray) -> None:
+        """Mark in ``met`` what paths from ``start`` reach."""
+        while len(start):
+            met[start] = True
+            around = np.unique(self.layers[layer][start])
+            start = around[(around >= 0) & ~met[np.maximum(around, 0)]]
+
+    def mend(self, layer: int) -> None:
+        """Give vectors that no path from the entry point reaches links with the nearest ones that are reached.
+
+        A cluster can keep all of its links to itself: no beam, however wide, would find it.
+        """
+        nodes, met, spare = self.members[layer], np.zeros(len(self.x), dtype=bool), {}
+        self.flood(layer, met, self.members[-1][:1])
+        while len(lost := nodes[~met[nodes]]):
+            known = nodes[met[nodes]]
+            near = known[np.argsort(-(self.x[known] @ self.x[lost[0]]), kind="stable")[:BRIDGES]]
+            for i in near.tolist():
+                spare.setdefault(i, []).append(lost[0])
+            spare.setdefault(int(lost[0]), []).extend(near)
+            self.flood(layer, met, lost[:1])
+        if spare:
+            more = np.full((len(self.x), max(map(len, spare.values()))), -1, dtype=np.int32)
+            for i, to in spare.items():
+                more[i, : len(to)] = to
+            self.layers[layer] = np.concatenate([self.layers[layer], more], axis=1)
+
+    def search(self, q: np.ndarray, beam: int, bottom: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities) of each query's ``beam`` best, from the top layer down to ``bottom``; -1 where there are fewer.
+
+        The last layer is entered at what the layer above found, which may be unlinked there while it is built, and at the entry point.
+        """
         out_i, out_s = [], []
         for lo in range(0, len(q), _TILE):
             part = q[lo : lo + _TILE]
-            start = np.broadcast_to(self.members[-1][:1] if entry is None else entry, (len(part), 1))
-            for k in range(len(self.layers) - 1, bottom - 1, -1):
-                start, sims = self.walk(part, start, k, beam if k == bottom else 4)
+            entry = np.broadcast_to(self.members[-1][:1], (len(part), 1))
+            start = entry
+            for k in range(len(self.layers) - 1, bottom, -1):
+                start, _ = self.walk(part, start, k, 4)
+            if bottom < len(self.layers) - 1:
+                start = np.concatenate([start, np.where((start == entry).any(axis=1, keepdims=True), -1, entry)], axis=1)
+            start, sims = self.walk(part, start, bottom, beam)
             out_i.append(start)
             out_s.append(sims)
         return (np.concatenate(out_i), np.concatenate(out_s)) if out_i else (np.zeros((0, beam), np.int64), np.zeros((0, beam), np.float32))
@@ -193,13 +231,14 @@ def shard_links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam:
         return [], 1.0, beam
     few = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
     truth = [t[x[t] @ v < SELF] for t, v in zip(exact_links(q[few], x, cosine), q[few], strict=True)]
-    origin, probes = planted(x, PLANTED, cosine)
+    origin, probes = planted(x, PLANTED, cosine)  # the same for all blocks of queries
     total, slack = sum(map(len, truth)), cosine - 1e-4
     while PLANTED < len(x) > beam:  # all pairs of a smaller shard are less work than its audit
         found = graph.within(q[few].astype(np.float32), slack, beam)
         hit = sum(np.isin(t, f).sum() for t, f in zip(truth, found, strict=True))
-        met = sum(o in f for o, f in zip(origin, graph.within(probes.astype(np.float32), slack, beam), strict=True))
-        audited = min(met / len(origin), hit / total if total else 1.0)
+        if (cosine, beam) not in graph.audited:
+            graph.audited[cosine, beam] = sum(o in f for o, f in zip(origin, graph.within(probes.astype(np.float32), slack, beam), strict=True)) / len(origin)
+        audited = min(graph.audited[cosine, beam], hit / total if total else 1.0)
         if audited >= recall:
             near = graph.within(q.astype(np.float32), slack, beam)
             return [i[(x[i] @ v) >= cosine] for i, v in zip(near, q, strict=True)], float(audited), beam

@@ -96,3 +96,19 @@ def test_query_on_embeddings(spark):
     rows = [(r.vec_id, [float(e) for e in r.embedding]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op3_embeddings(spark, "/root/testdata/sf0.001").collect()}
     assert got == {rows[k][0]: (n, c, c == rows[k][0]) for k, (n, c) in brute(rows, 0.95).items()}
+
+
+@pytest.mark.parametrize("kind", ["spread", "clusters"])
+def test_every_vector_is_reached_from_the_entry_point(kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 48))
+    if kind == "clusters":
+        x = x[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 48)) * 0.05
+    graph = Graph(x)
+    for layer, nodes in enumerate(graph.members):
+        met = np.zeros(3000, dtype=bool)
+        graph.flood(layer, met, graph.members[-1][:1])
+        assert met[nodes].all() and nodes[0] == graph.members[-1][0]
+    ids, sims = graph.search(unit(x).astype(np.float32), 24)
+    assert (ids == np.arange(3000)[:, None]).any(axis=1).mean() > 0.99
+    assert all(len(set(row)) == len(row) for row in ids.tolist())

@@ -26,7 +26,7 @@ LOWER[65:91] += 32
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240517))
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = {"byte": 0x9E3779B97F4A7C15 | 1, "word": 0xD6E8FEB86659FD93 | 1, "other": 0xA0761D6478BD642F | 1}
+_BASE = {"byte": 0x9E3779B97F4A7C15 | 1, "word": 0xD6E8FEB86659FD93 | 1}
 _POWERS: dict[tuple[str, bool], np.ndarray] = {}
 
 

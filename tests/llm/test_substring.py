@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from streamcheck.llm import queries
-from streamcheck.llm.substring import remove_repeats, sliding_min
+from streamcheck.llm.substring import checked, compacted, digest, remove_repeats, sliding_min
 
 
 def brute(rows, window):
@@ -75,6 +75,22 @@ def test_query_on_documents(spark):
     assert sum(r[2] > 0 for r in want) > 10
 
 
+def test_compaction_joins_successors(spark):
+    """a > b > c have the same copies and become one path; e follows d in some copies only, and f follows e in some."""
+    name = {c: ord(c) for c in "abcdef"}
+    rows = [(name[v], 0, 10, (i, start, 0), name.get(b), name.get(a)) for v, i, start, b, a in [("a", 1, 5, None, "b"), ("b", 1, 15, "a", "c"), ("c", 1, 25, "b", None), ("d", 1, 35, None, "e"), ("e", 1, 45, None, None), ("f", 2, 10, "e", None)]]
+    got = compacted(spark.createDataFrame(rows, "v1 long, v2 long, n int, source struct<id: long, start: int, fp: long>, before long, after long"))
+    assert sorted((r.id, r.start, r.n, chr(r.v1)) for r in got.collect()) == [(1, 5, 30, "a"), (1, 35, 10, "d"), (1, 45, 10, "e"), (2, 10, 10, "f")]
+
+
+def test_long_copies_are_verified():
+    words = [b"x", b"y", b"z"]
+    w1, w2 = np.frombuffer(digest(b"y z"), dtype=np.int64).tolist()
+    checked(words, [(1, 3, w1, w2), (0, 2, None, None)])
+    with pytest.raises(ValueError):
+        checked(words, [(0, 2, w1, w2)])
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 200)
     for width in (1, 2, 3, 8, 41):

@@ -95,6 +95,23 @@ def test_pack(spark):
     assert {r.doc_id for r in pack(frame(spark, [(None, "a", "", ""), (3, None, "", "")]), PATH).collect()} == {None, 3}
 
 
+def test_pack_repeated_rows(spark):
+    """Each of the equal rows, and of the rows that share an id, has its own pieces."""
+    text = "One two three. " * 300
+    got = pack(frame(spark, [(1, text, "", "")] * 3 + [(1, "other", "", ""), (2, None, "", ""), (2, None, "", "")]).coalesce(1), PATH).collect()
+    size = {t: len(library(t)[0]) + 1 for t in (text, "other")}
+    assert ids_by_document(got) == {(1, size[text]): 3 * size[text], (1, size["other"]): size["other"], (2, 1): 2}
+    assert len({(p.sequence_id, p.offset) for p in got}) == len(got)
+
+
+def ids_by_document(pieces):
+    """Ids in all pieces by document and its number of ids."""
+    total = defaultdict(int)
+    for p in pieces:
+        total[p.doc_id, p.doc_tokens] += p.length
+    return total
+
+
 def test_pack_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     tokens, padding = check_pieces(pack(docs, PATH).collect(), {r.doc_id: r.text for r in docs.collect()})

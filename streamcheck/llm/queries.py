@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from streamcheck.llm.bpe import encode_decode
 from streamcheck.llm.exact import exact_dedup
 from streamcheck.llm.hnsw import embedding_dedup
+from streamcheck.llm.importance import resample
 from streamcheck.llm.lines import remove_lines
 from streamcheck.llm.lm import score_documents
 from streamcheck.llm.minhash import near_dedup
 from streamcheck.llm.pack import pack
+from streamcheck.llm.prefix import count_tokens
 from streamcheck.llm.quality import classify
 from streamcheck.llm.shared import Scratch, table
 from streamcheck.llm.substring import remove_repeats
 from streamcheck.llm.warc import page_records, read_warc, write_warc
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +98,44 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = (op1_hmm, op2_bpe, op3_embeddings, op4_substring, op5_exact_dedup, op6_quality, op7_warc, op8_lines, op9_packing, op10_minhash)
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The checksum of a word runs over its bytes by the table of eight shifts each.
+OP12_SQL = """
+WITH shifts AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+), words AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 'b', NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w, hex(w) AS h FROM words), shifts
+), counted AS (
+  SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM words JOIN hashed USING (w) GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS g
+  FROM counted, (SELECT count(*) FILTER (WHERE side = 'd') AS s_all, count(*) FILTER (WHERE side = 'b') AS t_all FROM words)
+), weighed AS (
+  SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM words JOIN hashed USING (w) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weighed USING (doc_id)
+), placed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(place) * 10 // 100 FROM placed) THEN place END AS rank FROM placed
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+QUERIES = (op1_hmm, op2_bpe, op3_embeddings, op4_substring, op5_exact_dedup, op6_quality, op7_warc, op8_lines, op9_packing, op10_minhash, op12_importance, op13_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -104,4 +143,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_lines": OP8_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_lines": OP8_SQL, "op12_importance": OP12_SQL}

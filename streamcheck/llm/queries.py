@@ -19,6 +19,7 @@ from streamcheck.llm.prefix import count_tokens
 from streamcheck.llm.quality import classify
 from streamcheck.llm.shared import Scratch, table
 from streamcheck.llm.substring import remove_repeats
+from streamcheck.llm.trie import prefix_trie
 from streamcheck.llm.warc import page_records, read_warc, write_warc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -98,6 +99,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -135,7 +140,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = (op1_hmm, op2_bpe, op3_embeddings, op4_substring, op5_exact_dedup, op6_quality, op7_warc, op8_lines, op9_packing, op10_minhash, op12_importance, op13_token_counts)
+QUERIES = (op1_hmm, op2_bpe, op3_embeddings, op4_substring, op5_exact_dedup, op6_quality, op7_warc, op8_lines, op9_packing, op10_minhash, op11_trie, op12_importance, op13_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,12 +79,22 @@ class ValidatorConfig:
         return [*self.metrics.values(), *(m for g in self.groups.values() for m in g.metrics.values())]
 
 
-FIELDS = {"low": pa.float64(), "high": pa.float64(), "raw_low": pa.int64(), "raw_high": pa.int64(), "max_rate": pa.float64(), "rate_window": pa.int64(), "stuck_mode": pa.string(), "stuck_tolerance": pa.float64(), "stuck_count": pa.int32(), "stuck_window": pa.int64(), "cadence": pa.int64()}
+FIELDS = {"low": pa.float64(), "high": pa.float64(), "raw_low": pa.int64(), "raw_high": pa.int64(), "max_rate": pa.float64(), "rate_window": pa.int64(), "stuck_mode": pa.string(), "stuck_tolerance": pa.float64(), "stuck_count": pa.int32(), "stuck_window": pa.int64(), "cadence": pa.int64(), "low_text": pa.string(), "high_text": pa.string(), "tolerance_text": pa.string()}
 CFG = pa.struct(list(FIELDS.items()))
 
 
+def number_text(x: float) -> str:
+    """A number as reasons print it: the shortest digits that tell it, no exponent, no ``.0``."""
+    x = float(x)
+    if not math.isfinite(x):
+        return "NaN" if x != x else "inf" if x > 0 else "-inf"
+    text = format(Decimal(repr(x)), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
 def _fields(m: MetricConfig) -> dict:
-    return {k: float(getattr(m, k)) if kind == pa.float64() else getattr(m, k) for k, kind in FIELDS.items()}
+    texts = {"low_text": number_text(m.low), "high_text": number_text(m.high), "tolerance_text": number_text(m.stuck_tolerance)}
+    return texts | {k: float(getattr(m, k)) if kind == pa.float64() else getattr(m, k) for k, kind in FIELDS.items() if k not in texts}
 
 
 def _local(spark: SparkSession, columns: dict[str, list]) -> DataFrame:

@@ -57,6 +57,28 @@ def rate_exceeded(value: Column, ts: Column, last_value: Column, last_ts: Column
     return on & (gap >= 1_000_000) & (gap <= window) & (delta > max_rate) & ~F.isnan(delta)
 
 
+def two_digits(value: Column) -> Column:
+    """A number with two digits after the point, rounded by its exact value and halves to even, as reasons print it.
+
+    The format function of the JVM rounds the shortest digits that tell a number, halves up.  Here the
+    number is compared with the middle of two hundredths without error: 200 x is the sum of a product
+    and of what its rounding lost, which the halves of the factors give.
+    """
+    x = F.abs(value)
+    cents = F.floor(x * 100).cast("double")
+    cents = F.when(cents > x * 100, cents - 1).otherwise(cents)
+    big = x * 134217729.0
+    head = big - (big - x)
+    product = x * 200.0
+    lost = (head * 200.0 - product) + (x - head) * 200.0
+    over = (product - (cents * 2 + 1)) + lost
+    whole = (cents + F.when((over > 0) | ((over == 0) & (F.pmod(cents, F.lit(2)) == 1)), 1).otherwise(0)).cast("bigint")
+    plain = F.concat((F.floor(whole / 100)).cast("string"), F.lit("."), F.lpad((whole % 100).cast("string"), 2, "0"))
+    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
+    text = F.when(F.isnan(value), "NaN").when(x == float("inf"), "inf").when(x < 1e13, plain).otherwise(F.format_string("%.2f", x))
+    return F.concat(F.when(F.isnan(value), "").otherwise(sign), text)
+
+
 def health_status(score: Column) -> Column:
     """H13."""
     return F.when(score >= 90, "healthy").when(score >= 70, "degraded").when(score >= 40, "suspect").otherwise("bad")

@@ -202,12 +202,15 @@ SELECT seq, source, metric, value, CASE WHEN lm = 'moisture_raw' AND (ts_us - lt
 UNION ALL
 SELECT seq, source, metric, value, CASE WHEN metric = 'raw_adc' THEN CAST(round(value) AS BIGINT) END FROM r WHERE metric NOT IN ('moisture', 'moisture_raw')"""
 
-REASONS = """SELECT seq, rule, CASE rule
-    WHEN 'value_range' THEN printf('%s = %.2f outside plausible range [%s, %s]', metric, value, CAST(lo AS VARCHAR), CAST(hi AS VARCHAR))
-    WHEN 'raw_range' THEN printf('raw value = %d outside plausible range [2, 97]', raw_value)
-    WHEN 'stuck_reading' THEN printf('%d consecutive readings within %s of %.2f — source may be stuck', stuck_n, CASE kind WHEN 'own' THEN '0.01' ELSE '5.0' END, value)
-    ELSE printf('%s changed by %.2f in %ds (threshold 100.00/1800s)', metric, abs(value - lv), (ts_us - lt) // 1000000) END AS reason
-FROM v WHERE quality <> 'good' AND NOT (metric = 'view' AND rule = 'stuck_reading')"""
+# Bounds and tolerances are printed as the shortest digits that tell them: 200, 0.5, 0.01.
+REASONS = """SELECT v.seq, rule, CASE rule
+    WHEN 'value_range' THEN printf('%s = %.2f outside plausible range [%s, %s]', v.metric, v.value, CASE kind WHEN 'own' THEN '5' ELSE '0.5' END, CASE kind WHEN 'own' THEN '50' WHEN 'slow' THEN '300' ELSE '200' END)
+    WHEN 'raw_range' THEN printf('raw value = %d outside plausible range [2, 97]', v.raw_value)
+    WHEN 'stuck_reading' THEN CASE kind
+      WHEN 'slow' THEN printf('value unchanged (%.2f ±60) for %d min — source may be stuck', v.value, (v.ts_us - p.at_us) // 60000000)
+      ELSE printf('%d consecutive readings within %s of %.2f — source may be stuck', stuck_n, CASE kind WHEN 'own' THEN '0.01' ELSE '5' END, v.value) END
+    ELSE printf('%s changed by %.2f in %ds (threshold 100.00/1800s)', v.metric, abs(v.value - lv), (v.ts_us - lt) // 1000000) END AS reason
+FROM v LEFT JOIN anchors p ON p.source = v.source AND p.metric = v.metric AND p.rn = v.rn - 1 WHERE quality <> 'good'"""
 
 DEPLOYED = """WITH r AS (
   SELECT CASE WHEN event_type = 'error' THEN 'charstation/1' WHEN user_id % 4 = 0 THEN 'bench/0' ELSE 'site/' || (user_id % 4) END AS source,

@@ -58,14 +58,14 @@ def _last(what: Column, order: WindowSpec) -> Column:
     return F.last(what, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def prior_anchors(df: DataFrame, tol: str = "tol") -> DataFrame:
+def prior_anchors(df: DataFrame, tol: str = "tol", order: WindowSpec | None = None) -> DataFrame:
     """Adds ``prior_anchor_value`` and ``prior_anchor_us``: the anchor before each row.
 
     df: source, metric, ts_us, seq, value, ``tol``, ....  Null at a stream's start, and on all
     rows of a stream whose ``tol`` is null (it is not judged by time); NaN leaves every anchor.
-    One shuffle by stream and one sort.
+    One shuffle by stream and one sort.  ``order`` replaces the stream's own order, as in chunks of a stream.
     """
-    order, own = stream_order(), F.struct("value", F.col("ts_us").alias("us"))
+    order, own = order or stream_order(), F.struct("value", F.col("ts_us").alias("us"))
     step = F.abs(F.col("value") - F.lag("value").over(order))
     cut = F.coalesce(F.isnan(step) | (step > F.col(tol) * 2 * (1 + 1e-9)), F.lit(True))
     rows = df.withColumns({"_cut": cut, "_row": F.row_number().over(order)})

@@ -2,17 +2,19 @@
 
 Readings are ``source, metric, value, ts_us, raw_value, seq``; ``seq`` breaks ties of time.
 All window expressions share one specification, so validation is one shuffle by stream and
-one sort, with metrics judged by time without change too.
+one sort, with metrics judged by time without change too.  Streams of more than ``chunk_rows``
+readings are judged in time chunks (``operators.chunks``), so no task holds one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from streamcheck.config import DURATION, ValidatorConfig, metric_table, override_table, policy_table
 from streamcheck.functions import rules
-from streamcheck.operators.anchor import prior_anchors, stream_order
+from streamcheck.operators.anchor import STREAM, prior_anchors, stream_order
+from streamcheck.operators.chunks import CHUNK_ROWS, giant_streams, in_chunks
 from streamcheck.storage import Scratch
 
 
@@ -30,19 +32,19 @@ def resolve_config(df: DataFrame, config: ValidatorConfig) -> DataFrame:
 FRAME = 16
 
 
-def with_history(df: DataFrame, config: ValidatorConfig) -> DataFrame:
+def with_history(df: DataFrame, config: ValidatorConfig, order: WindowSpec | None = None, value: str = "value", us: str = "ts_us") -> DataFrame:
     """What the rules ask of earlier readings: the last one, their number, and extremes of the last count - 1 of them.
 
     Short frames are window frames.  The extremes of a long one are put together from lags by
     powers of two, a few steps for each reading however long the frame is.  All windows share one
-    specification.
+    specification, that of the stream or ``order``; ``value`` and ``us`` name the columns that later readings see.
     """
-    order = stream_order()
-    out = df.withColumns({"last_value": F.lag("value").over(order), "last_us": F.lag("ts_us").over(order), "_before": F.row_number().over(order) - 1})
+    order = order or stream_order()
+    out = df.withColumns({"last_value": F.lag(value).over(order), "last_us": F.lag(us).over(order), "_before": F.row_number().over(order) - 1})
     widths = sorted({max(m.stuck_count - 1, 1) for m in config.all_metrics() if m.stuck_mode != DURATION})
     for w in (w for w in widths if w <= FRAME):
         frame = order.rowsBetween(-w, -1)
-        out = out.withColumns({f"_low{w}": F.min("value").over(frame), f"_high{w}": F.max("value").over(frame)})
+        out = out.withColumns({f"_low{w}": F.min(value).over(frame), f"_high{w}": F.max(value).over(frame)})
     long = [w for w in widths if w > FRAME]
     out = out.withColumns({"_low": F.col("last_value"), "_high": F.col("last_value")})
     size = 1
@@ -65,50 +67,71 @@ def rule_columns(df: DataFrame, config: ValidatorConfig) -> dict[str, Column]:
         w = max(n - 1, 1)
         hit = rules.stuck_by_count(v, F.col("_before"), F.col(f"_low{w}"), F.col(f"_high{w}"), F.lit(n), c["stuck_tolerance"])
         by_count = F.when(c["stuck_count"] == n, hit).otherwise(by_count)
-    by_time = rules.stuck_by_time(v, ts, F.col("prior_anchor_value"), F.col("prior_anchor_us"), c["stuck_tolerance"], c["stuck_window"]) if "prior_anchor_us" in df.columns else F.lit(False)
+    by_anchor = rules.stuck_by_time(v, ts, F.col("prior_anchor_value"), F.col("prior_anchor_us"), c["stuck_tolerance"], c["stuck_window"]) if "prior_anchor_us" in df.columns else F.lit(False)
     return {
         "value_range": rules.out_of_range(v, c["low"], c["high"]),
         "raw_range": rules.raw_out_of_range(F.col("raw_value"), c["raw_low"], c["raw_high"]),
-        "stuck_reading": F.when(c["stuck_mode"] == DURATION, by_time).otherwise(by_count),
+        "stuck_reading": F.when(c["stuck_mode"] == DURATION, by_anchor).otherwise(by_count),
         "rate_of_change": rules.rate_exceeded(v, ts, F.col("last_value"), F.col("last_us"), c["max_rate"], c["rate_window"]),
     }
 
 
-def with_rules(df: DataFrame, config: ValidatorConfig) -> DataFrame:
+def _ruled(known: DataFrame, config: ValidatorConfig, order: WindowSpec, value: str = "value", us: str = "ts_us") -> DataFrame:
+    """Anchors come last of the windows: the shuffle's order is not known to hold after their UDF."""
+    known = with_history(known, config, order, value, us)
+    if by_time(config):
+        known = prior_anchors(known, "_tol", order)
+    return known.withColumns(rule_columns(known, config))
+
+
+def by_time(config: ValidatorConfig) -> bool:
+    return any(m.stuck_mode == DURATION for m in config.all_metrics())
+
+
+def with_rules(df: DataFrame, config: ValidatorConfig, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Adds cfg, policy and a boolean column for each rule (null where no configuration applies).
 
-    Anchors come last of the windows: the shuffle's order is not known to hold after their UDF.
+    Streams of more than ``chunk_rows`` readings, which a count by stream finds first, are judged in
+    chunks of that size; with None none is looked for.
     """
-    known = with_history(resolve_config(df, config), config)
-    if any(m.stuck_mode == DURATION for m in config.all_metrics()):
-        known = prior_anchors(known.withColumn("_tol", F.when(F.col("cfg.stuck_mode") == DURATION, F.col("cfg.stuck_tolerance"))), "_tol")
-    return known.withColumns(rule_columns(known, config))
+    known = resolve_config(df, config)
+    tol = F.when(F.col("cfg.stuck_mode") == DURATION, F.col("cfg.stuck_tolerance"))
+    giants = giant_streams(df, chunk_rows) if chunk_rows else None
+    rest = known if giants is None else known.join(giants, list(STREAM), "left_anti")
+    ruled = _ruled(rest.withColumn("_tol", tol) if by_time(config) else rest, config, stream_order())
+    if giants is None:
+        return ruled
+    history = max([1, *(m.history for m in config.all_metrics() if m.stuck_mode != DURATION)])
+    spread = in_chunks(known.join(giants, list(STREAM)).select(*known.columns), history, chunk_rows, tol)
+    order = Window.partitionBy(*STREAM, "_chunk").orderBy("_i")
+    far = _ruled(spread, config, order, "_then_value", "_then_us").where("not _halo")
+    return ruled.unionByName(far.select(*ruled.columns))
 
 
 def reason() -> Column:
-    """The sentence for the rule that decided."""
-    v, c = F.col("value"), F.col("cfg")
+    """The sentence for the rule that decided, in the fixed formats of the rules' definition."""
+    v, c = rules.two_digits(F.col("value")), F.col("cfg")
     minutes = F.floor((F.col("ts_us") - F.col("prior_anchor_us")) / 60_000_000)
-    by_count = F.format_string("%d consecutive readings within %s of %.2f — source may be stuck", c["stuck_count"], c["stuck_tolerance"].cast("string"), v)
-    by_time = F.format_string("value unchanged (%.2f ±%s) for %d min — source may be stuck", v, c["stuck_tolerance"].cast("string"), minutes)
+    by_count = F.format_string("%d consecutive readings within %s of %s — source may be stuck", c["stuck_count"], c["tolerance_text"], v)
+    unchanged = F.format_string("value unchanged (%s ±%s) for %d min — source may be stuck", v, c["tolerance_text"], minutes)
     return (
-        F.when((F.col("rule") == "value_range") & F.isnan(v), F.concat("metric", F.lit(" value is NaN")))
-        .when(F.col("rule") == "value_range", F.format_string("%s = %.2f outside plausible range [%s, %s]", "metric", v, c["low"].cast("string"), c["high"].cast("string")))
+        F.when((F.col("rule") == "value_range") & F.isnan("value"), F.concat("metric", F.lit(" value is NaN")))
+        .when(F.col("rule") == "value_range", F.format_string("%s = %s outside plausible range [%s, %s]", "metric", v, c["low_text"], c["high_text"]))
         .when(F.col("rule") == "raw_range", F.format_string("raw value = %d outside plausible range [%d, %d]", "raw_value", c["raw_low"], c["raw_high"]))
-        .when(F.col("rule") == "stuck_reading", F.when(c["stuck_mode"] == DURATION, by_time).otherwise(by_count))
-        .when(F.col("rule") == "rate_of_change", F.format_string("%s changed by %.2f in %ds (threshold %.2f/%ds)", "metric", F.abs(v - F.col("last_value")), F.floor((F.col("ts_us") - F.col("last_us")) / 1_000_000), c["max_rate"], F.floor(c["rate_window"] / 1_000_000)))
+        .when(F.col("rule") == "stuck_reading", F.when(c["stuck_mode"] == DURATION, unchanged).otherwise(by_count))
+        .when(F.col("rule") == "rate_of_change", F.format_string("%s changed by %s in %ds (threshold %s/%ds)", "metric", rules.two_digits(F.abs(F.col("value") - F.col("last_value"))), F.floor((F.col("ts_us") - F.col("last_us")) / 1_000_000), rules.two_digits(c["max_rate"]), F.floor(c["rate_window"] / 1_000_000)))
         .otherwise("")
     )
 
 
-def validate_readings(df: DataFrame, config: ValidatorConfig) -> DataFrame:
+def validate_readings(df: DataFrame, config: ValidatorConfig, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """The input's columns with ``quality``, ``rule`` and ``reason``.
 
     The more severe verdict wins and of equals the first, so the order is value range, raw
     range, stuck, rate.  A metric without configuration is good.  Later readings see all
     earlier ones, whatever their verdict.
     """
-    marked = with_rules(df, config)
+    marked = with_rules(df, config, chunk_rows)
     if "prior_anchor_us" not in marked.columns:
         marked = marked.withColumn("prior_anchor_us", F.lit(None).cast("bigint"))
     rule = F.when(F.col("cfg").isNull(), "").when(F.col("value_range"), "value_range").when(F.col("raw_range"), "raw_range").when(F.col("stuck_reading"), "stuck_reading").when(F.col("rate_of_change"), "rate_of_change").otherwise("")

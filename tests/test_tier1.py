@@ -28,7 +28,7 @@ def test_value_and_raw_range(spark):
     rows = [("s", "moisture", v, i * 3600 * SECOND, raw, i) for i, (v, raw) in enumerate([(105.0, None), (-5.0, None), (math.nan, None), (42.0, 2400), (42.0, 0), (42.0, 4095), (200.0, 0), (0.0, 100), (100.0, 3995)])]
     got, why = judge(spark, rows)
     assert [r for _, r in got] == ["value_range"] * 3 + ["", "raw_range", "raw_range", "value_range", "", ""]
-    assert why[2] == "moisture value is NaN" and why[0] == "moisture = 105.00 outside plausible range [0.0, 100.0]"
+    assert why[2] == "moisture value is NaN" and why[0] == "moisture = 105.00 outside plausible range [0, 100]"
 
 
 def test_stuck_by_count(spark):
@@ -139,3 +139,19 @@ def test_deployed_preset(spark):
     rows = [("charstation/3", "raw_adc", 3000.0, 0, 3000, 0), ("charstation/3", "raw_adc", 1200.0, 2 * SECOND, 1200, 1), ("charstation/3", "raw_adc", 12.0, 4 * SECOND, 12, 2), ("bed/9", "raw_adc", 3000.0, 0, 3000, 3), ("bed/9", "raw_adc", 1200.0, 2 * SECOND, 1200, 4), ("bed/9", "temperature", -41.0, 0, None, 5)]
     out = {r.seq: (r.rule, r.policy) for r in validate_readings(spark.createDataFrame(rows, READING), config).collect()}
     assert out == {0: ("", "tier1_only"), 1: ("", "tier1_only"), 2: ("raw_range", "tier1_only"), 3: ("", "full"), 4: ("rate_of_change", "full"), 5: ("value_range", "full")}
+
+
+def test_two_digits_round_the_exact_value_and_halves_to_even(spark):
+    from streamcheck.functions.rules import two_digits
+
+    values = [0.125, 0.375, -0.125, 2.675, 1.005, 0.0, -0.0, 0.005, 0.015, 99.995, 1234567.885, 1e9 + 0.005, 12345678901.235, 1e14, 0.1 + 0.2, 200.0, 490.02, -7.555]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(two_digits(F.col("v"))).collect()]
+    assert got == ["%.2f" % v for v in values]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),)], "v double").select(two_digits(F.col("v"))).collect()
+    assert [r[0] for r in odd] == ["NaN", "inf", "-inf"]
+
+
+def test_numbers_in_reasons_have_no_exponent_and_no_point_zero():
+    from streamcheck.config import number_text
+
+    assert [number_text(x) for x in (0, 100.0, 5.0, 0.01, -40.0, 1e21, 1e-7, float("inf"), float("-inf"), 2.5)] == ["0", "100", "5", "0.01", "-40", "1" + "0" * 21, "0.0000001", "inf", "-inf", "2.5"]

@@ -1,16 +1,18 @@
 """Tier 2: the health of each stream (H1-H19), at one instant or at every tick of a grid.
 
-``score_at_last`` and ``health_history`` go over their readings more than once: give them a
-written table (``tier1.validated_table``), or the verdicts are judged again for each pass.
+``score_at_last`` goes over its readings more than once: give it a written table
+(``tier1.validated_table``), or the verdicts are judged again for each pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamcheck.config import FULL, MINUTE, ValidatorConfig
 from streamcheck.functions import rules
+from streamcheck.operators import panes
 from streamcheck.operators.anchor import STREAM
 
 WARM_UP = 30
@@ -69,53 +71,27 @@ def score_at_last(validated: DataFrame, config: ValidatorConfig) -> DataFrame:
 def health_history(validated: DataFrame, config: ValidatorConfig, start_us: int, end_us: int, step_us: int) -> DataFrame:
     """A score for each stream at each tick from its first reading on.
 
-    Each (stream, tick) adds three markers to the stream's readings: the two lower bounds,
-    before readings of the same instant, and the tick, after them.  Running sums over readings
-    and markers together then give every window by subtraction: linear in readings and ticks.
-    Values are taken from the stream's mean, so sums of squares keep their digits.
+    The readings are aggregated once, into panes between the bounds of the ticks' windows; each window is
+    merged from its own panes (``operators.panes``), so neither a stream's length nor what it was before
+    a window has a part in it.
     """
-    full = validated.where(F.col("policy") == FULL)
-    v = F.col("value")
-    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
-    good = F.col("quality") == rules.GOOD
-    streams = full.groupBy(*STREAM).agg(F.min("ts_us").alias("first_us"), F.avg(F.when(good & finite, v)).alias("centre"), F.first("cfg.cadence").alias("cadence_us"))
-    ticks = streams.select(*STREAM, "first_us", F.explode(F.sequence(F.lit(start_us), F.lit(end_us), F.lit(step_us))).alias("tick_us")).where("tick_us >= first_us")
-    marks = ticks.select(*STREAM, "tick_us", F.explode(F.array(
-        F.struct((F.col("tick_us") - config.baseline_window).alias("at"), F.lit(0).alias("side"), F.lit("base").alias("mark")),
-        F.struct((F.col("tick_us") - config.recent_window).alias("at"), F.lit(0).alias("side"), F.lit("recent").alias("mark")),
-        F.struct(F.col("tick_us").alias("at"), F.lit(2).alias("side"), F.lit("now").alias("mark")),
-    )).alias("m")).select(*STREAM, F.col("m.at").alias("at"), F.col("m.side").alias("side"), "tick_us", F.col("m.mark").alias("mark"))
-    centred = full.join(streams.select(*STREAM, "centre"), list(STREAM))
-    d = F.when(good & finite, v - F.col("centre"))
-    points = centred.select(*STREAM, F.col("ts_us").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("tick_us"), F.lit(None).cast("string").alias("mark"),
-                            F.lit(1).alias("n"), good.cast("int").alias("g"), (good & ~finite).cast("int").alias("odd"), d.alias("d"), (d * d).alias("d2"), F.when(good, F.col("ts_us")).alias("good_us"))
-    both = points.unionByName(marks, allowMissingColumns=True)
-    so_far = Window.partitionBy(*STREAM).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    sums = both.select(*STREAM, "tick_us", "mark", *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in ("n", "g", "odd", "d", "d2")), F.max("good_us").over(so_far).alias("good_us"))
-
-    def at(mark: str, c: str) -> Column:
-        return F.max(F.when(F.col("mark") == mark, F.col(c)))
-
-    def span(mark: str, c: str) -> Column:
-        return at("now", c) - at(mark, c)
-
-    by_tick = sums.where("mark is not null").groupBy(*STREAM, "tick_us").agg(
-        span("recent", "n").alias("recent"), span("recent", "g").alias("good"), span("base", "g").alias("base"), (span("base", "odd") == 0).alias("finite"),
-        span("recent", "d").alias("s1r"), span("recent", "d2").alias("s2r"), span("base", "d").alias("s1b"), span("base", "d2").alias("s2b"), at("now", "good_us").alias("good_us"),
-    )
+    grid = panes.Grid(config, start_us, end_us, step_us)
+    cells = panes.moment_panes(validated.where(F.col("ts_us") <= end_us), grid.column(F.col("ts_us")))
+    ticks = np.arange(grid.ticks, dtype=np.int64) * step_us + start_us
+    windows = panes.pane_windows(cells, config, grid, lambda first: ticks[ticks >= first])
+    return _signals(windows, config, F.col("tick_us")).select(*STREAM, "tick_us", *SCORE_COLUMNS)
 
-    def deviation(n: str, s1: str, s2: str) -> Column:
-        square = F.col(s2) - F.try_divide(F.col(s1) * F.col(s1), F.col(n))
-        return F.when((F.col(n) < 2) | (square <= 1e-12 * F.col(s2)), 0.0).otherwise(F.sqrt(F.try_divide(square, F.col(n) - 1)))
-
-    ready = by_tick.withColumns({
-        "mean_recent": F.when(F.col("good") > 0, F.try_divide("s1r", "good")),
-        "mean_base": F.when(F.col("base") > 0, F.try_divide("s1b", "base")),
-        "sd_recent": deviation("good", "s1r", "s2r"),
-        "sd_base": deviation("base", "s1b", "s2b"),
-        "last_good_us": F.when(F.col("good_us") >= F.col("tick_us") - config.recent_window, F.col("good_us")),
-    }).join(streams.select(*STREAM, "cadence_us"), list(STREAM))
-    return _signals(ready, config, F.col("tick_us")).select(*STREAM, "tick_us", *SCORE_COLUMNS)
+
+def scores_from_panes(kept: DataFrame, config: ValidatorConfig, width_us: int, ticks_us: list[int]) -> DataFrame:
+    """H10 at each of some ticks, from kept panes of ``width_us``: no reading is read again.
+
+    Ticks and both windows have to be multiples of the width.  A stream is scored from its first kept pane on.
+    """
+    if any(x % width_us for x in (*ticks_us, config.recent_window, config.baseline_window)):
+        raise ValueError("ticks and windows must be multiples of the panes' width")
+    ticks = np.array(sorted(ticks_us), dtype=np.int64)
+    windows = panes.pane_windows(panes.merge_panes(kept), config, panes.Fixed(width_us), lambda first: ticks[ticks >= first])
+    return _signals(windows, config, F.col("tick_us")).select(*STREAM, "tick_us", *SCORE_COLUMNS)
 
 
 def worst_source(scores: DataFrame) -> DataFrame:

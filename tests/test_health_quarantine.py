@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamcheck.config import DAY, MINUTE, SECOND, MetricConfig, ValidatorConfig
-from streamcheck.operators.health import health_history, score_health
+from streamcheck.operators import panes
+from streamcheck.operators.health import health_history, score_health, scores_from_panes
 from streamcheck.operators.quarantine import quarantine_history
 
 VALIDATED = "source string, metric string, value double, ts_us bigint, seq bigint, quality string"
@@ -102,3 +103,35 @@ def test_quarantine_equals_machine(spark, need, bad, fine):
 def test_thresholds_must_not_cross():
     with pytest.raises(ValueError):
         ValidatorConfig(metrics={"m": MetricConfig()}, bad_threshold=80, recovery_threshold=70)
+
+
+def test_a_level_shift_leaves_later_windows_exact(spark):
+    """A million off before the window: the deviation inside it keeps its digits."""
+    rng = random.Random(11)
+    rows = [("a", 1e6 + rng.gauss(0, 1), NOW - 20 * DAY + i * 10 * MINUTE, "good") for i in range(1500)]
+    rows += [("a", rng.gauss(0, 1), NOW - 9 * DAY + i * 10 * MINUTE, "good") for i in range(9 * 144 + 1)]
+    df = validated(spark, rows)
+    for r in health_history(df, CONFIG, NOW - DAY, NOW, DAY // 4).collect():
+        one = score_health(df.where(F.col("ts_us") <= r.tick_us), CONFIG, F.lit(r.tick_us)).first()
+        assert abs(one.drift - r.drift) < 1e-9 and abs(one.variance_ratio - r.variance_ratio) < 1e-9 and 0 < r.drift < 1
+
+
+def test_kept_panes_score_as_readings_do(spark):
+    """Batches make panes, repeated panes merge, old ones are let go: each tick's score is that of the readings."""
+    rng = random.Random(8)
+    rows = [(rng.choice("abc"), rng.choice([math.nan, 7.0, 7.0] if rng.random() < 0.02 else [rng.gauss(50, 5)]), NOW - rng.randrange(10 * 24 * 3600) * SECOND, rng.choice(["good", "good", "suspect"])) for _ in range(2000)]
+    rows += [("a", 3.0, NOW - k * MINUTE, "good") for k in (0, 30, 60, 7 * 24 * 60)]
+    df = validated(spark, rows)
+    width = 30 * MINUTE
+    parts = [panes.moment_panes(df.where(F.col("seq") % 3 == k), panes.Fixed(width).column(F.col("ts_us"))) for k in range(3)]
+    kept = panes.trim_panes(parts[0].unionByName(parts[1]).unionByName(parts[2]), CONFIG, NOW - 2 * width, width)
+    ticks = [NOW - 2 * width, NOW - width, NOW]
+    got = {(r.source, r.tick_us): r for r in scores_from_panes(kept, CONFIG, width, ticks).collect()}
+    assert len(got) == 9
+    for t in ticks:
+        for one in score_health(df.where(F.col("ts_us") <= t), CONFIG, F.lit(t)).collect():
+            r = got[one.source, t]
+            assert (r.readings_in_window, r.last_good_us) == (one.readings_in_window, one.last_good_us)
+            assert all(abs(one[c] - r[c]) < 1e-9 for c in ("overall", "quality_rate", "reporting_cadence", "drift", "variance_ratio", "recency"))
+    with pytest.raises(ValueError):
+        scores_from_panes(kept, CONFIG, width, [NOW + 1])

@@ -247,7 +247,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["pattern", "columns", "weights"])
 
     share = min(1.0, train_rows / int(counts.sum()))
-    picked = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), 1) < min(int(share * 2.0**63), 2**63 - 1)
+    # By row, so that copies of a row are neither all in nor all out.
+    picked = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), 1) < min(int(share * 2.0**63), 2**63 - 1)
     rows = docs.where(picked).select(text_col).mapInArrow(sample, "pattern bigint, columns binary, weights binary").toArrow()
     columns = [np.frombuffer(x, np.int32) for x in rows.column("columns").to_pylist()]
     weight = [np.frombuffer(x, np.float32) for x in rows.column("weights").to_pylist()]

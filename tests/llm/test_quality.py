@@ -126,3 +126,11 @@ def test_ties_at_the_threshold_are_kept(spark):
     for threshold, kept in ((score, True), (np.nextafter(score, 1), False)):
         assert [r.kept for r in classify(df, threshold=threshold, train_rows=0).collect()] == [kept] * 6
         assert keep_good(df, threshold=threshold, train_rows=0).count() == 6 * kept
+
+
+def test_copies_of_one_row_are_sampled_by_row(spark):
+    """A row that repeats is neither all in the sample nor all out of it."""
+    text = "A plain sentence of some length about nothing in particular, with words that follow each other."
+    df = spark.range(0, 30_000, 1, 4).selectExpr("1L AS doc_id", f"'{text}' AS text")
+    got = classify(df, train_rows=500)
+    assert got.count() == 30_000 and got.select("score").distinct().count() == 1

@@ -31,6 +31,7 @@ BLOCKS = 32  # blocks of queries that one copy of a graph serves
 LINKS, BUILD_BEAM, BEAM = 16, 48, 24
 BRIDGES = 4  # vectors that get a link to one that no path reached
 AUDIT, PLANTED, RECALL = 48, 200, 0.995
+WIDEST = 1536
 SELF = 1 - 1e-12  # a cosine from here on is a vector's match with itself
 _TILE = 256
 
@@ -198,10 +199,20 @@ class Graph:
         return ids, sims
 
     def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """Ids of similarity at or over ``least`` for each query; full beams of such are widened."""
+        """Ids of similarity at or over ``least`` for each query; full beams of such are widened.
+
+        A query that still fills a beam of ``WIDEST`` is in a large cluster: to compare it with the whole
+        shard, a block of queries at a time, is less work than a wider beam.
+        """
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         todo, n = np.arange(len(q)), len(self.x)
         while len(todo):
+            if beam > WIDEST and beam < n:
+                for lo in range(0, len(todo), 64):
+                    part = todo[lo : lo + 64]
+                    for r, row in zip(part.tolist(), q[part] @ self.x.T, strict=True):
+                        out[r] = np.flatnonzero(row >= least)
+                break
             wide = min(beam, n)
             ids, sims = self.search(q[todo], wide)
             for r, i, s in zip(todo.tolist(), ids, sims, strict=True):
@@ -225,10 +236,8 @@ def planted(x: np.ndarray, n: int, cosine: float) -> tuple[np.ndarray, np.ndarra
     return origin, unit(c * v + np.sqrt(1 - c * c) * noise / np.maximum(np.sqrt((noise * noise).sum(axis=1, keepdims=True)), 1e-300))
 
 
-def shard_links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> tuple[list[np.ndarray], float, int]:
-    """(linked ids by query, audited recall, beam): beams double until the audit passes; if none does, all pairs are compared."""
-    if not len(q):
-        return [], 1.0, beam
+def audited_beam(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> tuple[float, int]:
+    """(audited recall, beam): beams double until the audit passes; if none does it is the whole shard, and all pairs are compared."""
     few = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
     truth = [t[x[t] @ v < SELF] for t, v in zip(exact_links(q[few], x, cosine), q[few], strict=True)]
     origin, probes = planted(x, PLANTED, cosine)  # the same for all blocks of queries
@@ -240,29 +249,46 @@ def shard_links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam:
             graph.audited[cosine, beam] = sum(o in f for o, f in zip(origin, graph.within(probes.astype(np.float32), slack, beam), strict=True)) / len(origin)
         audited = min(graph.audited[cosine, beam], hit / total if total else 1.0)
         if audited >= recall:
-            near = graph.within(q.astype(np.float32), slack, beam)
-            return [i[(x[i] @ v) >= cosine] for i, v in zip(near, q, strict=True)], float(audited), beam
+            return float(audited), beam
         beam *= 2
-    return exact_links(q, x, cosine), 1.0, len(x)
+    return 1.0, len(x)
+
+
+def links_of(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int) -> list[np.ndarray]:
+    """Ids linked with each query: found by the beam and verified in double precision, or by comparing all where it is the whole shard."""
+    if beam >= len(x):
+        return exact_links(q, x, cosine)
+    return [i[(x[i] @ v) >= cosine] for i, v in zip(graph.within(q.astype(np.float32), cosine - 1e-4, beam), q, strict=True)]
 
 
-def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs that connect what all pairs connect."""
-    parent: dict[int, int] = {}
+def shard_links(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> tuple[list[np.ndarray], float, int]:
+    """(linked ids by query, audited recall, beam)."""
+    if not len(q):
+        return [], 1.0, beam
+    audited, beam = audited_beam(graph, x, q, cosine, beam, audit, recall)
+    return links_of(graph, x, q, cosine, beam), audited, beam
+
 
-    def root(v: int) -> int:
-        while (p := parent.setdefault(v, v)) != v:
-            parent[v] = parent[p]
-            v = p
-        return v
+class Unions:
+    """Links of queries with the vectors of a shard, kept as a forest: memory goes with vectors and queries, not with links."""
 
-    out = []
-    for a, b in pairs:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[x] = y
-            out.append((a, b))
-    return out
+    def __init__(self, reps: np.ndarray):
+        self.reps, self.label = reps, np.arange(len(reps))
+        self.place = {int(r): i for i, r in enumerate(reps.tolist())}
+        self.edges: list[tuple[int, int]] = []
+
+    def add(self, query: int, linked: np.ndarray) -> None:
+        """One edge for each tree that the query links to and is not in."""
+        labels, at = np.unique(self.label[linked], return_index=True)
+        if not len(labels):
+            return
+        own = self.place.get(query)
+        tree = -1 if own is None else self.label[own]
+        self.edges += [(query, int(self.reps[linked[k]])) for k in at[labels != tree].tolist()]
+        tree = labels[0] if own is None else tree
+        others = labels[labels != tree]
+        if len(others):
+            self.label[np.isin(self.label, others)] = tree
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -317,9 +343,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     def answer(held: tuple, own: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         graph, x, reps, sizes = held
-        found, recall, beam = shard_links(graph, x, q, cosine)
-        counts = [int(sizes[i[reps[i] != r]].sum()) for i, r in zip(found, own.tolist(), strict=True)]
-        edges = forest([(r, int(o)) for i, r in zip(found, own.tolist(), strict=True) for o in reps[i].tolist() if o != r])
+        recall, beam = audited_beam(graph, x, q, cosine)
+        counts, unions = [], Unions(reps)
+        for lo in range(0, len(q), _TILE):
+            for i, r in zip(links_of(graph, x, q[lo : lo + _TILE], cosine, beam), own[lo : lo + _TILE].tolist(), strict=True):
+                i = i[reps[i] != r]
+                counts.append(int(sizes[i].sum()))
+                unions.add(r, i)
+        edges = unions.edges
         at = [k for k, c in enumerate(counts) if c]
         return pa.RecordBatch.from_pydict({
             "kind": pa.array([0] * len(at) + [1] * len(edges) + [2], pa.int32()),  # 2: beam and audited recall in millionths
@@ -337,22 +368,24 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 if hi == lo:
                     continue
                 if place[lo][:3] != key or not place[lo][3]:
-                    if own and held:
+                    if own:
                         yield answer(held, np.array(own), unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)))
                     key, held, own, raw = place[lo][:3], None, [], []
                 if not place[lo][3]:
                     held = pickle.loads(table["vector"][lo].as_py())
                     continue
+                if not held:  # a shard without vectors of this length has no graph and no link
+                    continue
                 at = lo
                 while at < hi:
                     end = min(hi, at + group_rows - len(own))
                     own += table["rep"].slice(at, end - at).to_pylist()
                     raw += table["vector"].slice(at, end - at).to_pylist()
                     at = end
-                    if len(own) >= group_rows and held:
+                    if len(own) >= group_rows:
                         yield answer(held, np.array(own), unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)))
                         own, raw = [], []
-        if own and held:
+        if own:
             yield answer(held, np.array(own), unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)))
 
     keys = ["dim", "shard", "part"]

@@ -1,12 +1,13 @@
 """Embedding near-deduplication against brute force."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from streamcheck.llm import queries
-from streamcheck.llm.hnsw import Graph, embedding_dedup, exact_links, forest, shard_links, unit
+from streamcheck.llm.hnsw import Graph, Unions, audited_beam, embedding_dedup, exact_links, links_of, shard_links, unit
 
 
 def brute(rows, cosine):
@@ -73,8 +74,64 @@ def test_small_graphs(n):
     assert recall == 1.0 and [sorted(f.tolist()) for f in found] == [t.tolist() for t in exact_links(x, x, 0.5)]
 
 
-def test_forest():
-    assert forest([(1, 2), (2, 3), (1, 3), (4, 5), (5, 4)]) == [(1, 2), (2, 3), (4, 5)]
+def test_unions_connect_what_all_links_connect():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        reps = rng.permutation(40)[:25]
+        u, trees = Unions(reps), {i: i for i in range(60)}
+
+        def root(v, trees=trees):
+            while trees[v] != v:
+                v = trees[v]
+            return v
+
+        for query in rng.permutation(60)[:30].tolist():
+            linked = np.unique(rng.integers(0, 25, rng.integers(0, 4)))
+            linked = linked[reps[linked] != query]
+            u.add(query, linked)
+            for r in reps[linked].tolist():
+                trees[root(query)] = root(r)
+        told = {i: i for i in range(60)}
+        for a, b in u.edges:
+            told[root(a, told)] = root(b, told)
+        assert len({(root(a), root(a, told)) for a in range(60)}) == len({root(a) for a in range(60)}) == len({root(a, told) for a in range(60)})
+        assert len(u.edges) <= 55
+
+
+def test_thousands_of_near_copies_take_memory_for_vectors_not_for_pairs():
+    rng = np.random.default_rng(9)
+    x = unit(rng.normal(size=(1, 32)) + rng.normal(size=(4096, 32)) * 0.02)
+    graph = Graph(x)
+    tracemalloc.start()
+    recall, beam = audited_beam(graph, x, x, 0.95)
+    unions, n = Unions(np.arange(len(x))), 0
+    for lo in range(0, len(x), 256):
+        for q, i in zip(range(lo, lo + 256), links_of(graph, x, x[lo : lo + 256], 0.95, beam), strict=True):
+            n += len(i) - 1
+            unions.add(q, i[i != q])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert recall >= 0.995 and n >= 0.995 * sum(len(t) - 1 for t in exact_links(x, x, 0.95))
+    assert len(unions.edges) == len(x) - 1 and peak < 400e6
+
+
+def test_groups_without_a_graph_come_to_an_end(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links) for r in embedding_dedup(df, group_rows=2).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_query_searches_graphs(spark):
+    """Shards of more vectors than are compared pair by pair, through the query; near copies are planted among them."""
+    rows = [(r.vec_id, [float(e) for e in r.embedding]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rng = np.random.default_rng(3)
+    rows += [(100_000 + k, (np.array(rows[7 * k % len(rows)][1]) * (1 + 0.02 * rng.normal(size=len(rows[0][1])))).tolist()) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = embedding_dedup(df, least_shards=4).collect()
+    want = {rows[k][0]: r for k, r in brute(rows, 0.95).items()}
+    found, all_links = sum(r.n_links for r in out), sum(n for n, _ in want.values())
+    assert all_links >= 1000 and 0.99 * all_links <= found <= all_links
+    assert sum(want[r.vec_id][1] == r.component_id for r in out) >= 0.99 * len(out) and min(r.audited_recall for r in out) >= 0.995
 
 
 def test_rows(spark):

@@ -6,17 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamcheck.functions import rules
+from streamcheck.storage import CommittedTable
 
 
-def append_readings(validated: DataFrame, path: str) -> None:
-    """Append every reading, whatever its verdict, by zone and day; a reason only where it is not good."""
+#: Columns of stored readings: files written before one was added have it null.
+READINGS = "zone_id string, metric string, value double, ts_us bigint, raw_adc bigint, seq bigint, quality string, validation_reason string, zone string, day date"
+
+
+def stored_columns(validated: DataFrame) -> DataFrame:
+    """A row for every reading, whatever its verdict; a reason only where it is not good."""
     zone, zone_id = rules.split_source(F.col("source"))
-    rows = validated.select(
+    return validated.select(
         zone.alias("zone"), zone_id.alias("zone_id"), "metric", "value", "ts_us", F.col("raw_value").alias("raw_adc"), "seq", "quality",
         F.when(F.col("quality") != rules.GOOD, F.col("reason")).alias("validation_reason"),
         F.date_from_unix_date(F.floor(F.col("ts_us") / 86_400_000_000).cast("int")).alias("day"),
     )
-    rows.write.mode("append").partitionBy("zone", "day").parquet(path)
+
+
+def append_readings(validated: DataFrame, path: str) -> None:
+    """Append readings to a plain table by zone and day; a call that runs again appends again."""
+    stored_columns(validated).write.mode("append").partitionBy("zone", "day").parquet(path)
+
+
+def store_batch(validated: DataFrame, path: str, unit: str) -> bool:
+    """Store a batch's readings as a unit of a table of units, by zone and day: once, however often it runs."""
+    return CommittedTable(validated.sparkSession, path).write(stored_columns(validated), unit, "zone", "day")
+
+
+def compact_readings(spark: SparkSession, path: str) -> None:
+    """Put the units of many batches into one; readers see the same rows before, meanwhile and after."""
+    CommittedTable(spark, path).compact(READINGS, "zone", "day")
 
 
 def append_sessions(sessions: DataFrame, path: str) -> None:
@@ -25,11 +44,12 @@ def append_sessions(sessions: DataFrame, path: str) -> None:
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
-    """Readings of files old and new; a column that older files lack is null, and a missing verdict is good."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    for name, kind in (("quality", "string"), ("validation_reason", "string"), ("raw_adc", "bigint")):
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
+    """Readings of files old and new, of committed units where the table has such; a missing verdict is good.
+
+    The columns are stated, so no footer is read to find them; those that older files lack are null.
+    """
+    units = CommittedTable(spark, path)
+    df = units.read(READINGS) if units.exists() else spark.read.schema(READINGS).parquet(path)
     return df.withColumns({"quality": F.coalesce("quality", F.lit(rules.GOOD)), "source": F.concat_ws("/", "zone", "zone_id")})
 
 

@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from streamcheck.config import DURATION, MetricConfig, ValidatorConfig
+from streamcheck.config import DURATION, MetricConfig, ValidatorConfig, number_text
 from streamcheck.functions import rules
+from streamcheck.operators import panes
 from streamcheck.operators.asof import session_intervals
-from streamcheck.sources.store import append_readings
+from streamcheck.operators.tier1 import resolve_config
+from streamcheck.sources.store import store_batch
+from streamcheck.storage import CommittedTable
 
-OUTPUT = "source string, metric string, value double, ts_us bigint, raw_value bigint, seq bigint, quality string, rule string, late boolean"
+OUTPUT = "source string, metric string, value double, ts_us bigint, raw_value bigint, seq bigint, quality string, rule string, reason string, late boolean"
 STATE = "recent array<double>, last_value double, last_us bigint, anchor_value double, anchor_us bigint, newest_us bigint, waiting array<struct<value:double,ts_us:bigint,raw_value:bigint,seq:bigint>>"
 
 
@@ -50,6 +53,21 @@ def judge(c: MetricConfig | None, v: float, ts: int, raw: int | None, recent: li
     return ""
 
 
+def sentence(c: MetricConfig | None, rule: str, metric: str, v: float, ts: int, raw: int | None, last: tuple[float, int] | None, anchor: tuple[float, int] | None) -> str:
+    """T11 for one reading, in the fixed formats of the rules' definition."""
+    if rule == "value_range":
+        return f"{metric} value is NaN" if v != v else f"{metric} = {v:.2f} outside plausible range [{number_text(c.low)}, {number_text(c.high)}]"
+    if rule == "raw_range":
+        return f"raw value = {raw} outside plausible range [{c.raw_low}, {c.raw_high}]"
+    if rule == "stuck_reading" and c.stuck_mode == DURATION:
+        return f"value unchanged ({v:.2f} ±{number_text(c.stuck_tolerance)}) for {(ts - anchor[1]) // 60_000_000} min — source may be stuck"
+    if rule == "stuck_reading":
+        return f"{c.stuck_count} consecutive readings within {number_text(c.stuck_tolerance)} of {v:.2f} — source may be stuck"
+    if rule == "rate_of_change":
+        return f"{metric} changed by {abs(v - last[0]):.2f} in {(ts - last[1]) // 1_000_000}s (threshold {c.max_rate:.2f}/{c.rate_window // 1_000_000}s)"
+    return ""
+
+
 def validate_stream(readings: DataFrame, config: ValidatorConfig, delay_us: int = 0) -> DataFrame:
     """A stream of readings with verdicts; key state never expires."""
 
@@ -71,7 +89,8 @@ def validate_stream(readings: DataFrame, config: ValidatorConfig, delay_us: int
         for v, ts, raw, seq in waiting[:turn]:
             late = last is not None and ts < last[1]
             rule = judge(c, v, ts, raw, recent, last, anchor)
-            out.append((source, metric, v, ts, raw, seq, rules.GOOD if not rule else rules.INVALID if rule.endswith("range") else rules.SUSPECT, rule, late))
+            quality = rules.GOOD if not rule else rules.INVALID if rule.endswith("range") else rules.SUSPECT
+            out.append((source, metric, v, ts, raw, seq, quality, rule, sentence(c, rule, metric, v, ts, raw, last, anchor), late))
             if late:
                 continue
             if anchor is None or not abs(v - anchor[0]) <= (c.stuck_tolerance if c else 0.0):
@@ -91,8 +110,9 @@ def validate_stream(readings: DataFrame, config: ValidatorConfig, delay_us: int
 def pair_stream(readings: DataFrame, value_metric: str = "moisture", raw_metric: str = "moisture_raw", limit_us: int = 30_000_000) -> DataFrame:
     """Raw counts held per source until the next reading takes them or they are too old.
 
-    A reading takes a count of its own time or before, never a later one.  Rows older than one
-    seen before are ``late``: a late reading takes nothing from others, a late count replaces none.
+    A reading takes a count of its own time or before, never a later one, and a count that is taken is
+    gone.  Rows older than one seen before are ``late``: a late reading that does not fit the count
+    held leaves it to others, a late count replaces none.
     """
     columns = ["source", "metric", "value", "ts_us", "raw_value", "seq"]
 
@@ -130,21 +150,27 @@ def join_sessions(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     return readings.join(log, inside, "left").drop("_unit", "_from_us", "_to_us")
 
 
-def persist_batches(path: str, counters: str | None = None, late: str | None = None) -> Callable[[DataFrame, int], None]:
+def persist_batches(path: str, counters: str | None = None, late: str | None = None, kept_panes: str | None = None, config: ValidatorConfig | None = None, stream: str = "stream") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: readings go to the table at ``path``, late ones to that at ``late`` if there is one.
 
-    ``counters`` gets a table of readings by zone, zone id, metric and verdict for each batch; a batch
-    that runs again replaces its own counts.
+    Each batch is a unit of these tables, named by ``stream`` and its epoch, and seen when it is committed: a
+    batch that runs again leaves each reading once.  Streams with checkpoints of their own need names of
+    their own.  ``counters`` gets a table of readings by zone, zone id, metric and verdict for each batch.
+    ``kept_panes`` gets the batch's moments for the health of ticks (``streaming.health``), with ``config``'s check interval as width.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        rows = batch.withColumn("reason", F.col("rule"))
+        unit = f"{stream}-{epoch}"
+        rows = batch if "reason" in batch.columns else batch.withColumn("reason", F.col("rule"))
         if late is None:
-            append_readings(rows, path)
+            store_batch(rows, path, unit)
         else:
-            append_readings(rows.where("not late"), path)
-            append_readings(rows.where("late"), late)
+            store_batch(rows.where("not late"), path, unit)
+            store_batch(rows.where("late"), late, unit)
+        if kept_panes is not None:
+            known = resolve_config(rows, config)
+            CommittedTable(batch.sparkSession, kept_panes).write(panes.moment_panes(known, panes.Fixed(config.check_interval).column(F.col("ts_us"))), unit)
         if counters is not None:
             zone, zone_id = rules.split_source(F.col("source"))
             counted = batch.groupBy(zone.alias("zone"), zone_id.alias("zone_id"), "metric", "quality").agg(F.count("*").alias("n"))

@@ -147,3 +147,67 @@ def test_quarantine_steps_equal_history(spark, need):
         out = quarantine_step(state, df.where(F.col("tick_us") == t), config, t).collect()
         assert {(r.source, t): (r.is_quarantined, r.quarantined_us, r.consecutive_bad, r.consecutive_recovery, r.transition) for r in out} == {k: v for k, v in want.items() if k[1] == t}
         state = spark.createDataFrame([(r.source, r.metric, r.is_quarantined, r.quarantined_us, r.consecutive_bad, r.consecutive_recovery) for r in out], state.schema)
+
+
+def judged_batch(spark, rows):
+    return validate_readings(spark.createDataFrame(rows, READING), CONFIG).withColumn("late", F.lit(False))
+
+
+def test_a_batch_that_runs_twice_is_stored_once_and_half_written_ones_are_not_seen(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows = [("bed/1", "m", float(v), k * 20 * SECOND, None, k) for k, v in enumerate([10, 99, 10, 50])]
+    write = persist_batches(path)
+    for epoch, part in ((0, rows[:2]), (0, rows[:2]), (1, rows[2:])):
+        write(judged_batch(spark, part), epoch)
+    table = store.read_readings(spark, path)
+    assert sorted(r.seq for r in table.collect()) == [0, 1, 2, 3]
+    assert {r.seq: r.validation_reason for r in table.collect()}[1] == "m = 99.00 outside plausible range [0, 60]"
+    store.stored_columns(judged_batch(spark, rows)).write.partitionBy("zone", "day").parquet(f"{path}/unit=stream-2")  # its writer died before the commit
+    assert store.read_readings(spark, path).count() == 4
+    write(judged_batch(spark, [("bed/1", "m", 11.0, 10**9, None, 9)]), 2)
+    assert sorted(r.seq for r in store.read_readings(spark, path).collect()) == [0, 1, 2, 3, 9]
+    store.compact_readings(spark, path)
+    write(judged_batch(spark, rows[:2]), 0)  # replaced by the compacted unit, and still known
+    assert sorted(r.seq for r in store.read_readings(spark, path).collect()) == [0, 1, 2, 3, 9]
+    store.compact_readings(spark, path), store.compact_readings(spark, path)
+    assert sorted(r.seq for r in store.read_readings(spark, path).collect()) == [0, 1, 2, 3, 9]
+
+
+def test_stream_and_batch_give_the_same_sentences(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"s{i % 3}", rng.choice(["m", "temperature"]), rng.choice([10.125, 11.0, 12.0, 50.0, 70.555, math.nan]) if i % 9 else 11.0, i * 40 * SECOND, rng.choice([None, 5, 9]), i) for i in range(240)]
+    rows = [r if r[2] == r[2] else (*r[:2], 1e9, *r[3:]) for r in rows]
+    want = {r.seq: (r.rule, r.reason) for r in validate_readings(spark.createDataFrame(rows, READING), CONFIG).collect()}
+    got = {r.seq: (r.rule, r.reason) for r in run(spark, rows, tmp_path, lambda s: validate_stream(s, CONFIG), "sentences")}
+    assert got == want and {r for r, _ in want.values()} >= {"value_range", "raw_range", "stuck_reading", "rate_of_change"}
+
+
+def test_every_tick_of_a_batch_counts_and_kept_panes_serve(spark, tmp_path):
+    """Ticks one by one, or three in a batch that runs twice, over readings or over kept panes: the same scores and states."""
+    config = ValidatorConfig(metrics={"m": MetricConfig(low=0.0, high=100.0)}, groups={"bench": GroupConfig(policy=TIER1_ONLY)}, check_interval=30 * MINUTE)
+    rows = [(s, "m", 50 + math.sin(i), i * MINUTE, None, k * 1000 + i) for k, (s, n) in enumerate([("bed/1", 400), ("bed/2", 100), ("bench/1", 400)]) for i in range(n)]
+    judged = validate_readings(spark.createDataFrame(rows, READING), config).withColumn("late", F.lit(False)).drop("policy", "cfg")
+    sink = persist_batches(str(tmp_path / "readings"), kept_panes=str(tmp_path / "panes"), config=config)
+    for epoch in range(3):
+        sink(judged.where(F.col("seq") % 3 == epoch), epoch)
+        sink(judged.where(F.col("seq") % 3 == epoch), epoch)
+    ticks = [90 * MINUTE + k * 30 * MINUTE for k in range(12)]
+    told = ["overall", "is_quarantined", "quarantined_us", "consecutive_bad", "consecutive_recovery", "transition", "quarantine_reason"]
+    results = []
+    for name, size, kept in (("one", 1, None), ("three", 3, None), ("kept", 3, str(tmp_path / "panes"))):
+        state = str(tmp_path / name)
+        tick = tick_batches(str(tmp_path / "readings"), state, config, kept)
+        for epoch, k in enumerate(range(0, 12, size)):
+            batch = spark.createDataFrame([(t,) for t in ticks[k : k + size]], "tick_us bigint")
+            tick(batch, 2 * epoch)
+            tick(batch, 2 * epoch)
+            tick(batch.limit(0), 2 * epoch + 1)
+        results.append({(r.source, r.tick_us): tuple(round(r[c], 6) if c == "overall" else r[c] for c in told) for r in spark.read.parquet(state).collect()})
+        assert len(list((tmp_path / name).glob("epoch=*"))) == 12 // size
+    assert results[0] == results[1] == results[2] and any(v[5] == "entered" for v in results[0].values())
+    want = quarantine_history(health_history(judged.withColumns({"policy": F.when(F.col("source") == "bench/1", "tier1_only").otherwise("full"), "cfg": F.struct(F.lit(60 * SECOND).cast("bigint").alias("cadence"))}), config, ticks[0], ticks[-1], 30 * MINUTE), config)
+    assert results[0] == {(r.source, r.tick_us): tuple(round(r[c], 6) if c == "overall" else r[c] for c in told) for r in want.collect()}
+    tick = tick_batches(str(tmp_path / "readings"), str(tmp_path / "few"), config, keep=2)
+    for epoch, t in enumerate(ticks[:5]):
+        tick(spark.createDataFrame([(t,)], "tick_us bigint"), epoch)
+    assert len(list((tmp_path / "few").glob("epoch=*"))) == 2

@@ -23,6 +23,7 @@ from streamcheck.jobs.datasets import (
 from streamcheck.operators import asof, gauges, health, quarantine, report, serving, tier1
 from streamcheck.operators.anchor import prior_anchors
 from streamcheck.sources import csv, messages, store
+from streamcheck.sources.latest import LatestTable
 from streamcheck.storage import Scratch
 from streamcheck.streaming.validate import join_sessions
 
@@ -264,6 +265,16 @@ def sensors_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.sensors_latest(verdicts(spark, sf_dir))
 
 
+@query(sql.verdicts(False) + "SELECT source, metric, max(seq) AS seq, arg_max(value, seq) AS value, arg_max(ts_us, seq) AS ts_us, arg_max(quality, seq) AS quality FROM v GROUP BY source, metric")
+def latest_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest reading of each stream after four batches of a table that they keep up to date."""
+    judged = judged_table(spark, sf_dir)
+    kept = LatestTable(spark, Scratch(spark, "latest").path("table"))
+    for epoch in range(4):
+        kept.update(judged.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == epoch), epoch)
+    return kept.read()
+
+
 @query(sql.readings(False) + "SELECT seq, ts_us, value FROM readings WHERE source = 'site/1' AND metric = 'view' ORDER BY seq DESC LIMIT 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.stream_latest(event_readings(spark, sf_dir), "site/1", "view").select("seq", "ts_us", "value")
@@ -469,6 +480,13 @@ def dashboard_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.dashboard_readings(event_readings(spark, sf_dir).withColumn("metric", metric)).groupBy("metric").agg(F.count("*").alias("n"))
 
 
+@query(sql.SESSIONS + "SELECT r.seq, s.id AS session_id, s.batch_label FROM bench r LEFT JOIN LATERAL (SELECT id, batch_label FROM log WHERE log.unit = r.unit AND started_us <= r.ts_us ORDER BY started_us DESC, id DESC LIMIT 1) s ON true")
+def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small blocks, so that units have several."""
+    out = asof.session_lookup(bench_readings(spark, sf_dir), bench_sessions(spark, sf_dir), size=8)
+    return out.select("seq", F.col("session.id").alias("session_id"), F.col("session.batch_label").alias("batch_label"))
+
+
 @query(sql.SESSIONS + "SELECT r.seq, s.id AS session_id FROM bench r LEFT JOIN LATERAL (SELECT id FROM log WHERE log.unit = r.unit AND started_us <= r.ts_us ORDER BY started_us DESC, id DESC LIMIT 1) s ON true")
 def session_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_sessions(bench_readings(spark, sf_dir), bench_sessions(spark, sf_dir)).select("seq", F.col("session.id").alias("session_id"))

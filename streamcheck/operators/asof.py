@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RAW_AGE_US = 30_000_000
@@ -56,6 +56,47 @@ def session_intervals(sessions: DataFrame) -> DataFrame:
     return log.where("_from_us < _to_us")
 
 
+BLOCK = 256
+
+
+def session_blocks(sessions: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((unit, starts), (unit, block, log)): each unit's sessions in order of start and id, cut into arrays of ``size``, and where those begin."""
+    fields = [c for c in sessions.columns if c != "unit"]
+    order = Window.partitionBy("unit").orderBy("started_us", F.col("id").cast("bigint"))
+    rows = sessions.where("unit is not null").select("unit", F.floor((F.row_number().over(order) - 1) / size).alias("block"), F.struct(F.col("started_us").alias("at"), F.col("id").cast("bigint").alias("tie"), F.struct(*fields).alias("session")).alias("s"))
+    blocks = rows.groupBy("unit", "block").agg(F.sort_array(F.collect_list("s")).alias("log"))
+    starts = blocks.select("unit", F.struct(F.col("log")[0]["at"].alias("at"), "block").alias("s")).groupBy("unit").agg(F.sort_array(F.collect_list("s")).alias("starts"))
+    return starts, blocks
+
+
+def not_after(items: Column, ts: Column) -> Column:
+    """How many of the structs of a sorted array have ``at`` not after ``ts``: a search by halves."""
+    low, high = F.lit(0), F.size(items)
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        fits = F.try_element_at(items, F.greatest(middle, F.lit(1)))["at"] <= ts
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(~done & fits, middle).otherwise(s["lo"]).alias("lo"), F.when(~done & ~fits, middle - 1).otherwise(s["hi"]).alias("hi"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(items) + 1)).cast("int"))
+    return F.when(items.isNull() | ts.isNull(), 0).otherwise(F.aggregate(rounds, F.struct(low.alias("lo"), high.alias("hi")), step)["lo"])
+
+
+def session_lookup(readings: DataFrame, sessions: DataFrame, size: int = BLOCK) -> DataFrame:
+    """As ``session_asof``, by two equi-joins with a small log and searches in sorted arrays.
+
+    A reading meets its unit's block starts and then one block: no condition on times is left to a join, and
+    a unit's many readings are not brought together.  The log may be a table while readings are a stream.
+    """
+    starts, blocks = session_blocks(sessions, size)
+    starts, blocks = starts.withColumnRenamed("unit", "_unit"), blocks.withColumnsRenamed({"unit": "_u", "block": "_b"})
+    at = readings.join(starts, F.col("unit") == F.col("_unit"), "left").withColumn("_block", not_after(F.col("starts"), F.col("ts_us")) - 1).drop("_unit", "starts")
+    held = at.join(blocks, (F.col("unit") == F.col("_u")) & (F.col("_block") == F.col("_b")), "left")
+    n = not_after(F.col("log"), F.col("ts_us"))
+    return held.withColumn("session", F.when(n > 0, F.try_element_at("log", F.greatest(n, F.lit(1)))["session"])).drop("_u", "_b", "_block", "log")
+
+
 def in_session(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     """Readings that fall into a session."""
     return session_asof(readings, sessions).where(F.col("session").isNotNull())

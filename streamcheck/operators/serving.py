@@ -36,12 +36,13 @@ def quality_window(validated: DataFrame, now_us: int, window_us: int = 86_400_00
 def reading_rate(validated: DataFrame, window_us: int = 300_000_000, step_us: int = 30_000_000) -> DataFrame:
     """Readings per second of each stream and verdict in sliding windows (start, start + window].
 
-    Every reading falls into window / step windows, so the expansion is a fixed factor.
+    Readings are counted in panes of a step first, which combines before the shuffle; a pane falls into
+    window / step windows.
     """
     first = F.floor((F.col("ts_us") - window_us) / step_us) + 1
-    starts = F.sequence(first, first + (window_us // step_us - 1))
-    spread = validated.select(*STREAM, "quality", F.explode(starts).alias("k"))
-    return spread.groupBy(*STREAM, "quality", ((F.col("k") + 0) * step_us + window_us).alias("tick_us")).agg((F.count("*") / (window_us / 1e6)).alias("per_second"))
+    counted = validated.groupBy(*STREAM, "quality", first.alias("pane")).agg(F.count("*").alias("n"))
+    spread = counted.select(*STREAM, "quality", "n", F.explode(F.sequence("pane", F.col("pane") + (window_us // step_us - 1))).alias("k"))
+    return spread.groupBy(*STREAM, "quality", (F.col("k") * step_us + window_us).alias("tick_us")).agg((F.sum("n") / (window_us / 1e6)).alias("per_second"))
 
 
 def last_reading_age(readings: DataFrame, now_us: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from streamcheck.config import DURATION, MetricConfig, ValidatorConfig, number_text
 from streamcheck.functions import rules
 from streamcheck.operators import panes
-from streamcheck.operators.asof import session_intervals
+from streamcheck.operators.asof import session_lookup
 from streamcheck.operators.tier1 import resolve_config
 from streamcheck.sources.store import store_batch
 from streamcheck.storage import CommittedTable
@@ -142,12 +142,10 @@ def pair_stream(readings: DataFrame, value_metric: str = "moisture", raw_metric:
 def join_sessions(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     """A stream of readings (unit, ts_us, ...) with the session of a stored log that each falls into, else null.
 
-    The log's sessions become intervals that do not overlap, so the join is on the unit and one
-    interval matches at most: stateless, and the log is read again for every micro-batch.
+    Stateless: equi-joins and a search in the unit's sorted sessions (``asof.session_lookup``); the log is
+    read again for every micro-batch.
     """
-    log = session_intervals(sessions).withColumnRenamed("unit", "_unit")
-    inside = (F.col("unit") == F.col("_unit")) & (F.col("ts_us") >= F.col("_from_us")) & (F.col("ts_us") < F.col("_to_us"))
-    return readings.join(log, inside, "left").drop("_unit", "_from_us", "_to_us")
+    return session_lookup(readings, sessions)
 
 
 def persist_batches(path: str, counters: str | None = None, late: str | None = None, kept_panes: str | None = None, config: ValidatorConfig | None = None, stream: str = "stream") -> Callable[[DataFrame, int], None]:

@@ -20,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamcheck.llm.shared import Scratch
+
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 FEED = 1 << 16
+ARCHIVE_RECORDS = 100_000
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 
 
@@ -48,13 +51,15 @@ def http_head(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_records: int = ARCHIVE_RECORDS) -> None:
     """Write one record per row under ``path``: the payload is the html in UTF-8 (null: empty).
 
     Of rows whose equal payloads have at least ``revisit_bytes``, that with the smallest id is a
     response and the others revisit it; smaller payloads are all responses.  Rows that repeat
     an id and a payload are responses of their own; a row without an id revisits one that has.
-    Payloads are compressed before the one shuffle that carries them, which is keyed by id.
+    Payloads are compressed before the one shuffle that carries them, which is keyed by id.  An archive
+    has at most ``archive_records`` records.  The first ids of digests are a written table, so that rows of a
+    very frequent digest (pages without text) can be dealt over tasks where they meet it.
     """
 
     def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +90,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     html = F.coalesce(F.col(html_col), F.lit(""))
     ids = pages.schema[id_col].dataType.simpleString()
     seen = pages.select(F.col(id_col).alias("id"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("bigint").alias("size")).where(F.col("size") >= revisit_bytes)
-    first = seen.groupBy("sha1").agg(F.min("id").alias("refers"))
+    first = Scratch(pages.sparkSession, "warc-first").write(seen.groupBy("sha1").agg(F.min("id").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     revisits = seen.join(first, "sha1").where(F.col("refers").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers"))).select(F.col("id").alias("r_id"), F.col("sha1").alias("r_sha1"), "size", "refers").distinct()
     made = pages.select(id_col, url_col, html_col).mapInArrow(responses, f"id {ids}, url string, sha1 string, member binary")
     joined = made.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left")
     rows = joined.select("id", "url", "sha1", "size", "refers", F.col("r_sha1").isNotNull().alias("revisit"), F.when(F.col("r_sha1").isNull(), F.col("member")).alias("member"))
-    rows.mapInArrow(lines, "line binary").select(F.col("line").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\0").text(path)
+    rows.mapInArrow(lines, "line binary").select(F.col("line").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", archive_records).text(path)
 
 
 class Damaged(Exception):

@@ -146,3 +146,11 @@ def test_salvage_inside_a_member():
     found = list(salvage(cut + good))
     assert [x.fields["warc-record-id"] for x in found if not isinstance(x, tuple)] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>"]
     assert [x[:2] for x in found if isinstance(x, tuple)] == [(0, len(cut))]
+
+
+def test_archives_are_bounded_and_one_digest_may_hold_most_pages(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"http://h/{k}", "" if k % 3 else f"<p>{k}</p>") for k in range(300)], "page_id long, url string, html string").repartition(1)
+    write_warc(df, str(tmp_path / "w"), archive_records=40)
+    assert len(list((tmp_path / "w").glob("part-*"))) >= 8
+    got = {r.page_id: (r.record_type, r.refers_to) for r in page_records(read_warc(spark, str(tmp_path / "w"))).collect()}
+    assert got == {k: ("revisit", 1) if k % 3 and k != 1 else ("response", None) for k in range(300)}

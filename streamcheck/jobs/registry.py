@@ -215,6 +215,11 @@ def quarantine_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantined(spark, sf_dir).select("source", "metric", "tick_us", "is_quarantined", "quarantined_us", F.col("consecutive_bad").cast("int").alias("consecutive_bad"), F.col("consecutive_recovery").cast("int").alias("consecutive_recovery"), "transition")
 
 
+@query(sql.verdicts(False) + sql.HEALTH_TICKS + sql.QUARANTINE + "SELECT source, metric, tick_us, 'Health score below 60 for 60+ seconds' AS reason FROM machine WHERE q")
+def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantined(spark, sf_dir).where("is_quarantined").select("source", "metric", "tick_us", F.col("quarantine_reason").alias("reason"))
+
+
 @query(sql.verdicts(False) + sql.HEALTH_TICKS + sql.QUARANTINE + "SELECT source, metric, count(*) FILTER (WHERE transition = 'entered') AS entered, count(*) FILTER (WHERE transition = 'recovered') AS recovered, count(*) FILTER (WHERE q) AS ticks_quarantined, count(*) AS ticks FROM machine GROUP BY ALL")
 def quarantine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine.quarantine_events(quarantined(spark, sf_dir))

@@ -47,7 +47,7 @@ def quarantine_history(scores: DataFrame, config: ValidatorConfig, tick: str = "
         "_fine": F.max(F.when(fine, F.col("_row"))).over(so_far),
     })
     held = F.when(F.coalesce("_fine", F.lit(0)) > F.col("_entry.row"), F.lit(0)).otherwise(F.lit(n))  # until a score counts towards recovery
-    reason = F.format_string("Health score below %s for %d+ seconds", F.lit(config.bad_threshold).cast("int").cast("string"), F.lit(config.check_interval * config.consecutive // SECOND).cast("bigint"))
+    reason = F.format_string("Health score below %s for %d+ seconds", F.lit(config.bad_threshold).cast("int").cast("string"), F.lit(config.check_interval // SECOND * config.consecutive).cast("bigint"))
     out = state.withColumns({
         "is_quarantined": quarantined,
         "quarantined_us": F.when(quarantined, F.col("_entry.t")),

@@ -30,9 +30,27 @@ def test_csv_report(spark, tmp_path):
     assert r.flagged_rules == {"stuck_reading": 2} and r.health.readings_in_window == 100 and r.quarantined == 0
     assert abs(r.health.quality_rate - 0.98) < 1e-9 and r.health.reporting_cadence == 1 and r.health.recency == 1
     assert [x.ts_us // SECOND % 3600 for x in flagged.orderBy("ts_us").collect()] == [22 * 60 + 30, 23 * 60]
+    assert abs(r.health.overall - 99.3) < 1e-9 and round(r.good_pct, 1) == 98.0 and round(r.suspect_pct, 1) == 2.0
     assert store.report_json(out).first().json.startswith('{"metric":"value"')
 
 
+def test_noisy_csv_report(spark, tmp_path):
+    """200 rows: eight equal ones, a gap, a spike and the step back from it, a slow ramp at the end."""
+    with open(tmp_path / "n.csv", "w") as f:
+        f.write("timestamp,sensor,value\n")
+        for i in range(200):
+            v = 999.0 if i == 120 else 72.0 if 50 <= i <= 57 else 70 + 0.5 * max(0, i - 149) + math.sin(i)
+            t = 10 * 3600 + 30 * i + (300 if i >= 80 else 0)
+            f.write(f"2026-05-16T{t // 3600:02}:{t // 60 % 60:02}:{t % 60:02}Z,bed/1,{v:.2f}\n")
+    out, flagged = csv.csv_report(spark, str(tmp_path / "n.csv"), low=-40.0, high=200.0)
+    (r,) = out.collect()
+    assert (r.total, r.good, r.suspect, r.invalid) == (200, 195, 4, 1) and (r.good_pct, r.suspect_pct, r.invalid_pct) == (97.5, 2.0, 0.5)
+    assert r.flagged_rules == {"stuck_reading": 3, "value_range": 1, "rate_of_change": 1} and r.health.readings_in_window == 120
+    clock = lambda us: f"{us // SECOND // 3600 % 24}:{us // SECOND // 60 % 60:02}:{us // SECOND % 60:02}"
+    assert [(clock(x.ts_us), x.rule) for x in flagged.orderBy("ts_us").collect()] == [("10:27:30", "stuck_reading"), ("10:28:00", "stuck_reading"), ("10:28:30", "stuck_reading"), ("11:05:00", "value_range"), ("11:05:30", "rate_of_change")]
+    assert [x.reason for x in flagged.orderBy("ts_us").collect()][3] == "value = 999.00 outside plausible range [-40, 200]"
+
+
 def write(path, text):
     path.write_text(text)
     return str(path)

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamcheck.operators.anchor import STREAM
@@ -258,16 +258,16 @@ def entry_anchors(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(ordered.mapInArrow(chunk_entries, "source string, metric string, _chunk bigint, entry_v double, entry_us bigint"), "entries")
 
 
-def in_chunks(df: DataFrame, history: int, chunk_rows: int, tol: Column) -> DataFrame:
+def in_chunks(df: DataFrame, history: int, chunk_rows: int) -> DataFrame:
     """The readings with ``_chunk``, ``_i`` and ``_halo``, and beside them each chunk's halo.
 
-    Streams where ``tol`` is null get the last ``history`` readings before the chunk.  The others get one row:
+    Streams whose ``_tol`` is null get the last ``history`` readings before the chunk.  The others get one row:
     its value and ts_us are the anchor at the chunk's beginning, ``_then_value`` and ``_then_us`` the last reading's.
     Order by ``_i`` within (source, metric, _chunk).
     """
     size = max(chunk_rows, history, 1)
     scratch = Scratch(df.sparkSession, "chunks")
-    rows = numbered(df.withColumn("_tol", tol), scratch)
+    rows = numbered(df, scratch)
     rows = rows.withColumns({"_chunk": F.floor(F.col("_i") / size), "_halo": F.lit(False), "_then_value": F.col("value"), "_then_us": F.col("ts_us")})
     place = F.col("_i") % size
     before = rows.where(F.col("_tol").isNull() & (place >= size - max(history, 1))).withColumns({"_chunk": F.col("_chunk") + 1, "_halo": F.lit(True)})

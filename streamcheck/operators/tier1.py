@@ -102,10 +102,14 @@ def with_rules(df: DataFrame, config: ValidatorConfig, chunk_rows: int | None =
     if giants is None:
         return ruled
     history = max([1, *(m.history for m in config.all_metrics() if m.stuck_mode != DURATION)])
-    spread = in_chunks(known.join(giants, list(STREAM)).select(*known.columns), history, chunk_rows, tol)
+    # The settings stay out of the shuffles: chunks need the tolerance alone, and rules meet the settings afterwards.
+    spread = in_chunks(known.join(giants, list(STREAM)).withColumn("_tol", tol).select(*df.columns, "_tol"), history, chunk_rows)
     order = Window.partitionBy(*STREAM, "_chunk").orderBy("_i")
-    far = _ruled(spread, config, order, "_then_value", "_then_us").where("not _halo")
-    return ruled.unionByName(far.select(*ruled.columns))
+    far = with_history(spread, config, order, "_then_value", "_then_us")
+    if by_time(config):
+        far = prior_anchors(far, "_tol", order)
+    far = resolve_config(far.where("not _halo"), config)
+    return ruled.unionByName(far.withColumns(rule_columns(far, config)).select(*ruled.columns))
 
 
 def reason() -> Column:

@@ -6,21 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RAW_AGE_US = 30_000_000
+PAIR_US = 3_600_000_000
 
 
-def raw_pairing(readings: DataFrame, value_metric: str = "moisture", raw_metric: str = "moisture_raw", limit_us: int = RAW_AGE_US) -> DataFrame:
+def with_halo(df: DataFrame, width_us: int, before_us: int) -> DataFrame:
+    """The rows with ``_cell``, their piece of ``width_us`` of time, and again (``_halo``) those of the last ``before_us`` of a piece, in the next piece.
+
+    ``before_us`` must not be over ``width_us``.  Nothing is shuffled; rows without a time have no cell and no copy.
+    """
+    cell = F.floor(F.col("ts_us") / width_us)
+    near_end = F.col("ts_us") - cell * width_us >= width_us - before_us
+    places = F.when(near_end, F.array(F.struct(cell.alias("c"), F.lit(False).alias("h")), F.struct((cell + 1).alias("c"), F.lit(True).alias("h"))))
+    return df.withColumn("_p", F.explode(F.coalesce(places, F.array(F.struct(cell.alias("c"), F.lit(False).alias("h")))))).withColumns({"_cell": F.col("_p.c"), "_halo": F.col("_p.h")}).drop("_p")
+
+
+def raw_pairing(readings: DataFrame, value_metric: str = "moisture", raw_metric: str = "moisture_raw", limit_us: int = RAW_AGE_US, width_us: int = PAIR_US) -> DataFrame:
     """Each ``value_metric`` reading takes the raw count that came directly before it, if under ``limit_us`` old.
 
     readings: source, metric, value, ts_us, seq, with bad payloads dropped.  A raw count is used
     once, and a newer one replaces it, so only the row directly before can match.  Ages are
     whole seconds.  Returns the value readings with ``raw_value``.
+
+    A row over ``limit_us`` old cannot match, so a source is cut in pieces of time that each know
+    the last ``limit_us`` before them: one shuffle by source and piece, and no task holds a whole source.
     """
-    both = readings.where(F.col("metric").isin(value_metric, raw_metric))
-    order = Window.partitionBy("source").orderBy("ts_us", "seq")
+    both = with_halo(readings.where(F.col("metric").isin(value_metric, raw_metric)), max(width_us, limit_us), limit_us)
+    order = Window.partitionBy("source", "_cell").orderBy("ts_us", "seq")
     before = both.withColumns({"_m": F.lag("metric").over(order), "_v": F.lag("value").over(order), "_t": F.lag("ts_us").over(order)})
     age = F.floor((F.col("ts_us") - F.col("_t")) / 1_000_000)
     fits = (F.col("_m") == raw_metric) & (age < limit_us // 1_000_000)
-    return before.where(F.col("metric") == value_metric).withColumn("raw_value", F.when(fits, F.col("_v").try_cast("bigint"))).drop("_m", "_v", "_t")
+    return before.where((F.col("metric") == value_metric) & ~F.col("_halo")).withColumn("raw_value", F.when(fits, F.col("_v").try_cast("bigint"))).drop("_m", "_v", "_t", "_cell", "_halo")
 
 
 def own_raw(readings: DataFrame, metric: str = "raw_adc") -> DataFrame:
@@ -34,7 +49,8 @@ def session_asof(readings: DataFrame, sessions: DataFrame) -> DataFrame:
 
     readings: unit, ts_us, ...; sessions: unit, id, started_us, ....  Both go into one table and
     the last session is carried forward, so there is one shuffle by unit and no range join.  Of
-    sessions that start together the highest id holds.
+    sessions that start together the highest id holds.  A unit is one task's: where one has very
+    many readings, ``session_lookup`` gives the same rows without bringing them together.
     """
     fields = [c for c in sessions.columns if c != "unit"]
     log = sessions.select("unit", F.col("started_us").alias("_t"), F.lit(0).alias("_side"), F.col("id").cast("bigint").alias("_tie"), F.struct(*fields).alias("_s"))
@@ -99,4 +115,4 @@ def session_lookup(readings: DataFrame, sessions: DataFrame, size: int = BLOCK)
 
 def in_session(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     """Readings that fall into a session."""
-    return session_asof(readings, sessions).where(F.col("session").isNotNull())
+    return session_lookup(readings, sessions).where(F.col("session").isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamcheck.functions import rules
@@ -17,29 +17,36 @@ def stale_gauge(validated: DataFrame, start_us: int, end_us: int, step_us: int =
     The value is the last good one, unless a tick since then found the last reading of any
     verdict older than the timeout (then it is removed until the next good reading).  The raw
     value is that of the last good row that had one, and goes with it.  Readings come before a
-    tick of the same instant.  Ticks and readings go through one running window.
+    tick of the same instant; those without a time are not looked at.
+
+    Readings between two ticks become one row (its latest time, its last good values) that is combined
+    before the shuffle; windows run over these rows, at most one for each tick that saw a new reading, and the
+    ticks until the next one are laid out last.
     """
-    first = validated.groupBy(*STREAM).agg(F.min("ts_us").alias("first_us"))
-    ticks = first.select(*STREAM, "first_us", F.explode(F.sequence(F.lit(start_us), F.lit(end_us), F.lit(step_us))).alias("at")).where("at >= first_us").select(*STREAM, "at", F.lit(1).alias("side"))
-    good = F.col("quality") == rules.GOOD
-    rows = validated.select(
-        *STREAM, F.col("ts_us").alias("at"), F.lit(0).alias("side"), "seq",
-        F.when(good, F.struct("value", F.col("ts_us").alias("t"))).alias("g"),
-        F.when(good & F.col("raw_value").isNotNull(), F.struct("raw_value", F.col("ts_us").alias("t"))).alias("graw"),
+    good, at, until = F.col("quality") == rules.GOOD, F.col("ts_us"), end_us - (end_us - start_us) % step_us
+    tick = F.lit(start_us) + F.greatest(F.ceil((at - start_us) / step_us), F.lit(0)) * step_us
+    panes = validated.where(at <= until).groupBy(*STREAM, tick.alias("tick")).agg(
+        F.max(at).alias("last_us"),
+        F.max_by(F.when(good, F.struct("value", at.alias("t"))), F.when(good, F.struct(at, "seq"))).alias("g"),
+        F.max_by(F.struct("raw_value", at.alias("t")), F.when(good & F.col("raw_value").isNotNull(), F.struct(at, "seq"))).alias("graw"),
     )
-    order = Window.partitionBy(*STREAM).orderBy("at", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(ticks, allowMissingColumns=True)
-    seen = both.withColumns({
-        "last_us": F.max(F.when(F.col("side") == 0, F.col("at"))).over(order),
-        "g": F.last("g", ignorenulls=True).over(order),
-        "graw": F.last("graw", ignorenulls=True).over(order),
+    order = Window.partitionBy(*STREAM).orderBy("tick")
+    so_far, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    held = panes.withColumns({
+        "last_us": F.max("last_us").over(so_far),
+        "g": F.last("g", ignorenulls=True).over(so_far),
+        "graw": F.last("graw", ignorenulls=True).over(so_far),
+        "to": F.coalesce(F.lead("tick").over(order) - step_us, F.lit(until)),
     })
-    stale = (F.col("side") == 1) & (F.col("at") - F.col("last_us") > timeout_us)
-    gone = seen.withColumn("removed_us", F.max(F.when(stale, F.col("at"))).over(order))
+    # The last tick before the next reading is the first to tell whether the value was removed meanwhile.
+    removed = held.withColumn("removed_us", F.max(F.when(F.col("to") - F.col("last_us") > timeout_us, F.col("to"))).over(earlier))
+    ticks = removed.withColumn("tick_us", F.explode(F.sequence("tick", "to", F.lit(step_us))))
+    fresh = F.col("tick_us") - F.col("last_us") <= timeout_us
+
+    def shown(name: str, field: str) -> Column:
+        return F.when(fresh & (F.col(f"{name}.t") > F.coalesce("removed_us", F.lit(-(2**62)))), F.col(f"{name}.{field}")).alias(field)
 
-    # A reading at the instant of a removing tick stands before it, so only later ones restore the value.
-    strict = {"value": F.when((F.col("removed_us").isNull()) | (F.col("g.t") > F.col("removed_us")), F.col("g.value")), "raw_value": F.when((F.col("graw.t") > F.coalesce("removed_us", F.lit(-(2**62)))), F.col("graw.raw_value"))}
-    return gone.where("side = 1").withColumns(strict).select(*STREAM, F.col("at").alias("tick_us"), "value", "raw_value", ((F.col("at") - F.col("last_us")) / 1e6).alias("age_s"))
+    return ticks.select(*STREAM, "tick_us", shown("g", "value"), shown("graw", "raw_value"), ((F.col("tick_us") - F.col("last_us")) / 1e6).alias("age_s"))
 
 
 def gauge_pivot(gauges: DataFrame, metrics: list[str]) -> DataFrame:

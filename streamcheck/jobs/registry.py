@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -434,6 +435,17 @@ def stored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_readings(spark, path).select("source", "metric", "seq", "value", "raw_adc", "quality", F.col("validation_reason").isNull().alias("plain"))
 
 
+@query(sql.verdicts(False) + "SELECT seq, source, metric, quality, rule FROM v")
+def laid_out_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on a table in buckets of streams that two batches filled and a compaction put together: no shuffle."""
+    scratch, name = Scratch(spark, "layout"), f"readings_{uuid.uuid4().hex}"
+    readings = event_readings(spark, sf_dir)
+    for half in (0, 1):
+        store.lay_out(readings.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == half), name, scratch.path("batches"), buckets=16)
+    store.compact_layout(spark, name, scratch.path("compacted"))
+    return tier1.validate_readings(spark.table(name), event_config()).select("seq", "source", "metric", "quality", "rule")
+
+
 @query(sql.verdicts(False) + "SELECT metric, count(*) AS total, count(*) FILTER (WHERE quality = 'good') AS good, count(*) FILTER (WHERE rule = 'rate_of_change') AS rates FROM v GROUP BY metric")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = store.report_json(report.metric_report(verdicts(spark, sf_dir)))

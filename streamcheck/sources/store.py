@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamcheck.functions import rules
+from streamcheck.operators.anchor import STREAM
 from streamcheck.storage import CommittedTable
 
 
@@ -38,6 +39,28 @@ def compact_readings(spark: SparkSession, path: str) -> None:
     CommittedTable(spark, path).compact(READINGS, "zone", "day")
 
 
+def lay_out(readings: DataFrame, name: str, path: str, buckets: int = 256) -> None:
+    """Append readings (source, metric, ts_us, seq, ...) to the table ``name`` at ``path``, in buckets of streams.
+
+    A bucket's rows are sorted by stream and time, one file for each bucket and call.  What goes by stream (validation,
+    scores, latest readings) reads the table without a shuffle, and a stream's history skips row groups.
+    ``buckets`` holds from the first call on; take as many as tasks that shall work side by side.
+    """
+    dealt = readings.repartition(buckets, *STREAM)
+    dealt.write.format("parquet").bucketBy(buckets, *STREAM).sortBy(*STREAM, "ts_us", "seq").mode("append").option("path", path).saveAsTable(name)
+
+
+def compact_layout(spark: SparkSession, name: str, path: str) -> None:
+    """Write a laid-out table anew at ``path``, one file for each bucket, and turn the table's name to it; the old files stay for those who read them."""
+    spec = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    staged = f"{name}_compacted"
+    # Read as plain files: over the table itself the planner leaves out the shuffle by buckets, and then the buckets too.
+    lay_out(spark.read.schema(spark.table(name).schema).parquet(spec["Location"]), staged, path, int(spec["Num Buckets"]))
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    spark.sql(f"DROP TABLE {staged}")  # the name alone: its files have a path of their own
+    spark.catalog.refreshTable(name)
+
+
 def append_sessions(sessions: DataFrame, path: str) -> None:
     """S18."""
     sessions.write.mode("append").parquet(path)

@@ -14,8 +14,9 @@ The corpus is a sequence of line ids, cut at document ends.
    maximal repeated run is as long as the deepest interval that holds an earlier place.  A pass
    over each range partition with a stack finds it among the partition's places; what the partitions
    before and after have is one short staircase for each (the least place by lines shared with the
-   partition's edge, at most as many steps as the longest repeated run has lines), carried along
-   on the driver.
+   partition's edge, at most as many steps as the longest repeated run has lines).  These are passed
+   on from range to range by a task that holds one of them at a time, and meet the few places that
+   have no smaller one in their range; the driver sees none.
 
 A run of at least ``least_bytes`` bytes is a copy of an earlier one, and its lines go.
 """
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamcheck.llm.shared import Scratch
@@ -36,6 +37,8 @@ from streamcheck.llm.shared import Scratch
 #: A repeated run of fewer bytes, line feeds not counted, stays: blank lines, brackets, short answers.
 LEAST_BYTES = 32
 WHOLE = 1 << 60
+#: A task of the interval pass holds its range: this many suffixes on the average, or fewer.
+RANGE_ROWS = 4_000_000
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -232,6 +235,7 @@ def stairs(stack: list[tuple[int, int]], shared: int) -> list[tuple[int, int]]:
 
 
 Stairs = list[tuple[int, tuple[int, int, int]]]
+STAIRS = "part bigint, lines array<bigint>, id array<bigint>, fp array<bigint>, pos array<bigint>"
 
 
 def lower(old: Stairs, most: int, new: Stairs) -> Stairs:
@@ -245,7 +249,51 @@ def lower(old: Stairs, most: int, new: Stairs) -> Stairs:
 
 def reach(steps: Stairs, place: tuple[int, int, int]) -> int:
     """The most lines shared with a place before ``place``."""
-    return next((lines for lines, p in steps if p < place), 0)
+    lo, hi = 0, len(steps)  # places fall along the steps: the first that is smaller
+    while lo < hi:
+        middle = (lo + hi) // 2
+        if steps[middle][1] < place:
+            hi = middle
+        else:
+            lo = middle + 1
+    return steps[lo][0] if lo < len(steps) else 0
+
+
+def passed_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, staircase that comes to it): staircases go from range to range, one is held at a time.
+
+    Rows come range by range in the order of passing, each range's least lcp (kind 3) before its own steps.
+    """
+    held: Stairs = []
+    now, least, own = None, 0, []
+
+    def told(part: int) -> dict:
+        return {"part": part, "lines": [n for n, _ in held]} | {k: [p[i] for _, p in held] for i, k in enumerate(PLACE)}
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["part"] != now:
+                held = lower(held, least, own)
+                now, own = r["part"], []
+                out.append(told(now))
+            if r["kind"] == 3:
+                least = r["lines"]
+            else:
+                own.append((r["lines"], (r["id"], r["fp"], r["pos"])))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int64()), *((k, pa.list_(pa.int64())) for k in ["lines", *PLACE])]))
+
+
+def meet(rows: pa.Table, behind: pa.Table, ahead: pa.Table) -> pa.Table:
+    """The rows of a range that no smaller place of it precedes on some side, with what the staircases from both sides tell."""
+    steps = []
+    for found in (behind, ahead):
+        kept = found.to_pylist()
+        steps.append([(n, p) for r in kept for n, p in zip(r["lines"], zip(r["id"], r["fp"], r["pos"], strict=True), strict=True)])
+    places = zip(*(rows[k].to_pylist() for k in PLACE), strict=True)
+    best = [max(n, min(h, reach(steps[0], p)), min(t, reach(steps[1], p))) for p, n, h, t in zip(places, *(rows[k].to_pylist() for k in ("lines", "head", "tail")), strict=True)]
+    return pa.table({k: rows[k] for k in PLACE} | {"lines": pa.array(best, pa.int64())})
 
 
 def earlier_runs(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -269,33 +317,26 @@ def earlier_runs(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
         yield pa.RecordBatch.from_pydict({k: pa.array(c[rows]) for k, c in zip(PLACE, columns, strict=True)} | {"part": pa.array(np.full(len(kinds), part)), "kind": pa.array(kinds, pa.int64()), "lines": pa.array(best, pa.int64()), "head": pa.array(left + extra, pa.int64()), "tail": pa.array(right + extra, pa.int64())})
 
     names = [*PLACE, "part", "kind", "lines", "head", "tail"]
-    ordered = prefixes.repartitionByRange("part", "at").sortWithinPartitions("part", "at").select(*PLACE, "lcp")
+    ranges = -(-prefixes.count() // RANGE_ROWS)  # read from footers
+    dealt = prefixes.repartitionByRange(ranges, "part", "at") if ranges > int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")) else prefixes.repartitionByRange("part", "at")
+    ordered = dealt.sortWithinPartitions("part", "at").select(*PLACE, "lcp")
     found = scratch.write(ordered.mapInArrow(local, ", ".join(f"{k} bigint" for k in names)), "runs-local")
-    edges: dict[int, dict[int, list]] = {}
-    for r in found.where("kind > 0").collect():  # the staircases of each partition
-        edges.setdefault(r.part, {1: [], 2: [], 3: []})[r.kind].append((r.lines, (r.id, r.fp, r.pos)))
-    parts, ahead, behind = sorted(edges), {}, {}
-    steps: Stairs = []
-    for p in parts:
-        behind[p] = steps
-        steps = lower(steps, edges[p][3][0][0], edges[p][1])
-    steps = []
-    for p in reversed(parts):
-        ahead[p] = steps
-        steps = lower(steps, edges[p][3][0][0], edges[p][2])
+    known, opened = F.greatest("head", "tail") <= 0, found.where("kind = 0 and greatest(head, tail) > 0")
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy() for i in range(len(names))]
-            part, lines, head, tail = columns[3], columns[5].copy(), columns[6], columns[7]
-            for i in np.flatnonzero((head > 0) | (tail > 0)).tolist():
-                place, p = tuple(int(c[i]) for c in columns[:3]), int(part[i])
-                lines[i] = max(int(lines[i]), min(int(head[i]), reach(behind[p], place)), min(int(tail[i]), reach(ahead[p], place)))
-            yield pa.RecordBatch.from_pydict({k: pa.array(c) for k, c in zip(PLACE, columns, strict=False)} | {"lines": pa.array(lines)}).filter(pa.array(lines > 0))
+    def staircases(kind: int, *order: Column) -> DataFrame:
+        edges = found.where(F.col("kind").isin(kind, 3)).select("part", "kind", "lines", *PLACE)
+        return edges.repartition(1).sortWithinPartitions(*order, F.desc("kind")).mapInArrow(passed_on, STAIRS)
+
+    behind = scratch.write(staircases(1, F.asc("part")), "stairs-behind")
+    ahead = scratch.write(staircases(2, F.desc("part")), "stairs-ahead")
+    both = behind.withColumn("side", F.lit(0)).unionByName(ahead.withColumn("side", F.lit(1)))
+
+    def joined(rows: pa.Table, stairs: pa.Table) -> pa.Table:
+        side = stairs["side"].to_numpy()
+        return meet(rows, stairs.filter(pa.array(side == 0)), stairs.filter(pa.array(side == 1)))
 
-    return found.where("kind = 0").select(*names).mapInArrow(joined, "id bigint, fp bigint, pos bigint, lines bigint")
+    told = opened.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(joined, "id bigint, fp bigint, pos bigint, lines bigint")
+    return found.where((F.col("kind") == 0) & known).select(*PLACE, "lines").unionByName(told).where("lines > 0")
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = LEAST_BYTES, keep_text: bool = False) -> DataFrame:
@@ -317,7 +358,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefixes = scratch.write(common_prefixes(suffixes, scratch), "prefixes")
     runs = earlier_runs(prefixes, scratch)
     runs = scratch.write(runs.groupBy("id", "fp").agg(F.collect_list(F.struct("pos", "lines")).alias("runs")), "runs")
-    scratch.drop("order", "chained", "prefixes", "runs-local")
+    scratch.drop("order", "chained", "prefixes", "runs-local", "stairs-behind", "stairs-ahead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

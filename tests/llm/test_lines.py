@@ -5,10 +5,11 @@ import itertools
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from streamcheck.llm import queries
-from streamcheck.llm.lines import before_and_after, lower, reach, remove_lines
+from streamcheck.llm.lines import before_and_after, lower, passed_on, reach, remove_lines
 
 
 def brute(rows, least):
@@ -48,7 +49,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,least,parts", [(1, 1, 8), (2, 16, 3), (3, 60, 8)])
+@pytest.mark.parametrize("seed,least,parts", [(1, 1, 8), (2, 16, 3), (3, 60, 8), (4, 1, 40)])
 def test_equals_all_pairs(spark, seed, least, parts):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, pos int, fp string").repartition(5)
@@ -85,6 +86,24 @@ def test_intervals_over_cut_arrays(seed):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_staircases_pass_from_range_to_range(size):
+    """Whatever the batches, each range gets what the ranges before it have, and holds no other."""
+    rng = random.Random(size)
+    rows, want, steps = [], [], []
+    for part in sorted(rng.sample(range(100), 30)):
+        want.append((part, steps))
+        least, own = rng.randrange(0, 9), [(n, (rng.randrange(50), 0, n)) for n in sorted(rng.sample(range(1, 12), rng.randrange(0, 5)), reverse=True)]
+        steps = lower(steps, least, own)
+        rows += [{"part": part, "kind": 3, "lines": least, "id": 0, "fp": 0, "pos": 0}] + [{"part": part, "kind": 1, "lines": n, "id": i, "fp": f, "pos": p} for n, (i, f, p) in own]
+    batches = [pa.RecordBatch.from_pylist(rows[a : a + size]) for a in range(0, len(rows), size)]
+    got = [r for b in passed_on(iter(batches)) for r in b.to_pylist()]
+    assert [(r["part"], list(zip(r["lines"], zip(r["id"], r["fp"], r["pos"])))) for r in got] == want
+    for _, found in want:
+        for place in ((rng.randrange(50), 0, rng.randrange(12)) for _ in range(20)):
+            assert reach(found, place) == max((n for n, p in found if p < place), default=0)
+
+
 def test_long_repeats_and_no_rows(spark):
     df = spark.createDataFrame([(1, "\n".join(f"l{k}" for k in range(300))), (2, "new\n" + "\n".join(f"l{k}" for k in range(300)) + "\nend")], "doc_id long, text string")
     got = {r.doc_id: r for r in remove_lines(df, keep_text=True).collect()}

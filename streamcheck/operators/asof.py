@@ -44,20 +44,33 @@ def own_raw(readings: DataFrame, metric: str = "raw_adc") -> DataFrame:
     return readings.withColumn("raw_value", F.when(F.col("metric") == metric, own).otherwise(F.col("raw_value")))
 
 
-def session_asof(readings: DataFrame, sessions: DataFrame) -> DataFrame:
+def _carried(readings: DataFrame, log: DataFrame, *keys: str) -> DataFrame:
+    """The readings with ``session``: the last of the log's sessions at or before each, by ``keys``."""
+    rows = readings.select(*keys, F.col("ts_us").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), F.struct(*readings.columns).alias("_r"))
+    order = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    held = log.unionByName(rows, allowMissingColumns=True).withColumn("session", F.last("_s", ignorenulls=True).over(order))
+    return held.where("_side = 1").select("_r.*", "session")
+
+
+SESSION_US = 86_400_000_000
+
+
+def session_asof(readings: DataFrame, sessions: DataFrame, width_us: int = SESSION_US) -> DataFrame:
     """Each reading with the latest session of its unit that began at or before it, else nulls.
 
-    readings: unit, ts_us, ...; sessions: unit, id, started_us, ....  Both go into one table and
-    the last session is carried forward, so there is one shuffle by unit and no range join.  Of
-    sessions that start together the highest id holds.  A unit is one task's: where one has very
-    many readings, ``session_lookup`` gives the same rows without bringing them together.
+    readings: unit, ts_us, ...; sessions: unit, id, started_us, ....  Of sessions that start together the
+    highest id holds.  A unit's time is cut in pieces of ``width_us``.  The pieces that have readings, one
+    row each, first get the session that holds when they begin; then readings, sessions and these
+    go into one table and the last session is carried forward: one shuffle of readings, by unit and
+    piece, no range join, and no task holds a whole unit.
     """
     fields = [c for c in sessions.columns if c != "unit"]
     log = sessions.select("unit", F.col("started_us").alias("_t"), F.lit(0).alias("_side"), F.col("id").cast("bigint").alias("_tie"), F.struct(*fields).alias("_s"))
-    rows = readings.select("unit", F.col("ts_us").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), F.struct(*readings.columns).alias("_r"))
-    order = Window.partitionBy("unit").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    held = log.unionByName(rows, allowMissingColumns=True).withColumn("session", F.last("_s", ignorenulls=True).over(order))
-    return held.where("_side = 1").select("_r.*", "session")
+    cell = F.floor(F.col("ts_us") / width_us)
+    pieces = readings.select("unit", cell.alias("_cell")).distinct().withColumn("ts_us", F.col("_cell") * width_us - 1)
+    before = _carried(pieces, log, "unit").where("session is not null").select("unit", "_cell", F.col("ts_us").alias("_t"), F.lit(0).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), F.col("session").alias("_s"))
+    within = log.withColumn("_cell", F.floor(F.col("_t") / width_us))
+    return _carried(readings.withColumn("_cell", cell), before.unionByName(within), "unit", "_cell").drop("_cell")
 
 
 def session_intervals(sessions: DataFrame) -> DataFrame:
@@ -115,4 +128,4 @@ def session_lookup(readings: DataFrame, sessions: DataFrame, size: int = BLOCK)
 
 def in_session(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     """Readings that fall into a session."""
-    return session_lookup(readings, sessions).where(F.col("session").isNotNull())
+    return session_asof(readings, sessions).where(F.col("session").isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from streamcheck.config import MINUTE, SECOND, MetricConfig, ValidatorConfig
 from streamcheck.functions import rules
 from streamcheck.operators import tier1
-from streamcheck.operators.asof import raw_pairing
+from streamcheck.operators.asof import raw_pairing, session_asof
 from streamcheck.operators.gauges import stale_gauge
 from streamcheck.sources import store
 
@@ -49,6 +49,21 @@ def test_one_hot_source_is_spread_over_pieces(spark):
     assert most < 50_000 and plan.where("raw_value = 1").count() == 100_000
 
 
+def test_sessions_over_pieces_of_time_equal_a_look_at_the_whole_log(spark):
+    draw = random.Random(8)
+    log = [(draw.choice(["a", "b", None]), i, draw.randrange(-200, 400), f"b{i % 3}") for i in range(60)] + [("d", 99, 5, "only")]
+    rows = [(draw.choice(["a", "b", "c", "d", None]), draw.randrange(-300, 500), i) for i in range(600)] + [("a", None, 600)]
+    sessions = spark.createDataFrame(log, "unit string, id int, started_us bigint, batch_label string")
+    readings = spark.createDataFrame(rows, "unit string, ts_us bigint, seq int")
+    want = {seq: max(((at, i) for u, i, at, _ in log if u == unit and ts is not None and at <= ts), default=(None, None))[1] for unit, ts, seq in rows}
+    for width in (1, 7, 100, 10**6):
+        out = [(r.seq, r.session and r.session.id) for r in session_asof(readings, sessions, width).collect()]
+        assert len(out) == len(rows) and dict(out) == want
+    assert {r.session for r in session_asof(readings, sessions.limit(0)).collect()} == {None}
+    plan = session_asof(readings, sessions, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and sum("hashpartitioning(unit" in x and "_cell" not in x for x in plan.splitlines()) == 1  # the pieces alone
+
+
 def exported(rows, start, end, step, timeout):
     """The gauge as a process keeps it: readings set it, ticks remove what has gone stale."""
     out = []

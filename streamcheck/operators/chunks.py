@@ -15,37 +15,72 @@ there all goes as within the chunk.  Entries in the last intersection are the an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamcheck.operators.anchor import STREAM
 from streamcheck.storage import Scratch
 
 CHUNK_ROWS = 4_000_000
+#: Readings of a task, on the average, that sorts streams or ranges: shuffles get partitions by this, not by a setting.
+TASK_ROWS = 1_500_000
 
 
-def giant_streams(df: DataFrame, chunk_rows: int) -> DataFrame | None:
-    """(source, metric) of the streams of more than ``chunk_rows`` readings, None where there is none.
+@dataclass
+class StreamSizes:
+    """How many streams and readings there are, how many readings in giant streams, and (source, metric) of those, None where there is none.
+
+    ``keys`` are the parts of a stream's name that differ between streams: a part with one value may be
+    a literal, which the optimizer takes out of windows but not out of a shuffle that is to serve them.
+    """
+
+    streams: int
+    rows: int
+    in_giants: int
+    giants: DataFrame | None
+    keys: list[str]
+
 
-    One count, combined before its small shuffle.  There are at most rows / chunk_rows such streams.
+def stream_sizes(df: DataFrame, chunk_rows: int) -> StreamSizes:
+    """One count by stream, combined before its small shuffle.  At most rows / chunk_rows streams are giants, of more than ``chunk_rows`` readings."""
+    sizes = df.groupBy(*STREAM).agg(F.count("*").alias("n"))
+    giant = (F.col("n") > chunk_rows) & F.col("source").isNotNull() & F.col("metric").isNotNull()
+    totals = {"streams": F.count("*"), "rows": F.sum("n"), "in_giants": F.sum(F.when(giant, F.col("n"))), "giants": F.collect_list(F.when(giant, F.struct(*STREAM)))}
+    differ = {k: F.min(k) < F.max(k) for k in STREAM}
+    told = sizes.agg(*(c.alias(k) for k, c in (totals | differ).items())).first()
+    giants = df.sparkSession.createDataFrame(told.giants, "source string, metric string") if told.giants else None
+    return StreamSizes(told.streams, told.rows or 0, told.in_giants or 0, giants, [k for k in STREAM if told[k]])
+
+
+def tasks(spark: SparkSession, rows: int, groups: int) -> list[int]:
+    """The number of partitions for a shuffle of ``rows`` readings in ``groups`` that stay whole, as its first argument.
+
+    Few groups get more partitions than they are, so that seldom two meet.  Empty where one task could
+    hold all rows: Spark may choose.
     """
-    found = df.groupBy(*STREAM).agg(F.count("*").alias("n")).where((F.col("n") > chunk_rows) & F.col("source").isNotNull() & F.col("metric").isNotNull()).select(*STREAM).collect()
-    return df.sparkSession.createDataFrame(found, "source string, metric string") if found else None
+    return [max(-(-rows // TASK_ROWS), min(4 * groups, 8 * spark.sparkContext.defaultParallelism))] if rows > TASK_ROWS else []
+
+
+def held_by_stream(df: DataFrame) -> int:
+    """Into how many partitions by (source, metric) the rows come dealt already, as from ``store.lay_out``; 0 where they do not."""
+    dealt = df._jdf.queryExecution().sparkPlan().outputPartitioning()
+    return dealt.numPartitions() if re.fullmatch(r"hashpartitioning\(source#\d+, metric#\d+, \d+\)", dealt.toString()) else 0
 
 
-def numbered(df: DataFrame, scratch: Scratch) -> DataFrame:
+def numbered(df: DataFrame, scratch: Scratch, parts: list[int]) -> DataFrame:
     """The rows with ``_i``, their place in their stream from 0 on, in order of ts_us and seq.
 
     Rows are dealt by ranges and sorted there, so a stream is spread over tasks; a row's place is that
     in its range after the rows of the ranges before it.
     """
     spark, order = df.sparkSession, (*STREAM, "ts_us", "seq")
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    dealt = df.repartitionByRange(*parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     dealt = scratch.write(dealt, "ranges")
     part = F.shiftright("_id", 33)
     sizes = sorted((p, n) for p, n in dealt.groupBy(part.alias("p")).agg(F.count("*")).collect())  # a row for each range
@@ -246,32 +281,33 @@ def chunk_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("source", pa.string()), ("metric", pa.string()), ("_chunk", pa.int64()), ("entry_v", pa.float64()), ("entry_us", pa.int64())]))
 
 
-def entry_anchors(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def entry_anchors(rows: DataFrame, scratch: Scratch, parts: list[int]) -> DataFrame:
     """(source, metric, _chunk, entry_v, entry_us): the anchor before each chunk but the first.
 
     rows: source, metric, _chunk, _i, value, ts_us, _tol.  Chunks are gone through side by side; only their
     maps, a few numbers each where runs meet, come together by stream.
     """
-    cells = rows.select(*STREAM, "_chunk", "_i", "value", "ts_us", "_tol").repartition(*STREAM, "_chunk").sortWithinPartitions(*STREAM, "_chunk", "_i")
+    cells = rows.select(*STREAM, "_chunk", "_i", "value", "ts_us", "_tol").repartition(*parts, *STREAM, "_chunk").sortWithinPartitions(*STREAM, "_chunk", "_i")
     maps = scratch.write(cells.mapInArrow(chunk_maps, MAP), "maps")
     ordered = maps.repartition(*STREAM).sortWithinPartitions(*STREAM, "_chunk")
     return scratch.write(ordered.mapInArrow(chunk_entries, "source string, metric string, _chunk bigint, entry_v double, entry_us bigint"), "entries")
 
 
-def in_chunks(df: DataFrame, history: int, chunk_rows: int) -> DataFrame:
+def in_chunks(df: DataFrame, history: int, chunk_rows: int, n_rows: int) -> DataFrame:
     """The readings with ``_chunk``, ``_i`` and ``_halo``, and beside them each chunk's halo.
 
     Streams whose ``_tol`` is null get the last ``history`` readings before the chunk.  The others get one row:
     its value and ts_us are the anchor at the chunk's beginning, ``_then_value`` and ``_then_us`` the last reading's.
-    Order by ``_i`` within (source, metric, _chunk).
+    Order by ``_i`` within (source, metric, _chunk), by which rows are dealt; ``n_rows`` readings are expected.
     """
     size = max(chunk_rows, history, 1)
     scratch = Scratch(df.sparkSession, "chunks")
-    rows = numbered(df, scratch)
+    parts = tasks(df.sparkSession, n_rows, -(-n_rows // size))
+    rows = numbered(df, scratch, parts)
     rows = rows.withColumns({"_chunk": F.floor(F.col("_i") / size), "_halo": F.lit(False), "_then_value": F.col("value"), "_then_us": F.col("ts_us")})
     place = F.col("_i") % size
     before = rows.where(F.col("_tol").isNull() & (place >= size - max(history, 1))).withColumns({"_chunk": F.col("_chunk") + 1, "_halo": F.lit(True)})
-    entries = entry_anchors(rows.where("_tol is not null"), scratch)
+    entries = entry_anchors(rows.where("_tol is not null"), scratch, parts)
     last = rows.where(F.col("_tol").isNotNull() & (place == size - 1)).withColumns({"_chunk": F.col("_chunk") + 1, "_halo": F.lit(True)})
     carried = last.join(entries, [*STREAM, "_chunk"]).withColumns({"value": F.col("entry_v"), "ts_us": F.col("entry_us")}).select(*rows.columns)
-    return rows.unionByName(before).unionByName(carried)
+    return rows.unionByName(before).unionByName(carried).repartition(*parts, *STREAM, "_chunk")

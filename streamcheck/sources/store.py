@@ -44,7 +44,8 @@ def lay_out(readings: DataFrame, name: str, path: str, buckets: int = 256) -> No
 
     A bucket's rows are sorted by stream and time, one file for each bucket and call.  What goes by stream (validation,
     scores, latest readings) reads the table without a shuffle, and a stream's history skips row groups.
-    ``buckets`` holds from the first call on; take as many as tasks that shall work side by side.
+    ``buckets`` holds from the first call on; take as many as tasks that shall work side by side, and enough for
+    buckets of at most ``chunk_rows`` readings: validation shuffles larger ones.
     """
     dealt = readings.repartition(buckets, *STREAM)
     dealt.write.format("parquet").bucketBy(buckets, *STREAM).sortBy(*STREAM, "ts_us", "seq").mode("append").option("path", path).saveAsTable(name)
